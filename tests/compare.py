@@ -1,0 +1,54 @@
+"""Side-by-side comparison of a Spark result and a DuckDB result."""
+
+from __future__ import annotations
+
+import math
+from pathlib import Path
+
+import duckdb
+
+TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
+          "conversations").split()
+
+
+def connect(folder: str) -> duckdb.DuckDBPyConnection:
+    connection = duckdb.connect()
+    for name in TABLES:
+        if Path(f"{folder}/{name}.parquet").exists():
+            connection.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{folder}/{name}.parquet')")
+    return connection
+
+
+def _plain(value):
+    if isinstance(value, bool):
+        return value
+    if isinstance(value, float):
+        return None if math.isnan(value) else round(value, 9) + 0.0
+    return value
+
+
+def _sorted_rows(names, rows):
+    order = sorted(range(len(names)), key=lambda place: names[place])
+    plain = [tuple(_plain(row[place]) for place in order) for row in rows]
+    return sorted(plain, key=lambda row: [(value is None, str(type(value)), str(value)) for value in row])
+
+
+def difference(spark_df, connection, sql: str) -> str | None:
+    """None when both sides have the same columns, kinds and rows, else what differs."""
+    cursor = connection.execute(sql)
+    theirs_names = [column[0] for column in cursor.description]
+    theirs_kinds = {column[0]: str(column[1]) for column in cursor.description}
+    theirs = _sorted_rows(theirs_names, cursor.fetchall())
+    mine = _sorted_rows(spark_df.columns, [tuple(row) for row in spark_df.collect()])
+    if sorted(theirs_names) != sorted(spark_df.columns):
+        return f"columns: {sorted(spark_df.columns)} against {sorted(theirs_names)}"
+    same_kind = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "int": "INTEGER"}
+    kinds = {name: (kind, theirs_kinds[name]) for name, kind in spark_df.dtypes if same_kind.get(kind) != theirs_kinds[name]}
+    if kinds:
+        return f"kinds: {kinds}"
+    if len(mine) != len(theirs):
+        return f"rows: {len(mine)} against {len(theirs)}"
+    for one, other in zip(mine, theirs):
+        if one != other:
+            return f"first difference: {one!r} against {other!r}"
+    return None
