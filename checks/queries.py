@@ -12,6 +12,7 @@ from labelmill.operators import dialogs, metrics, positions, runs, sampling, sco
 from labelmill.plans.flatten import sample_segments
 from labelmill.plans.predict import predict_posts
 from labelmill.sinks import writers
+from labelmill.sources.readers import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +43,11 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents")
 
 
+def texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents spread over the cores, for costly work on their texts."""
+    return spread(documents(spark, folder), "doc_id")
+
+
 def conversations(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "conversations").withColumnsRenamed({"conv_id": "conv_no", "role": "speaker"})
 
@@ -83,7 +89,7 @@ def rule_columns() -> dict[str, Column]:
 
 
 def rated(spark: SparkSession, folder: str) -> DataFrame:
-    return documents(spark, folder).select("doc_id", "lang", "source", *[v.alias(k) for k, v in rule_columns().items()])
+    return texts(spark, folder).select("doc_id", "lang", "source", *[v.alias(k) for k, v in rule_columns().items()])
 
 
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
@@ -125,46 +131,46 @@ def mask_mentions(spark, folder):
 @query
 def token_count(spark, folder):
     body = F.col("text")
-    return documents(spark, folder).select(
+    return texts(spark, folder).select(
         "doc_id", text.token_count(body).alias("tokens"), text.is_lengthy(body, LIMIT).cast("long").alias("is_lengthy")
     )
 
 
 @query
 def pack_paragraphs(spark, folder):
-    segments = documents(spark, folder).select("doc_id", F.posexplode(pack(F.col("text"))).alias("seg", "text"))
+    segments = texts(spark, folder).select("doc_id", F.posexplode(pack(F.col("text"))).alias("seg", "text"))
     return segments.select("doc_id", F.col("seg").cast("long").alias("seg"), "text", text.token_count(F.col("text")).alias("tokens"))
 
 
 @query
 def pack_sentences(spark, folder):
     packed = text.pack_sentences(F.col("text"), LIMIT)
-    segments = documents(spark, folder).select("doc_id", F.posexplode(packed).alias("seg", "text"))
+    segments = texts(spark, folder).select("doc_id", F.posexplode(packed).alias("seg", "text"))
     return segments.select("doc_id", F.col("seg").cast("long").alias("seg"), "text")
 
 
 @query
 def pack_sentences_with_empty_head(spark, folder):
     packed = text.pack_sentences(F.col("text"), 20, keep_empty=True)
-    segments = documents(spark, folder).select("doc_id", F.posexplode(packed).alias("seg", "text"))
+    segments = texts(spark, folder).select("doc_id", F.posexplode(packed).alias("seg", "text"))
     return segments.select("doc_id", F.col("seg").cast("long").alias("seg"), "text")
 
 
 @query
 def first_label_word(spark, folder):
-    return documents(spark, folder).select("doc_id", text.first_label(F.col("text"), list(WORDS)).alias("label"))
+    return texts(spark, folder).select("doc_id", text.first_label(F.col("text"), list(WORDS)).alias("label"))
 
 
 @query
 def first_label_whitespace(spark, folder):
     label = text.first_label(F.col("text"), list(WORDS), "whitespace")
-    return documents(spark, folder).select("doc_id", label.alias("label"))
+    return texts(spark, folder).select("doc_id", label.alias("label"))
 
 
 @query
 def first_label_bare(spark, folder):
     label = text.first_label(F.col("text"), list(WORDS), "whitespace", trim_punctuation=False)
-    return documents(spark, folder).select("doc_id", label.alias("label"))
+    return texts(spark, folder).select("doc_id", label.alias("label"))
 
 
 @query
@@ -189,7 +195,7 @@ def strip_echo(spark, folder):
 
 def _prompts(spark, folder, **options):
     columns = prompts.prompt_columns(F.col("text"), **options)
-    return documents(spark, folder).select("doc_id", *[digest(value).alias(name) for name, value in columns.items()])
+    return texts(spark, folder).select("doc_id", *[digest(value).alias(name) for name, value in columns.items()])
 
 
 @query
@@ -302,7 +308,7 @@ def filter_missing_text(spark, folder):
 
 @query
 def stratum_counts(spark, folder):
-    rows = documents(spark, folder).select(
+    rows = texts(spark, folder).select(
         "doc_id", tables.stratum_by_name(F.col("source"), "src1").alias("stratum"), F.explode(pack(F.col("text"))).alias("text")
     )
     return dialogs.strata_counts(rows, "stratum", "doc_id")
@@ -479,7 +485,7 @@ def split_annotated_rows(spark, folder):
 @query
 def sampled_segments(spark, folder):
     """Conversations flattened under quotas: documents with one utterance per line block, sources as file names."""
-    records = documents(spark, folder).select(
+    records = texts(spark, folder).select(
         F.col("doc_id").alias("row_id"), F.col("source").alias("filename"),
         F.array(F.struct(F.col("lang").alias("speaker"), F.col("text").alias("utterance"))).alias("conversation"),
     )
@@ -492,7 +498,7 @@ def sampled_segments(spark, folder):
 
 @query
 def quota_walk(spark, folder):
-    docs = documents(spark, folder).select("doc_id", "lang", F.size(pack(F.col("text"))).cast("long").alias("size"))
+    docs = texts(spark, folder).select("doc_id", "lang", F.size(pack(F.col("text"))).cast("long").alias("size"))
     quotas = {"en": 200.5, "fr": 40.0, "de": 1000.0}
     return sampling.quota_sample(docs, "lang", "size", quotas, 2000, "doc_id", {"en": 5}, 12)
 
@@ -654,13 +660,13 @@ def batch_score(spark, folder):
 
 @query
 def predict_combined(spark, folder):
-    posts = documents(spark, folder).select("doc_id", "text")
+    posts = texts(spark, folder).select("doc_id", "text")
     return predict_posts(posts, stand_in()).drop("text")
 
 
 @query
 def predict_separate(spark, folder):
-    posts = documents(spark, folder).select("doc_id", "text")
+    posts = texts(spark, folder).select("doc_id", "text")
     return predict_posts(posts, stand_in(), combined=False, shots=0, roles=True).drop("text")
 
 

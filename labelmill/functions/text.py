@@ -25,7 +25,8 @@ def strip(text: Column) -> Column:
 
 
 def mask_mentions(text: Column, replacement: str = "@user") -> Column:
-    return F.regexp_replace(text, MENTION, replacement)
+    # Texts without the sign are passed on as they are instead of being decoded for the pattern.
+    return F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, MENTION, replacement)).otherwise(text)
 
 
 def token_count(text: Column) -> Column:
@@ -34,7 +35,7 @@ def token_count(text: Column) -> Column:
 
 
 def is_lengthy(text: Column, limit: int = 100) -> Column:
-    return (token_count(F.coalesce(text, F.lit(" "))) > limit).cast("int")
+    return (token_count(text) > limit).cast("int")
 
 
 def _pack(pieces: Column, limit: int, glue: str, lead: bool, keep_empty_head: bool, trim: bool) -> Column:

@@ -5,7 +5,7 @@ All label scores of a run come from one aggregate with map-side partial sums; ``
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -90,53 +90,65 @@ def classification_report(
     """
     if labels is None:
         return _open_report(df, gold, pred, by)
-    listed = [str(label) for label in labels]
+    return target_reports(df, {None: (gold, pred, labels)}, by)
+
+
+def target_reports(df: DataFrame, targets: Mapping[str | None, tuple[str, str, Sequence]], by: Sequence[str] = ()) -> DataFrame:
+    """Reports of several (gold, predicted, labels) targets from one pass over the rows, with a ``target`` column when
+    the targets have names."""
+    sums, lines = [], []
+    for number, (name, (gold, pred, labels)) in enumerate(targets.items()):
+        sums += _report_sums(f"_{number}", gold, pred, labels)
+        lines += _report_lines(f"_{number}", name, [str(label) for label in labels])
+    return df.groupBy(*by).agg(*sums).select(*by, F.inline(F.array(*lines)))
+
+
+def _report_sums(mark: str, gold: str, pred: str, labels: Sequence) -> list[Column]:
     sums = [
-        F.count("*").alias("_n"),
-        F.count_if(_hit(gold, pred)).alias("_hits"),
-        F.count_if(~_listed(gold, labels) | ~_listed(pred, labels)).alias("_outside"),
+        F.count("*").alias(f"{mark}_n"),
+        F.count_if(_hit(gold, pred)).alias(f"{mark}_hits"),
+        F.count_if(~_listed(gold, labels) | ~_listed(pred, labels)).alias(f"{mark}_outside"),
     ]
     for number, label in enumerate(labels):
         sums += [
-            F.count_if(_is(gold, label) & _is(pred, label)).alias(f"_tp{number}"),
-            F.count_if(_is(pred, label)).alias(f"_pred{number}"),
-            F.count_if(_is(gold, label)).alias(f"_sup{number}"),
+            F.count_if(_is(gold, label) & _is(pred, label)).alias(f"{mark}_tp{number}"),
+            F.count_if(_is(pred, label)).alias(f"{mark}_pred{number}"),
+            F.count_if(_is(gold, label)).alias(f"{mark}_sup{number}"),
         ]
-    wide = df.groupBy(*by).agg(*sums)
-    rows = range(len(listed))
-    tp, said, support = ([F.col(f"_{name}{number}") for number in rows] for name in ("tp", "pred", "sup"))
-    precision = [_share(tp[i], said[i]) for i in rows]
-    recall = [_share(tp[i], support[i]) for i in rows]
-    f1 = [_share(2 * tp[i], said[i] + support[i]) for i in rows]
-    scores = {"precision": precision, "recall": recall, "f1": f1}
-    wide = wide.withColumns({f"_{name}{i}": values[i] for name, values in scores.items() for i in rows})
-    wide = wide.withColumns({"_tp": sum(tp[1:], tp[0]), "_pred": sum(said[1:], said[0]), "_sup": sum(support[1:], support[0])})
-
-    def total(name: str, weighted: bool) -> Column:
-        parts = [F.col(f"_{name}{i}") * (support[i] if weighted else 1) for i in rows]
-        added = sum(parts[1:], parts[0])
-        return _share(added, F.col("_sup")) if weighted else added / len(listed)
-
-    listed_only = F.col("_outside") == 0
-    share_of_hits = _share(F.col("_hits"), F.col("_n"))
-    lines = [
-        _line(F.lit(i), F.lit(label), *[F.col(f"_{name}{i}") for name in scores], support[i])
-        for i, label in enumerate(listed)
+    return sums
+
+
+def _report_lines(mark: str, target: str | None, listed: list[str]) -> list[Column]:
+    """The rows of one report as structs over the sums of :func:`_report_sums`."""
+    places = range(len(listed))
+    tp, said, support = ([F.col(f"{mark}_{name}{place}") for place in places] for name in ("tp", "pred", "sup"))
+    scores = [
+        [_share(tp[i], said[i]) for i in places],
+        [_share(tp[i], support[i]) for i in places],
+        [_share(2 * tp[i], said[i] + support[i]) for i in places],
     ]
+    hits, all_said, rows = _added(tp), _added(said), _added(support)
+    listed_only = F.col(f"{mark}_outside") == 0
+    accuracy_ = _share(F.col(f"{mark}_hits"), F.col(f"{mark}_n"))
+    overall = [_share(hits, all_said), _share(hits, rows), _share(2 * hits, all_said + rows)]
+    lines = [_line(F.lit(i), F.lit(label), *[score[i] for score in scores], support[i]) for i, label in enumerate(listed)]
     lines.append(
         _line(
-            F.lit(len(listed)),
-            F.when(listed_only, "accuracy").otherwise("micro avg"),
-            F.when(listed_only, share_of_hits).otherwise(_share(F.col("_tp"), F.col("_pred"))),
-            F.when(listed_only, share_of_hits).otherwise(_share(F.col("_tp"), F.col("_sup"))),
-            F.when(listed_only, share_of_hits).otherwise(_share(2 * F.col("_tp"), F.col("_pred") + F.col("_sup"))),
-            F.col("_sup"),
+            F.lit(len(listed)), F.when(listed_only, "accuracy").otherwise("micro avg"),
+            *[F.when(listed_only, accuracy_).otherwise(score) for score in overall], rows,
         )
     )
-    for offset, (label, weighted) in enumerate((("macro avg", False), ("weighted avg", True)), start=1):
-        averages = [total(name, weighted) for name in scores]
-        lines.append(_line(F.lit(len(listed) + offset), F.lit(label), *averages, F.col("_sup")))
-    return wide.select(*by, F.inline(F.array(*lines)))
+    macro = [_added(score) / len(listed) for score in scores]
+    weighted = [_share(_added([score[i] * support[i] for i in places]), rows) for score in scores]
+    lines.append(_line(F.lit(len(listed) + 1), F.lit("macro avg"), *macro, rows))
+    lines.append(_line(F.lit(len(listed) + 2), F.lit("weighted avg"), *weighted, rows))
+    if target is None:
+        return lines
+    return [F.struct(F.lit(target).alias("target"), *[line[name].alias(name) for name in REPORT_FIELDS]) for line in lines]
+
+
+def _added(parts: list[Column]) -> Column:
+    return sum(parts[1:], parts[0])
 
 
 def _listed(column: str, labels: Sequence) -> Column:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from labelmill import fixed_values as fixed
-from labelmill.operators.metrics import classification_report
+from labelmill.operators.metrics import target_reports
 
 RUN_KEYS = ("dataset", "model_id", "generation_config")
 
@@ -53,10 +53,7 @@ def evaluate_runs(
     true = [column for column in dict.fromkeys(wanted) if column not in predicted]
     keys = [key for key in run_keys if key not in join_keys]
     matched = predictions.select(*join_keys, *keys, *predicted).join(gold.select(*join_keys, *true), list(join_keys))
-    reports = None
-    for name, (truth, said, labels) in targets.items():
-        report = classification_report(matched, truth, said, labels, by=run_keys).withColumn("target", F.lit(name))
-        reports = report if reports is None else reports.unionByName(report)
+    reports = target_reports(matched, targets, by=run_keys)
     return reports.select(*run_keys, "target", "ordinal", "label", "precision", "recall", "f1", "support")
 
 

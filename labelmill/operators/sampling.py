@@ -176,8 +176,10 @@ def quota_sample(
     """Walk the rows in order and keep a row while its stratum is below its quota; stop once the kept sizes reach
     ``cap`` or every quota is full. ``carried`` counts and sizes of an earlier sample are taken over.
 
-    Kept rows come back with ``kept_before`` (rows of their stratum) and ``size_before`` (all strata).
+    Kept rows come back with ``kept_before`` (rows of their stratum) and ``size_before`` (all strata). The walk reads its
+    input several times and settles it first, so hand in ids, strata and sizes rather than texts.
     """
+    df = settle(df)
     carried = dict(carried or {})
     names = list(quotas)
     # A row is accepted while carried + earlier < quota, so ceil(quota - carried) rows of a stratum are.

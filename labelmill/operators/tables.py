@@ -58,7 +58,7 @@ def fill_text(df: DataFrame, text: str = "text", value: str = " ") -> DataFrame:
 def map_values(column: Column, mapping: Mapping, default=None) -> Column:
     """Value lookup in a literal map; values outside it become ``default``."""
     pairs = [F.lit(item) for pair in mapping.items() for item in pair]
-    known = F.when(column.isNotNull(), F.try_element_at(F.create_map(*pairs), column))
+    known = F.try_element_at(F.create_map(*pairs), column)
     return known if default is None else F.coalesce(known, F.lit(default))
 
 

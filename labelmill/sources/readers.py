@@ -38,6 +38,12 @@ def with_positions(df: DataFrame, name: str = "row_id", per_file: bool = False)
     return joined.withColumn(name, F.col("_at") + F.col("_shift")).drop("_path", "_block", "_at", "_p", "_b", "_shift")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a scan that gives fewer parts than there are cores, before costly work per row; a larger one stays."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def read_csv(
     spark: SparkSession, path: str | Sequence[str], schema: str | T.StructType | None = None, row_id: bool = True,
     per_file: bool = False, **options,
