@@ -8,28 +8,23 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, GroupedData, functions as F
 
+from labelmill.functions.sql_text import name, value, values
 from labelmill.operators.positions import running
 
 
-def _hit(gold: str, pred: str) -> Column:
-    return F.coalesce(F.col(gold) == F.col(pred), F.lit(False))
+def _hit(gold: str, pred: str) -> str:
+    return f"coalesce({name(gold)} = {name(pred)}, false)"
 
 
-def _is(column: str, label) -> Column:
-    return F.coalesce(F.col(column) == F.lit(label), F.lit(False))
-
-
-def _share(part: Column, whole: Column) -> Column:
+def _share(part: str, whole: str) -> str:
     """part / whole as double, 0 where there is nothing to divide by."""
-    return F.when(whole == 0, F.lit(0.0)).otherwise(part.cast("double") / whole)
+    return f"if({whole} = 0, 0D, double({part}) / ({whole}))"
 
 
 def accuracy(df: DataFrame, gold: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg(_hit(gold, pred).cast("long")).cast("double").alias("accuracy")
-    )
+    return _accuracy_of(df.groupBy(*by), gold, pred)
 
 
 def accuracy_by_label(
@@ -38,46 +33,40 @@ def accuracy_by_label(
     """Share of hits among the rows of each gold label, null for a listed label no row has."""
     if labels is None:
         counted = df.where(F.col(gold).isNotNull()).groupBy(*by, F.col(gold).alias("label"))
-        return counted.agg(F.count("*").alias("n"), F.avg(_hit(gold, pred).cast("long")).alias("accuracy"))
-    sums = []
-    for number, label in enumerate(labels):
-        mine = _is(gold, label)
-        sums += [F.count_if(mine).alias(f"n{number}"), F.count_if(mine & _hit(gold, pred)).alias(f"hits{number}")]
-    wide = df.groupBy(*by).agg(*sums)
-    rows = [
-        F.struct(
-            F.lit(label).alias("label"), F.col(f"n{number}").alias("n"),
-            F.when(F.col(f"n{number}") > 0, F.col(f"hits{number}") / F.col(f"n{number}")).alias("accuracy"),
-        )
-        for number, label in enumerate(labels)
-    ]
-    return wide.select(*by, F.inline(F.array(*rows)))
+        return _accuracy_of(counted, gold, pred)
+    sums, rows = [], []
+    for place, label in enumerate(labels):
+        mine = f"{name(gold)} = {value(label)}"
+        sums.append(F.expr(f"count_if({mine}) AS n{place}"))
+        sums.append(F.expr(f"count_if({mine} AND {_hit(gold, pred)}) AS hits{place}"))
+        share = f"if(n{place} > 0, double(hits{place}) / n{place}, NULL)"
+        rows.append(f"struct({value(label)} AS label, n{place} AS n, {share} AS accuracy)")
+    return df.groupBy(*by).agg(*sums).select(*by, F.expr(f"inline(array({', '.join(rows)}))"))
+
+
+def _accuracy_of(groups: GroupedData, gold: str, pred: str) -> DataFrame:
+    return groups.agg(F.count("*").alias("n"), F.expr(f"avg(int({_hit(gold, pred)}))").alias("accuracy"))
 
 
 def confusion_matrix(df: DataFrame, gold: str, pred: str, labels: Sequence, by: Sequence[str] = ()) -> DataFrame:
     """One row per gold label and one column per predicted label, both in list order; other pairs are left out."""
-    cells = {
-        (row, column): F.count_if(_is(gold, true) & _is(pred, said)).alias(f"c{row}_{column}")
-        for row, true in enumerate(labels)
-        for column, said in enumerate(labels)
-    }
-    wide = df.groupBy(*by).agg(*cells.values())
-    rows = [
-        F.struct(
-            F.lit(row).cast("long").alias("ordinal"), F.lit(true).alias("label"),
-            *[F.col(f"c{row}_{column}").alias(str(said)) for column, said in enumerate(labels)],
-        )
-        for row, true in enumerate(labels)
-    ]
-    return wide.select(*by, F.inline(F.array(*rows)))
+    cells, rows = [], []
+    for row, true in enumerate(labels):
+        columns = []
+        for column, said in enumerate(labels):
+            test = f"{name(gold)} = {value(true)} AND {name(pred)} = {value(said)}"
+            cells.append(F.expr(f"count_if({test}) AS c{row}_{column}"))
+            columns.append(f"c{row}_{column} AS {name(str(said))}")
+        rows.append(f"struct({row}L AS ordinal, {value(true)} AS label, {', '.join(columns)})")
+    return df.groupBy(*by).agg(*cells).select(*by, F.expr(f"inline(array({', '.join(rows)}))"))
 
 
 REPORT_FIELDS = ("ordinal", "label", "precision", "recall", "f1", "support")
 
 
-def _line(ordinal: Column, label: Column, precision: Column, recall: Column, f1: Column, support: Column) -> Column:
-    values = (ordinal.cast("long"), label, precision, recall, f1, support.cast("long"))
-    return F.struct(*[value.alias(name) for name, value in zip(REPORT_FIELDS, values)])
+def _line(target: str | None, *values: str) -> str:
+    fields = [f"{text} AS {field}" for text, field in zip(values, REPORT_FIELDS)]
+    return f"struct({', '.join(fields if target is None else [f'{value(target)} AS target', *fields])})"
 
 
 def classification_report(
@@ -100,91 +89,74 @@ def target_reports(df: DataFrame, targets: Mapping[str | None, tuple[str, str, S
     for number, (name, (gold, pred, labels)) in enumerate(targets.items()):
         sums += _report_sums(f"_{number}", gold, pred, labels)
         lines += _report_lines(f"_{number}", name, [str(label) for label in labels])
-    return df.groupBy(*by).agg(*sums).select(*by, F.inline(F.array(*lines)))
+    return df.groupBy(*by).agg(*sums).select(*by, F.expr(f"inline(array({', '.join(lines)}))"))
 
 
 def _report_sums(mark: str, gold: str, pred: str, labels: Sequence) -> list[Column]:
-    sums = [
-        F.count("*").alias(f"{mark}_n"),
-        F.count_if(_hit(gold, pred)).alias(f"{mark}_hits"),
-        F.count_if(~_listed(gold, labels) | ~_listed(pred, labels)).alias(f"{mark}_outside"),
-    ]
-    for number, label in enumerate(labels):
-        sums += [
-            F.count_if(_is(gold, label) & _is(pred, label)).alias(f"{mark}_tp{number}"),
-            F.count_if(_is(pred, label)).alias(f"{mark}_pred{number}"),
-            F.count_if(_is(gold, label)).alias(f"{mark}_sup{number}"),
-        ]
-    return sums
-
-
-def _report_lines(mark: str, target: str | None, listed: list[str]) -> list[Column]:
-    """The rows of one report as structs over the sums of :func:`_report_sums`."""
+    true, said, listed = name(gold), name(pred), values(labels)
+    known = f"coalesce({true} IN ({listed}), false) AND coalesce({said} IN ({listed}), false)"
+    sums = {"n": "count(*)", "hits": f"count_if({true} = {said})", "outside": f"count_if(NOT ({known}))"}
+    for place, label in enumerate(labels):
+        sums[f"tp{place}"] = f"count_if({true} = {value(label)} AND {said} = {value(label)})"
+        sums[f"pred{place}"] = f"count_if({said} = {value(label)})"
+        sums[f"sup{place}"] = f"count_if({true} = {value(label)})"
+    return [F.expr(f"{text} AS {mark}_{key}") for key, text in sums.items()]
+
+
+def _report_lines(mark: str, target: str | None, listed: list[str]) -> list[str]:
+    """The rows of one report as SQL structs over the sums of :func:`_report_sums`."""
     places = range(len(listed))
-    tp, said, support = ([F.col(f"{mark}_{name}{place}") for place in places] for name in ("tp", "pred", "sup"))
+    tp, said, support = ([f"{mark}_{key}{place}" for place in places] for key in ("tp", "pred", "sup"))
     scores = [
         [_share(tp[i], said[i]) for i in places],
         [_share(tp[i], support[i]) for i in places],
-        [_share(2 * tp[i], said[i] + support[i]) for i in places],
+        [_share(f"2 * {tp[i]}", f"{said[i]} + {support[i]}") for i in places],
+    ]
+    hits, all_said, rows = (f"({' + '.join(parts)})" for parts in (tp, said, support))
+    listed_only = f"{mark}_outside = 0"
+    share = _share(f"{mark}_hits", f"{mark}_n")
+    overall = [_share(hits, all_said), _share(hits, rows), _share(f"2 * {hits}", f"{all_said} + {rows}")]
+    lines = [
+        _line(target, f"{i}L", value(label), *[score[i] for score in scores], support[i]) for i, label in enumerate(listed)
     ]
-    hits, all_said, rows = _added(tp), _added(said), _added(support)
-    listed_only = F.col(f"{mark}_outside") == 0
-    accuracy_ = _share(F.col(f"{mark}_hits"), F.col(f"{mark}_n"))
-    overall = [_share(hits, all_said), _share(hits, rows), _share(2 * hits, all_said + rows)]
-    lines = [_line(F.lit(i), F.lit(label), *[score[i] for score in scores], support[i]) for i, label in enumerate(listed)]
     lines.append(
         _line(
-            F.lit(len(listed)), F.when(listed_only, "accuracy").otherwise("micro avg"),
-            *[F.when(listed_only, accuracy_).otherwise(score) for score in overall], rows,
+            target, f"{len(listed)}L", f"if({listed_only}, 'accuracy', 'micro avg')",
+            *[f"if({listed_only}, {share}, {score})" for score in overall], rows,
         )
     )
-    macro = [_added(score) / len(listed) for score in scores]
-    weighted = [_share(_added([score[i] * support[i] for i in places]), rows) for score in scores]
-    lines.append(_line(F.lit(len(listed) + 1), F.lit("macro avg"), *macro, rows))
-    lines.append(_line(F.lit(len(listed) + 2), F.lit("weighted avg"), *weighted, rows))
-    if target is None:
-        return lines
-    return [F.struct(F.lit(target).alias("target"), *[line[name].alias(name) for name in REPORT_FIELDS]) for line in lines]
-
-
-def _added(parts: list[Column]) -> Column:
-    return sum(parts[1:], parts[0])
-
-
-def _listed(column: str, labels: Sequence) -> Column:
-    return F.coalesce(F.col(column).isin(*labels), F.lit(False))
+    macro = [f"({' + '.join(score)}) / {len(listed)}" for score in scores]
+    weighted = [_share(" + ".join(f"{score[i]} * {support[i]}" for i in places), rows) for score in scores]
+    lines.append(_line(target, f"{len(listed) + 1}L", "'macro avg'", *macro, rows))
+    lines.append(_line(target, f"{len(listed) + 2}L", "'weighted avg'", *weighted, rows))
+    return lines
 
 
 def _open_report(df: DataFrame, gold: str, pred: str, by: Sequence[str]) -> DataFrame:
     by = list(by)
     pairs = df.groupBy(*by, F.col(gold).alias("_gold"), F.col(pred).alias("_said")).agg(F.count("*").alias("_n"))
-    same_label = F.coalesce(F.col("_gold") == F.col("_said"), F.lit(False))
-    nothing = F.lit(0).cast("long")
-    roles = F.array(
-        F.struct(F.col("_gold").alias("label"), F.when(same_label, F.col("_n")).otherwise(nothing).alias("tp"),
-                 nothing.alias("said"), F.col("_n").alias("support")),
-        F.struct(F.col("_said").alias("label"), nothing.alias("tp"), F.col("_n").alias("said"), nothing.alias("support")),
+    roles = F.expr(
+        "inline(array(struct(_gold AS label, if(_gold <=> _said, _n, 0L) AS tp, 0L AS said, _n AS support),"
+        " struct(_said AS label, 0L AS tp, _n AS said, 0L AS support)))"
     )
-    counts = pairs.select(*by, F.inline(roles)).where(F.col("label").isNotNull()).groupBy(*by, "label")
+    counts = pairs.select(*by, roles).where("label IS NOT NULL").groupBy(*by, "label")
     counts = counts.agg(F.sum("tp").alias("tp"), F.sum("said").alias("said"), F.sum("support").alias("support"))
+    scores = {"precision": ("tp", "said"), "recall": ("tp", "support"), "f1": ("2 * tp", "said + support")}
     per_label = counts.select(
-        *by, F.lit(0).cast("long").alias("ordinal"), F.col("label").cast("string").alias("label"),
-        _share(F.col("tp"), F.col("said")).alias("precision"), _share(F.col("tp"), F.col("support")).alias("recall"),
-        _share(2 * F.col("tp"), F.col("said") + F.col("support")).alias("f1"), "support", "tp",
+        *by, F.expr("0L AS ordinal"), F.expr("string(label) AS label"),
+        *[F.expr(f"{_share(part, whole)} AS {score}") for score, (part, whole) in scores.items()], "support", "tp",
     )
-    names = ("precision", "recall", "f1")
     averages = per_label.groupBy(*by).agg(
         F.sum("tp").alias("tp"), F.sum("support").alias("n"),
-        *[F.avg(name).alias(f"macro_{name}") for name in names],
-        *[F.sum(F.col(name) * F.col("support")).alias(f"weighted_{name}") for name in names],
+        *[F.expr(f"avg({score}) AS macro_{score}") for score in scores],
+        *[F.expr(f"sum({score} * support) AS weighted_{score}") for score in scores],
     )
-    hits = _share(F.col("tp"), F.col("n"))
-    lines = F.array(
-        _line(F.lit(1), F.lit("accuracy"), hits, hits, hits, F.col("n")),
-        _line(F.lit(2), F.lit("macro avg"), *[F.col(f"macro_{name}") for name in names], F.col("n")),
-        _line(F.lit(3), F.lit("weighted avg"), *[_share(F.col(f"weighted_{name}"), F.col("n")) for name in names], F.col("n")),
-    )
-    return per_label.drop("tp").unionByName(averages.select(*by, F.inline(lines)))
+    lines = [
+        _line(None, "1L", "'accuracy'", *[_share("tp", "n")] * 3, "n"),
+        _line(None, "2L", "'macro avg'", *[f"macro_{score}" for score in scores], "n"),
+        _line(None, "3L", "'weighted avg'", *[_share(f"weighted_{score}", "n") for score in scores], "n"),
+    ]
+    return per_label.drop("tp").unionByName(averages.select(*by, F.expr(f"inline(array({', '.join(lines)}))")))
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -202,12 +174,12 @@ def distinct_values(*tables: tuple[DataFrame, str]) -> DataFrame:
 
 def rating_table(df: DataFrame, keep: Sequence[str], raters: Sequence[str], categories: Sequence) -> DataFrame:
     """Subject by category counts of given ratings, computed inside the row."""
-    given = F.array(*[F.col(rater) for rater in raters])
-
-    def votes(category) -> Column:
-        return F.size(F.filter(given, lambda rating: rating == F.lit(category))).cast("long")
-
-    return df.select(*keep, *[votes(category).alias(str(category)) for category in categories])
+    given = f"array({', '.join(name(rater) for rater in raters)})"
+    votes = [
+        F.expr(f"bigint(size(filter({given}, rating -> rating = {value(category)}))) AS {name(str(category))}")
+        for category in categories
+    ]
+    return df.select(*keep, *votes)
 
 
 def rating_counts(df: DataFrame, subject: str, raters: Sequence[str]) -> DataFrame:
@@ -261,14 +233,14 @@ def describe(df: DataFrame, column: str) -> DataFrame:
     The values are counted, cut into ranges of about equal depth and totalled range by range, so no task has to hold or
     sort the whole column.
     """
-    values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    counted = values.groupBy("v").agg(F.count("*").alias("_n"))
-    steps = [step / 256 for step in range(1, 256)]
-    edges = values.agg(F.percentile_approx("v", steps, 10_000)).scalar()
+    given = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    counted = given.groupBy("v").agg(F.count("*").alias("_n"))
+    steps = ", ".join(f"{step / 256}D" for step in range(1, 256))
+    edges = given.agg(F.expr(f"percentile_approx(v, array({steps}), 10000)")).scalar()
     below = F.size(F.filter("_edges", lambda edge: edge < F.col("v")))
     ranged = counted.withColumn("_edges", edges).withColumn("_range", below).drop("_edges")
     ranked = running(ranged, "v", sums={"_upto": F.col("_n")}, cell=F.col("_range"))
-    total = values.agg(F.count("*").cast("double")).scalar()
+    total = given.agg(F.count("*").cast("double")).scalar()
     picks = []
     for number, share in enumerate(QUARTILES):
         place = F.lit(share) * (total - 1)
@@ -276,7 +248,7 @@ def describe(df: DataFrame, column: str) -> DataFrame:
             here = (F.col("_upto") - F.col("_n") <= wanted) & (wanted < F.col("_upto"))
             picks.append(F.max(F.when(here, F.col("v"))).alias(f"{side}{number}"))
     found = ranked.agg(F.struct(*picks).alias("_found")).scalar()
-    basics = values.agg(
+    basics = given.agg(
         F.count("*").alias("count"), F.avg("v").alias("mean"), F.stddev("v").alias("std"), F.min("v").alias("min"),
         F.max("v").alias("max"),
     ).withColumn("_found", found)

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from labelmill.functions.prompts import build_prompt, check_target, task_context
+from labelmill.functions.sql_text import values
 from labelmill.functions.text import strip
 from labelmill.settle import BROADCAST_ROWS, lookup
 
@@ -57,8 +58,8 @@ def fill_text(df: DataFrame, text: str = "text", value: str = " ") -> DataFrame:
 
 def map_values(column: Column, mapping: Mapping, default=None) -> Column:
     """Value lookup in a literal map; values outside it become ``default``."""
-    pairs = [F.lit(item) for pair in mapping.items() for item in pair]
-    known = F.try_element_at(F.create_map(*pairs), column)
+    pairs = values(item for pair in mapping.items() for item in pair)
+    known = F.try_element_at(F.expr(f"map({pairs})"), column)
     return known if default is None else F.coalesce(known, F.lit(default))
 
 
