@@ -73,6 +73,7 @@ def _mark(df: DataFrame, classes: _Classes, cuts: DataFrame, seed: int, row_id:
     """Put each row's own key and the cuts of its class next to it."""
     keyed = df.withColumn("_own", F.struct(shuffle_key(row_id, seed).alias("_key"), F.col(row_id).alias("_id")))
     if classes.by is None:
+        cuts = settle(cuts)
         for name in [column for column in cuts.columns if column != "_class"]:
             keyed = keyed.withColumn(name, cuts.select(name).scalar())
         return keyed

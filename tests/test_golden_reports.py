@@ -1,0 +1,83 @@
+"""Reports rebuilt from published counts equal the published decimals."""
+
+import pytest
+
+from labelmill.operators.metrics import classification_report, confusion_matrix
+
+# (label, hits, predicted, gold rows)
+EMOTION = [("happiness", 45, 287, 50), ("anger", 46, 550, 47), ("disgust", 1, 10, 68), ("fear", 5, 46, 26),
+           ("sadness", 2, 31, 6), ("surprise", 13, 69, 59), ("other", 1468, 1491, 2245)]
+SENTIMENT = [("positive", 185, 528, 207), ("negative", 327, 641, 405), ("neutral", 1260, 1319, 1889)]
+FULL_SENTIMENT = [("positive", 183, 583, 207), ("negative", 320, 647, 405), ("neutral", 1203, 1271, 1889)]
+
+
+def rows_of(counts):
+    """Gold and predicted labels with the given totals; predictions that are left over are null."""
+    rows, missed = [], {}
+    spare = {label: said - hits for label, hits, said, _ in counts}
+    for label, hits, _, gold in counts:
+        rows += [(label, label)] * hits
+        missed[label] = gold - hits
+    while any(missed.values()):
+        gold = max(missed, key=missed.get)
+        missed[gold] -= 1
+        wrong = max((label for label in spare if label != gold), key=spare.get)
+        if spare[wrong] > 0:
+            spare[wrong] -= 1
+            rows.append((gold, wrong))
+        else:
+            rows.append((gold, None))
+    assert not any(spare.values())
+    return rows
+
+
+def report(frame, counts):
+    df = frame(rows_of(counts), "gold string, pred string")
+    return {row["label"]: row for row in classification_report(df, "gold", "pred", [c[0] for c in counts]).collect()}
+
+
+@pytest.mark.parametrize(
+    "counts, micro, macro, weighted",
+    [
+        (EMOTION, (0.63607085, 0.63174730, 0.63390171), (0.24094607, 0.47047241, 0.24039949),
+         (0.89694867, 0.63174730, 0.72085393)),
+        (SENTIMENT, (0.71221865, 0.70851659, 0.71036280), (0.60526278, 0.78938227, 0.63805884),
+         (0.83312223, 0.70851659, 0.73622698)),
+    ],
+)
+def test_micro_shape(frame, counts, micro, macro, weighted):
+    lines = report(frame, counts)
+    for label, expected in (("micro avg", micro), ("macro avg", macro), ("weighted avg", weighted)):
+        row = lines[label]
+        assert (row["precision"], row["recall"], row["f1"]) == pytest.approx(expected, abs=5e-9)
+        assert row["support"] == 2501
+    assert "accuracy" not in lines
+
+
+def test_accuracy_shape(frame):
+    lines = report(frame, FULL_SENTIMENT)
+    assert "micro avg" not in lines
+    assert lines["accuracy"]["f1"] == pytest.approx(0.6821271491403439, abs=1e-12)
+    expected = {
+        "positive": (0.313893653516295, 0.8840579710144928, 0.46329113924050636, 207),
+        "negative": (0.4945904173106646, 0.7901234567901234, 0.6083650190114068, 405),
+        "neutral": (0.946498819826908, 0.636844891476972, 0.7613924050632911, 1889),
+        "macro avg": (0.5849942968846226, 0.7703421064271959, 0.6110161877717348, 2501),
+        "weighted avg": (0.8209601663101644, 0.6821271491403439, 0.7119389650887491, 2501),
+    }
+    for label, values in expected.items():
+        row = lines[label]
+        assert (row["precision"], row["recall"], row["f1"], row["support"]) == pytest.approx(values, abs=1e-12)
+
+
+def test_full_confusion_matrix(frame):
+    cells = {"negative": (186, 39, 75), "neutral": (23, 177, 100), "positive": (27, 75, 198)}
+    names = list(cells)
+    rows = [(gold, said) for gold in names for said, n in zip(names, cells[gold]) for _ in range(n)]
+    df = frame(rows, "gold string, pred string")
+    matrix = {row["label"]: tuple(row[name] for name in names) for row in confusion_matrix(df, "gold", "pred", names).collect()}
+    assert matrix == cells
+    lines = {row["label"]: row for row in classification_report(df, "gold", "pred", names).collect()}
+    assert round(lines["accuracy"]["f1"], 3) == 0.623
+    assert [round(lines[name]["precision"], 2) for name in names] == [0.79, 0.61, 0.53]
+    assert [round(lines[name]["recall"], 2) for name in names] == [0.62, 0.59, 0.66]
