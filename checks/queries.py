@@ -12,7 +12,7 @@ from labelmill.operators import dialogs, metrics, positions, runs, sampling, sco
 from labelmill.plans.flatten import sample_segments
 from labelmill.plans.predict import predict_posts
 from labelmill.sinks import writers
-from labelmill.sources.readers import spread
+from labelmill.sources.readers import read_parquet, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,10 +63,20 @@ def marker_table(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def nested(spark: SparkSession, folder: str) -> DataFrame:
-    rebuilt = dialogs.rebuild_conversations(
-        conversations(spark, folder), {"speaker": F.col("speaker"), "utterance": F.col("text")}
+    """Documents as conversation records: each line is an utterance, its first letter stands for the speaker."""
+    speaker = lambda line: F.nullif(F.lower(F.substring(line, 1, 1)), F.lit(""))
+    lines = F.transform(
+        F.split("text", SEPARATOR, -1), lambda line: F.struct(speaker(line).alias("speaker"), line.alias("utterance"))
+    )
+    return texts(spark, folder).select(
+        F.col("doc_id").alias("row_id"), F.col("source").alias("filename"), lines.alias("conversation")
     )
-    return rebuilt.where(F.col("part") == 0).select(F.col("conv_no").alias("row_id"), "conversation")
+
+
+def first_turns(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversation records cut to their first utterance."""
+    first = F.array(F.struct("speaker", F.col("text").alias("utterance"))).alias("conversation")
+    return conversations(spark, folder).where(F.col("turn") == 0).select(F.col("conv_no").alias("row_id"), first)
 
 
 def pack(value: Column) -> Column:
@@ -375,6 +385,11 @@ def row_numbers(spark, folder):
     return positions.row_ids(docs, [F.desc("n_chars"), "doc_id"])
 
 
+@query
+def file_positions(spark, folder):
+    return read_parquet(spark, f"{folder}/documents.parquet").select("row_id", "doc_id", "lang")
+
+
 @query
 def running_totals(spark, folder):
     docs = documents(spark, folder).select("doc_id", "lang", "n_chars")
@@ -446,12 +461,12 @@ def speaker_number(spark, folder):
 
 @query
 def utterance_rows(spark, folder):
-    return dialogs.utterance_rows(nested(spark, folder), pack=pack)
+    return dialogs.utterance_rows(nested(spark, folder), pack=lambda line: text.pack_paragraphs(line, 30, ". "))
 
 
 @query
 def utterance_rows_unpacked(spark, folder):
-    return dialogs.utterance_rows(nested(spark, folder), markers=False)
+    return dialogs.utterance_rows(nested(spark, folder), markers=False, keep=["filename"])
 
 
 @query
@@ -471,7 +486,7 @@ def annotated_conversation(spark, folder):
     rebuilt = dialogs.rebuild_conversations(
         turns, {"utterance": F.col("text"), "speaker": F.col("speaker"), "annotations": raters}
     )
-    joined = dialogs.annotated_records(rebuilt, nested(spark, folder))
+    joined = dialogs.annotated_records(rebuilt, first_turns(spark, folder))
     votes = F.flatten(F.transform("conversation", lambda item: item["annotations"]["emotion"]))
     return joined.select("conv_no", "part", "first_matches", F.size(votes).cast("long").alias("votes"))
 
@@ -484,13 +499,9 @@ def split_annotated_rows(spark, folder):
 
 @query
 def sampled_segments(spark, folder):
-    """Conversations flattened under quotas: documents with one utterance per line block, sources as file names."""
-    records = texts(spark, folder).select(
-        F.col("doc_id").alias("row_id"), F.col("source").alias("filename"),
-        F.array(F.struct(F.col("lang").alias("speaker"), F.col("text").alias("utterance"))).alias("conversation"),
-    )
+    """Conversation records flattened under quotas."""
     quotas = sampling.strata_quotas(300, {"C": 1, "D": 5})
-    return sample_segments(records, quotas, 900, LIMIT, SEPARATOR, {"C": 2, "D": 3}, 30, word="src1")
+    return sample_segments(nested(spark, folder), quotas, 2000, 30, ". ", {"C": 2, "D": 3}, 30, word="src1")
 
 
 # samples --------------------------------------------------------------------------------------------------------------

@@ -47,8 +47,8 @@ def closed(state: str, paragraphs: bool) -> str:
     return f"CASE WHEN {state}.open = '' THEN {state}.done ELSE list_append({state}.done, {last}) END"
 
 
-def paragraphs(text: str) -> str:
-    return packed(f"string_split({text}, chr(10))", LIMIT, "chr(10)", True)
+def paragraphs(text: str, limit: int = LIMIT, glue: str = "chr(10)") -> str:
+    return packed(f"string_split({text}, {glue})", limit, glue, True)
 
 
 def sentences(text: str, limit: int) -> str:
@@ -56,10 +56,10 @@ def sentences(text: str, limit: int) -> str:
     return packed(pieces, limit, "''", False)
 
 
-def segments(source: str, keys: str, text: str = "text") -> str:
+def segments(source: str, keys: str, text: str = "text", limit: int = LIMIT, glue: str = "chr(10)") -> str:
     """Rows (keys, seg, text) of packed paragraphs."""
     return f"""
-        WITH folded AS (SELECT {keys}, {paragraphs(text)} AS s FROM {source}),
+        WITH folded AS (SELECT {keys}, {paragraphs(text, limit, glue)} AS s FROM {source}),
         lists AS (SELECT {keys}, {closed('s', True)} AS segs FROM folded)
         SELECT {keys}, unnest(range(len(segs))) AS seg, unnest(segs) AS text FROM lists"""
 
@@ -107,6 +107,12 @@ MARKERS = """markers AS (
 SPEAKERS = """firsts AS (SELECT conv_id, role, min(turn) AS f FROM conversations GROUP BY ALL),
     numbers AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY f) - 1 AS speaker_no FROM firsts)"""
 
+UTTERANCES = """lists AS (SELECT doc_id, source, string_split(text, chr(10)) AS parts FROM documents),
+    utterances AS (SELECT doc_id, source, unnest(range(len(parts))) AS turn, unnest(parts) AS text FROM lists),
+    spoken AS (SELECT *, lower(substr(text, 1, 1)) AS letter FROM utterances),
+    firsts AS (SELECT doc_id, letter, min(turn) AS f FROM spoken GROUP BY ALL),
+    numbers AS (SELECT doc_id, letter, row_number() OVER (PARTITION BY doc_id ORDER BY f) - 1 AS speaker_no FROM firsts)"""
+
 
 def report(rated: str, gold: str, said: str, labels, by: str = "") -> str:
     """Long report rows with ``by`` columns, ordinal, label, precision, recall, f1, support."""
@@ -285,6 +291,7 @@ def oracle_sql() -> dict[str, str]:
 
     # positions
     sql["row_numbers"] = "SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS row_id FROM documents"
+    sql["file_positions"] = "SELECT row_number() OVER () - 1 AS row_id, doc_id, lang FROM documents"
     sql["running_totals"] = """SELECT doc_id, lang, n_chars, sum(n_chars) OVER w::BIGINT AS chars, max(n_chars) OVER w AS longest
         FROM documents WINDOW w AS (PARTITION BY lang ORDER BY doc_id ROWS UNBOUNDED PRECEDING)"""
     sql["slice_rows"] = """SELECT doc_id, lang, 0::BIGINT AS part FROM documents WHERE doc_id BETWEEN 100 AND 249
@@ -312,12 +319,13 @@ def oracle_sql() -> dict[str, str]:
     sql["speaker_number"] = f"""WITH {SPEAKERS} SELECT conv_id AS conv_no, turn, role AS speaker, speaker_no
         FROM conversations JOIN numbers USING (conv_id, role)"""
     rows = segments("conversations", "conv_id, turn, role")
-    sql["utterance_rows"] = f"""WITH {SPEAKERS}, segs AS ({rows})
-        SELECT conv_id AS conv_no, turn, seg, 'Speaker_' || speaker_no AS speaker, text FROM segs JOIN numbers USING (conv_id, role)
-        UNION ALL SELECT DISTINCT conv_id, -1, -1, 'Dialogue' || conv_id, '' FROM conversations"""
-    sql["utterance_rows_unpacked"] = f"""WITH {SPEAKERS}
-        SELECT conv_id AS conv_no, turn, 0::BIGINT AS seg, 'Speaker_' || speaker_no AS speaker, text
-        FROM conversations JOIN numbers USING (conv_id, role)"""
+    lines = segments("spoken", "doc_id, source, turn, letter", limit=30, glue="'. '")
+    sql["utterance_rows"] = f"""WITH {UTTERANCES}, segs AS ({lines})
+        SELECT doc_id AS conv_no, turn, seg, 'Speaker_' || speaker_no AS speaker, text FROM segs JOIN numbers USING (doc_id, letter)
+        UNION ALL SELECT doc_id, -1, -1, 'Dialogue' || doc_id, '' FROM documents"""
+    sql["utterance_rows_unpacked"] = f"""WITH {UTTERANCES}
+        SELECT doc_id AS conv_no, source AS filename, turn, 0::BIGINT AS seg, 'Speaker_' || speaker_no AS speaker, text
+        FROM spoken JOIN numbers USING (doc_id, letter)"""
     sql["rebuild_conversation"] = """SELECT conv_id AS conv_no, turn // 3 AS part,
         string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS conversation FROM conversations GROUP BY ALL"""
     sql["annotated_conversation"] = """SELECT conv_id AS conv_no, 0::BIGINT AS part, true AS first_matches, 3 * count(*) AS votes
@@ -327,15 +335,16 @@ def oracle_sql() -> dict[str, str]:
         SELECT s.conv_id AS conv_no, s.turn, s.seg, s.role AS speaker, CASE WHEN n > 1 THEN s.text ELSE c.text END AS text,
         CASE WHEN n > 1 THEN '' ELSE s.role END AS remarks
         FROM segs s JOIN many USING (conv_id, turn) JOIN conversations c ON c.conv_id = s.conv_id AND c.turn = s.turn"""
-    sql["sampled_segments"] = f"""WITH segs AS ({segments('documents', 'doc_id, source')}),
+    sql["sampled_segments"] = f"""WITH {UTTERANCES}, segs AS ({lines}),
         sizes AS (SELECT doc_id, CASE WHEN contains(source, 'src1') THEN 'C' ELSE 'D' END AS stratum, count(*) AS size
             FROM segs GROUP BY doc_id, source),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY doc_id) - 1 AS earlier FROM sizes),
         taken AS (SELECT *, CASE stratum WHEN 'C' THEN earlier + 2 < 51 ELSE earlier + 3 < 251 END AS ok FROM ranked),
         walked AS (SELECT *, 30 + sum(CASE WHEN ok THEN size ELSE 0 END) OVER (ORDER BY doc_id) - CASE WHEN ok THEN size ELSE 0 END AS size_before
             FROM taken),
-        kept AS (SELECT doc_id, stratum FROM walked WHERE ok AND size_before < 900)
-        SELECT doc_id AS conv_no, stratum, 0::BIGINT AS turn, seg, 'Speaker_0' AS speaker, text FROM segs JOIN kept USING (doc_id)
+        kept AS (SELECT doc_id, stratum FROM walked WHERE ok AND size_before < 2000)
+        SELECT doc_id AS conv_no, stratum, turn, seg, 'Speaker_' || speaker_no AS speaker, text
+        FROM segs JOIN kept USING (doc_id) JOIN numbers USING (doc_id, letter)
         UNION ALL SELECT doc_id, stratum, -1, -1, 'Dialogue' || doc_id, '' FROM kept"""
 
     # samples

@@ -225,36 +225,45 @@ def fleiss_kappa(df: DataFrame, raters: Sequence[str], by: Sequence[str] = ()) -
 
 
 QUARTILES = (0.25, 0.5, 0.75)
+SKETCH_SIZE = 10_000
+BRACKET_CELLS = 1_000
 
 
 def describe(df: DataFrame, column: str) -> DataFrame:
     """count, mean, std, min, exact quartiles (linear between neighbours) and max of a numeric column.
 
-    The values are counted, cut into ranges of about equal depth and totalled range by range, so no task has to hold or
-    sort the whole column.
+    A sketch brackets each quartile by two values. One pass counts the values below the brackets; only the few values
+    inside are ranked, cut into ranges, so no task has to hold or sort the column.
     """
-    given = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    counted = given.groupBy("v").agg(F.count("*").alias("_n"))
-    steps = ", ".join(f"{step / 256}D" for step in range(1, 256))
-    edges = given.agg(F.expr(f"percentile_approx(v, array({steps}), 10000)")).scalar()
-    below = F.size(F.filter("_edges", lambda edge: edge < F.col("v")))
-    ranged = counted.withColumn("_edges", edges).withColumn("_range", below).drop("_edges")
-    ranked = running(ranged, "v", sums={"_upto": F.col("_n")}, cell=F.col("_range"))
-    total = given.agg(F.count("*").cast("double")).scalar()
-    picks = []
-    for number, share in enumerate(QUARTILES):
-        place = F.lit(share) * (total - 1)
-        for side, wanted in (("low", F.floor(place)), ("high", F.ceil(place))):
-            here = (F.col("_upto") - F.col("_n") <= wanted) & (wanted < F.col("_upto"))
-            picks.append(F.max(F.when(here, F.col("v"))).alias(f"{side}{number}"))
-    found = ranked.agg(F.struct(*picks).alias("_found")).scalar()
-    basics = given.agg(
-        F.count("*").alias("count"), F.avg("v").alias("mean"), F.stddev("v").alias("std"), F.min("v").alias("min"),
-        F.max("v").alias("max"),
-    ).withColumn("_found", found)
-    quartiles = []
-    for number, share in enumerate(QUARTILES):
-        place = F.lit(share) * (F.col("count") - 1)
-        low, high = F.col(f"_found.low{number}"), F.col(f"_found.high{number}")
-        quartiles.append((low + (high - low) * (place - F.floor(place))).alias(f"p{int(share * 100)}"))
-    return basics.select("count", "mean", "std", "min", *quartiles, "max")
+    given = df.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    places = range(len(QUARTILES))
+    shares = [f"{share + side * 5 / SKETCH_SIZE}D" for share in QUARTILES for side in (-1, 1)]
+    edges = given.agg(F.expr(f"percentile_approx(v, array({', '.join(shares)}), {SKETCH_SIZE})")).scalar()
+    marked = given.withColumn("_edges", edges)
+    low, high = ([f"_edges[{2 * place + side}]" for place in places] for side in (0, 1))
+
+    sums = ["count(*) AS count", "avg(v) AS mean", "stddev(v) AS std", "min(v) AS min", "max(v) AS max"]
+    for i in places:
+        sums += [f"count_if(v < {low[i]}) AS below{i}", f"count_if(v BETWEEN {low[i]} AND {high[i]}) AS inside{i}",
+                 f"max(if(v < {low[i]}, v, NULL)) AS before{i}", f"min(if(v > {high[i]}, v, NULL)) AS after{i}"]
+    basics = marked.agg(*[F.expr(text) for text in sums])
+
+    within = [f"if(v BETWEEN {low[i]} AND {high[i]}, struct({i} AS place, {low[i]} AS low, {high[i]} AS high), NULL)" for i in places]
+    inside = marked.select("v", F.expr(f"inline(array_compact(array({', '.join(within)})))"))
+    counted = inside.groupBy("place", "low", "high", "v").agg(F.count("*").alias("_n"))
+    cell = F.expr(f"if(high > low, bigint({BRACKET_CELLS} * ((v - low) / (high - low))), 0L)")
+    ranked = running(counted, "v", sums={"_upto": F.col("_n")}, by=["place"], cell=cell)
+    ranked = ranked.withColumn("_b", basics.select(F.struct("*")).scalar())
+    picks, quartiles = [], []
+    for i, share in enumerate(QUARTILES):
+        place = f"({share}D * (_b.count - 1))"
+        for side, at in (("low", f"bigint(floor{place})"), ("high", f"bigint(ceil{place})")):
+            wanted = f"({at} - _b.below{i})"
+            here = f"place = {i} AND _upto - _n <= {wanted} AND {wanted} < _upto"
+            # The neighbours of a bracket stand in where a quartile lies just outside of it.
+            outside = f"max(CASE WHEN {wanted} = -1 THEN _b.before{i} WHEN {wanted} = _b.inside{i} THEN _b.after{i} END)"
+            picks.append(F.expr(f"coalesce(max(if({here}, v, NULL)), {outside}) AS {side}{i}"))
+        rest = f"{share}D * (count - 1) - floor({share}D * (count - 1))"
+        quartiles.append(F.expr(f"_f.low{i} + (_f.high{i} - _f.low{i}) * ({rest}) AS p{int(share * 100)}"))
+    found = ranked.agg(*picks).select(F.struct("*")).scalar()
+    return basics.withColumn("_f", found).select("count", "mean", "std", "min", *quartiles, "max")

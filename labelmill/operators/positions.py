@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from labelmill.settle import same, settle
+from labelmill.settle import lookup, same, settle
 
 CELL_ROWS = 100_000
 
@@ -157,10 +157,7 @@ def relabel_dialogues(df: DataFrame, source: str = "source", conv_no: str = "con
     runs = df.groupBy("chunk", source).agg(F.min(conv_no).alias("_first"), F.max(conv_no).alias("_last"))
     size = F.col("_last") - F.col("_first") + 1
     before = W.orderBy("chunk", source).rowsBetween(W.unboundedPreceding, -1)
-    starts = runs.withColumn("_start", F.coalesce(F.sum(size).over(before), F.lit(0)) - F.col("_first")).select(
-        F.col("chunk").alias("_chunk"), F.col(source).alias("_source"), "_start"
-    )
-    # k chunks of each source table: a handful of rows however long the tables are.
-    starts = F.broadcast(starts)
-    joined = df.join(starts, (df["chunk"] == starts["_chunk"]) & (df[source] == starts["_source"]))
-    return joined.withColumn("new_conv_no", F.col(conv_no) + F.col("_start")).drop("_chunk", "_source", "_start")
+    starts = runs.withColumn("_start", F.coalesce(F.sum(size).over(before), F.lit(0)) - F.col("_first"))
+    starts = starts.select("chunk", source, "_start")
+    joined = lookup(df, starts, ["chunk", source], F.floor(F.col(conv_no) / CELL_ROWS), how="inner")
+    return joined.withColumn("new_conv_no", F.col(conv_no) + F.col("_start")).drop("_start")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from labelmill import fixed_values as fixed
 from labelmill.operators.metrics import target_reports
+from labelmill.settle import lookup
 
 RUN_KEYS = ("dataset", "model_id", "generation_config")
 
@@ -31,8 +32,8 @@ def pending(wanted: DataFrame, finished: DataFrame, keys: Sequence[str]) -> Data
 
 
 def known_only(df: DataFrame, known: DataFrame, key: str = "dataset") -> DataFrame:
-    """Rows of the datasets in a registry, with the registry's columns."""
-    return df.join(known, key)
+    """Rows of the datasets in a registry, with the registry's columns; one dataset may hold most of the rows."""
+    return lookup(df, known, [key], F.pmod(F.xxhash64(*df.columns), F.lit(4096)), how="inner")
 
 
 def evaluate_runs(

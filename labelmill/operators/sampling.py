@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from labelmill.operators.positions import running
 from labelmill.settle import broadcast_if_small, lookup, same, settle
 
-KEY_DIGITS = 4
+# 4,096 cells per class: at 100 billion rows each one holds about 25 million ids.
+KEY_DIGITS = 3
 
 
 def shuffle_key(row_id: str | Column, seed: int) -> Column:

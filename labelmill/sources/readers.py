@@ -1,7 +1,7 @@
 """CSV, JSON and text readers.
 
 ``row_id`` counts records from 0 in file order. It is found from the position of each record in its file block and the
-number of records in the blocks before, so no record is sorted or moved for it.
+number of records in the blocks before, so no record is sorted for it.
 """
 
 from __future__ import annotations
@@ -10,32 +10,58 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
-from labelmill.settle import broadcast_if_small
+from labelmill.settle import broadcast_if_small, settle
 
 CSV_OPTIONS = {"header": True, "multiLine": True, "escape": '"', "encoding": "UTF-8", "mode": "PERMISSIVE"}
 
 CONVERSATION = "filename string, index string, conversation array<struct<speaker:string,utterance:string>>"
 REPORT_LINE = "map<string,string>"
+BROADCAST_BLOCKS = 1_000_000
 
 
 def with_positions(df: DataFrame, name: str = "row_id", per_file: bool = False) -> DataFrame:
-    """Add the position of each record of a file scan, over all files in path order or inside each file."""
-    blocks = df.select(
-        "*",
-        F.col("_metadata.file_path").alias("_path"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_at"),
+    """Add the position of each record of a text file scan, over all files in path order or inside each file.
+
+    Records are settled together with their place. A second scan could be cut into other blocks when executors come
+    and go, and would then give other places.
+    """
+    blocks = settle(
+        df.select(
+            "*",
+            F.col("_metadata.file_path").alias("_path"),
+            F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_at"),
+        )
     )
     sizes = blocks.groupBy("_path", "_block").agg(F.count("*").alias("_rows"), F.min("_at").alias("_first"))
-    in_order = W.partitionBy("_path").orderBy("_block") if per_file else W.orderBy("_path", "_block")
-    before = F.sum("_rows").over(in_order.rowsBetween(W.unboundedPreceding, -1))
-    starts = sizes.select(
-        F.col("_path").alias("_p"), F.col("_block").alias("_b"),
-        (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"),
+    shift = _rows_before(["_path", "_block"], per_file) - F.col("_first")
+    return _shifted(blocks, sizes.withColumn("_shift", shift), ["_path", "_block"], "_at", name)
+
+
+def read_parquet(spark: SparkSession, path: str | Sequence[str], per_file: bool = False) -> DataFrame:
+    """Parquet with positions. Its files number their own rows, so only the rows per file have to be counted."""
+    paths = [path] if isinstance(path, str) else list(path)
+    rows = spark.read.parquet(*paths).select(
+        "*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_at")
     )
-    starts = broadcast_if_small(starts, 1_000_000)
-    joined = blocks.join(starts, (blocks["_path"] == starts["_p"]) & (blocks["_block"] == starts["_b"]))
-    return joined.withColumn(name, F.col("_at") + F.col("_shift")).drop("_path", "_block", "_at", "_p", "_b", "_shift")
+    if per_file:
+        return rows.withColumnRenamed("_at", "row_id").drop("_path")
+    sizes = rows.groupBy("_path").agg(F.count("*").alias("_rows"))
+    return _shifted(rows, sizes.withColumn("_shift", _rows_before(["_path"], False)), ["_path"], "_at", "row_id")
+
+
+def _rows_before(keys: list[str], per_file: bool) -> Column:
+    in_order = W.partitionBy("_path").orderBy("_block") if per_file else W.orderBy(*keys)
+    return F.coalesce(F.sum("_rows").over(in_order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+
+
+def _shifted(rows: DataFrame, starts: DataFrame, keys: list[str], at: str, name: str) -> DataFrame:
+    """Add the shift of a row's file or block to its place there: one short row per block, broadcast after a count."""
+    renamed = starts.select(*[F.col(key).alias(f"_of{key}") for key in keys], "_shift")
+    renamed = broadcast_if_small(renamed, BROADCAST_BLOCKS)
+    test = [rows[key] == renamed[f"_of{key}"] for key in keys]
+    joined = rows.join(renamed, test).withColumn(name, F.col(at) + F.col("_shift"))
+    return joined.drop(at, "_shift", *keys, *[f"_of{key}" for key in keys])
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

@@ -105,3 +105,14 @@ def test_ties_follow_the_name(frame):
 def test_known_only(frame):
     df = frame([("a", 1), ("b", 2)], "dataset string, n long")
     assert runs.known_only(df, frame([("b", "path")], "dataset string, gold string")).first().asDict() == {"dataset": "b", "n": 2, "gold": "path"}
+
+
+def test_known_only_with_a_hot_dataset(spark, monkeypatch):
+    from labelmill import settle
+
+    df = spark.range(3000).selectExpr("id", "if(id % 3 < 2, 'hot', concat('d', id)) as dataset")
+    known = spark.createDataFrame([("hot", 1), ("d2", 2), ("none", 3)], "dataset string, rank int")
+    expected = runs.known_only(df, known)
+    assert expected.count() == 2001
+    monkeypatch.setattr(settle.lookup, "__defaults__", (*settle.lookup.__defaults__[:-1], 0))
+    assert runs.known_only(df, known).exceptAll(expected).isEmpty() and runs.known_only(df, known).count() == 2001

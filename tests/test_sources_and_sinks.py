@@ -45,6 +45,12 @@ def test_positions_over_blocks_and_files(spark, tmp_path, monkeypatch):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_parquet_positions(spark, tmp_path):
+    spark.range(1000).repartitionByRange(4, "id").sortWithinPartitions("id").write.parquet(f"{tmp_path}/t")
+    assert readers.read_parquet(spark, f"{tmp_path}/t").where("row_id <> id").isEmpty()
+    assert readers.read_parquet(spark, f"{tmp_path}/t", per_file=True).where("row_id = 0").count() == 4
+
+
 def test_invalid_bytes(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes(b"text,label\nab\xffc,joy\n")
     assert readers.read_csv(spark, f"{tmp_path}/a.csv", "text string, label string").first()["text"] == "ab�c"
