@@ -253,7 +253,8 @@ def describe(df: DataFrame, column: str) -> DataFrame:
     counted = inside.groupBy("place", "low", "high", "v").agg(F.count("*").alias("_n"))
     cell = F.expr(f"if(high > low, bigint({BRACKET_CELLS} * ((v - low) / (high - low))), 0L)")
     ranked = running(counted, "v", sums={"_upto": F.col("_n")}, by=["place"], cell=cell)
-    ranked = ranked.withColumn("_b", basics.select(F.struct("*")).scalar())
+    totals = basics.select(F.struct("*")).scalar()
+    ranked = ranked.withColumn("_b", totals)
     picks, quartiles = [], []
     for i, share in enumerate(QUARTILES):
         place = f"({share}D * (_b.count - 1))"
@@ -263,7 +264,7 @@ def describe(df: DataFrame, column: str) -> DataFrame:
             # The neighbours of a bracket stand in where a quartile lies just outside of it.
             outside = f"max(CASE WHEN {wanted} = -1 THEN _b.before{i} WHEN {wanted} = _b.inside{i} THEN _b.after{i} END)"
             picks.append(F.expr(f"coalesce(max(if({here}, v, NULL)), {outside}) AS {side}{i}"))
-        rest = f"{share}D * (count - 1) - floor({share}D * (count - 1))"
-        quartiles.append(F.expr(f"_f.low{i} + (_f.high{i} - _f.low{i}) * ({rest}) AS p{int(share * 100)}"))
-    found = ranked.agg(*picks).select(F.struct("*")).scalar()
-    return basics.withColumn("_f", found).select("count", "mean", "std", "min", *quartiles, "max")
+        rest = f"{share}D * (_b.count - 1) - floor{place}"
+        quartiles.append(F.expr(f"low{i} + (high{i} - low{i}) * ({rest}) AS p{int(share * 100)}"))
+    found = ranked.agg(*picks).withColumn("_b", totals)
+    return found.select("_b.count", "_b.mean", "_b.std", "_b.min", *quartiles, "_b.max")
