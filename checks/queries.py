@@ -11,6 +11,7 @@ from labelmill.functions import names, prompts, text
 from labelmill.operators import dialogs, metrics, positions, runs, sampling, scoring, tables
 from labelmill.plans.flatten import sample_segments
 from labelmill.plans.predict import predict_posts
+from labelmill.settle import settle
 from labelmill.sinks import writers
 from labelmill.sources.readers import read_parquet, spread
 
@@ -439,7 +440,7 @@ def dialogue_number(spark, folder):
 @query
 def chunk_relabel(spark, folder):
     rows = marker_table(spark, folder)
-    one = dialogs.number_dialogues(rows, dialogs.is_marker(F.col("speaker"))).select("conv_no", "turn")
+    one = settle(dialogs.number_dialogues(rows, dialogs.is_marker(F.col("speaker"))).select("conv_no", "turn"))
     two = documents(spark, folder).select(F.col("doc_id").alias("conv_no"), F.lit(0).cast("long").alias("turn"))
     both = positions.chunk_dialogues(one, 7).withColumn("source", F.lit("E")).unionByName(
         positions.chunk_dialogues(two, 7).withColumn("source", F.lit("D"))
@@ -534,7 +535,7 @@ def stratified_split(spark, folder):
 
 @query
 def fixed_split(spark, folder):
-    return sampling.fixed_split(documents(spark, folder).select("doc_id", "lang"), "lang", 20, 30, 42, "doc_id")
+    return sampling.fixed_split(documents(spark, folder).select("doc_id", "lang"), "lang", 5, 7, 42, "doc_id")
 
 
 @query

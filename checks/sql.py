@@ -369,7 +369,7 @@ def oracle_sql() -> dict[str, str]:
         SELECT doc_id, source, CASE WHEN place <= quota THEN 'train' ELSE 'test' END AS split FROM ranked JOIN quotas USING (source)"""
     sql["fixed_split"] = f"""WITH ranked AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {key('doc_id', 42)}, doc_id) AS place
             FROM documents)
-        SELECT doc_id, lang, CASE WHEN place <= 20 THEN 'train' WHEN place <= 50 THEN 'test' ELSE 'rest' END AS split FROM ranked"""
+        SELECT doc_id, lang, CASE WHEN place <= 5 THEN 'train' WHEN place <= 12 THEN 'test' ELSE 'rest' END AS split FROM ranked"""
     sql["random_split"] = f"""WITH ranked AS (SELECT doc_id, lang, row_number() OVER (ORDER BY {key('doc_id', 42)}, doc_id) AS place,
             count(*) OVER () AS n FROM documents)
         SELECT doc_id, lang, CASE WHEN place <= n - ceil(0.15e0 * n) THEN 'train' ELSE 'test' END AS split FROM ranked"""

@@ -48,6 +48,11 @@ def run_folder(settings: Mapping[str, Column]) -> Column:
     return F.concat_ws("-", *pairs)
 
 
+def run_name(settings: Mapping[str, object]) -> str:
+    """The same for one run whose settings the caller holds."""
+    return "-".join(f"{name}={value}" for name, value in settings.items())
+
+
 def generation_config(
     max_new_tokens: Column,
     temperature: Column,

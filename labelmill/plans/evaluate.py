@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from labelmill import fixed_values as fixed
 from labelmill.operators.runs import RUN_KEYS, evaluate_runs, leaderboard, literal_table, pending
-from labelmill.sources.readers import read_reports, read_runs
+from labelmill.sinks.writers import report_documents, write_documents
+from labelmill.sources.readers import read_documents, read_reports, read_runs
 
+REPORT_KEYS = (*RUN_KEYS, "target")
 PREDICTIONS = f"text string, {fixed.SENTIMENT_COLUMN} string, {fixed.EMOTION_COLUMN} string"
 
 
@@ -20,7 +22,17 @@ def evaluate_tree(
     """Reports of all runs under ``root`` in one job. ``gold`` holds dataset, row_id and the voted labels; runs of
     datasets it does not have are left out. ``finished`` holds run keys and targets that have a report already."""
     reports = evaluate_runs(read_runs(spark, root, file, schema), gold)
-    return reports if finished is None else pending(reports, finished, [*RUN_KEYS, "target"])
+    return reports if finished is None else pending(reports, finished, REPORT_KEYS)
+
+
+def store_reports(reports: DataFrame, path: str) -> None:
+    """Add the documents of new reports to the stored ones."""
+    write_documents(report_documents(reports), path, mode="append")
+
+
+def stored_reports(spark: SparkSession, path: str) -> DataFrame:
+    """Reports written by :func:`store_reports`; the keys serve as ``finished`` of the next evaluation."""
+    return read_documents(spark, path, REPORT_KEYS)
 
 
 def consolidate(spark: SparkSession, root: str, datasets: Sequence[str], target: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from labelmill import fixed_values as fixed
 from labelmill.operators.positions import row_ids
@@ -95,6 +95,11 @@ def write_predictions(scored: DataFrame, raw_path: str, label_path: str, input_c
     write_csv(ordered.select(*input_columns, fixed.SENTIMENT_COLUMN, fixed.EMOTION_COLUMN), label_path, mode=mode)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def stored(like: DataFrame, path: str) -> DataFrame:
     """The Parquet table at ``path``, or an empty one of the same columns when there is none yet."""
     try:

@@ -17,12 +17,13 @@ CSV_OPTIONS = {"header": True, "multiLine": True, "escape": '"', "encoding": "UT
 CONVERSATION = "filename string, index string, conversation array<struct<speaker:string,utterance:string>>"
 REPORT_LINE = "map<string,string>"
 BROADCAST_BLOCKS = 1_000_000
+PART_FILE = "/part-[^/]*$"
 
 
 def with_positions(df: DataFrame, name: str = "row_id", per_file: bool = False) -> DataFrame:
     """Add the position of each record of a text file scan, over all files in path order or inside each file.
 
-    Records are settled together with their place. A second scan could be cut into other blocks when executors come
+    The part files of one folder count as one file. Records are settled together with their place. A second scan could be cut into other blocks when executors come
     and go, and would then give other places.
     """
     blocks = settle(
@@ -44,14 +45,13 @@ def read_parquet(spark: SparkSession, path: str | Sequence[str], per_file: bool
     rows = spark.read.parquet(*paths).select(
         "*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_at")
     )
-    if per_file:
-        return rows.withColumnRenamed("_at", "row_id").drop("_path")
     sizes = rows.groupBy("_path").agg(F.count("*").alias("_rows"))
-    return _shifted(rows, sizes.withColumn("_shift", _rows_before(["_path"], False)), ["_path"], "_at", "row_id")
+    return _shifted(rows, sizes.withColumn("_shift", _rows_before(["_path"], per_file)), ["_path"], "_at", "row_id")
 
 
 def _rows_before(keys: list[str], per_file: bool) -> Column:
-    in_order = W.partitionBy("_path").orderBy("_block") if per_file else W.orderBy(*keys)
+    whole_file = F.regexp_replace("_path", PART_FILE, "")
+    in_order = W.partitionBy(whole_file).orderBy(*keys) if per_file else W.orderBy(*keys)
     return F.coalesce(F.sum("_rows").over(in_order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
 
 
@@ -128,24 +128,25 @@ def read_lines(spark: SparkSession, path: str, row_id: bool = True) -> DataFrame
     return with_positions(df) if row_id else df
 
 
-def run_of(path: Column, depth: int = 0) -> dict[str, Column]:
-    """Dataset, model and settings from ``<dataset>/<model>/<config>/<file>``, as the folder names are spelled."""
-    parts = F.split(path, "/")
+def run_of(path: Column) -> dict[str, Column]:
+    """Dataset, model and settings from ``<dataset>/<model>/<config>/<file>``, as the folder names are spelled; the file
+    may be a folder of part files."""
+    parts = F.split(F.regexp_replace(path, PART_FILE, ""), "/")
     names = {"dataset": -4, "model_id": -3, "generation_config": -2}
     return {
-        name: F.call_function("url_decode", F.replace(F.element_at(parts, place - depth), F.lit("+"), F.lit("%2B")))
+        name: F.call_function("url_decode", F.replace(F.element_at(parts, place), F.lit("+"), F.lit("%2B")))
         for name, place in names.items()
     }
 
 
 def find_runs(spark: SparkSession, root: str, file: str = "predictions.csv") -> DataFrame:
     """One row per run folder that holds ``file``; only names are read, not contents."""
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", file).load(f"{root}/*/*/*/")
-    return listed.select(*[value.alias(name) for name, value in run_of(F.col("path")).items()], "path")
+    listed = spark.read.format("binaryFile").load(f"{root}/*/*/*/{file}")
+    return listed.select(*[value.alias(name) for name, value in run_of(F.col("path")).items()]).distinct()
 
 
 def read_runs(spark: SparkSession, root: str, file: str, schema: str | T.StructType) -> DataFrame:
-    """The tables of all runs as one, with run columns and positions inside each file."""
+    """The tables of all runs as one, with run columns and positions inside each run's file."""
     scan = spark.read.options(**CSV_OPTIONS).schema(schema).csv(f"{root}/*/*/*/{file}")
     named = with_positions(scan.withColumn("_file", F.col("_metadata.file_path")), per_file=True)
     return named.withColumns(run_of(F.col("_file"))).drop("_file")
@@ -154,18 +155,28 @@ def read_runs(spark: SparkSession, root: str, file: str, schema: str | T.StructT
 def read_reports(spark: SparkSession, root: str, file: str = "*_report.json") -> DataFrame:
     """Stored metric reports as long rows: run columns, target, label, precision, recall, f1, support."""
     scan = spark.read.text(f"{root}/*/*/*/{file}", wholetext=True)
-    files = scan.select(F.col("_metadata.file_path").alias("_file"), "value")
+    files = scan.select(F.col("_metadata.file_path").alias("_file"), F.col("value").alias("document"))
     target = F.regexp_extract("_file", r"([^/]+)_report\.json$", 1)
-    entries = files.withColumns(run_of(F.col("_file")) | {"target": target}).select(
-        "dataset", "model_id", "generation_config", "target",
-        F.posexplode(F.map_entries(F.from_json("value", REPORT_LINE))).alias("ordinal", "entry"),
+    return report_lines(files.withColumns(run_of(F.col("_file")) | {"target": target}).drop("_file"))
+
+
+def read_documents(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The same from documents stored in folders named by their keys."""
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in ("document", *keys)])
+    return report_lines(spark.read.schema(schema).text(path, wholetext=True))
+
+
+def report_lines(documents: DataFrame) -> DataFrame:
+    """Rows of JSON reports, with the other columns of the documents as keys."""
+    keys = [column for column in documents.columns if column != "document"]
+    entries = documents.select(
+        *keys, F.posexplode(F.map_entries(F.from_json("document", REPORT_LINE))).alias("ordinal", "entry")
     )
     fields = F.from_json("entry.value", "precision double, recall double, `f1-score` double, support double")
     bare = F.expr("try_cast(entry.value as double)")
     # A bare number stands for all three scores of the accuracy line.
     return entries.withColumn("_fields", fields).select(
-        "dataset", "model_id", "generation_config", "target", F.col("ordinal").cast("long").alias("ordinal"),
-        F.col("entry.key").alias("label"),
+        *keys, F.col("ordinal").cast("long").alias("ordinal"), F.col("entry.key").alias("label"),
         F.coalesce(F.col("_fields.precision"), bare).alias("precision"),
         F.coalesce(F.col("_fields.recall"), bare).alias("recall"),
         F.coalesce(F.col("_fields")["f1-score"], bare).alias("f1"),

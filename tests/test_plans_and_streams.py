@@ -3,9 +3,13 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from labelmill import fixed_values as fixed
 from labelmill.functions import prompts, text as tx
-from labelmill.operators import dialogs, metrics, positions, sampling
+from labelmill.operators import dialogs, metrics, positions, runs, sampling
+from labelmill.plans.evaluate import evaluate_tree, store_reports, stored_reports
 from labelmill.plans.flatten import sample_segments
+from labelmill.plans.predict import predict_run
+from labelmill.sources.readers import find_runs
 from labelmill.streaming import posts as streams
 
 RECORD = "row_id long, filename string, conversation array<struct<speaker:string,utterance:string>>"
@@ -94,3 +98,44 @@ def test_results_do_not_depend_on_partitions(spark, parts):
     assert tuple(split) == tuple(
         sampling.stratified_split(df.coalesce(1), "label").where("split = 'train'").agg(F.sum("row_id"), F.count("*")).first()
     )
+
+
+def make_scorer(answers):
+    def factory():
+        return lambda asked: [answers[int("late" in prompt)] for prompt in asked]
+
+    return factory
+
+
+def test_from_posts_to_leaderboard(spark, tmp_path):
+    """Two runs are predicted, evaluated, stored and ranked; a second round finds nothing left to do."""
+    posts = 'text,id\n"so, happy",1\n"two\nlines",2\nlate,3\n'
+    (tmp_path / "posts.v1.csv").write_text(posts)
+    runs_root, settings = f"{tmp_path}/runs", {"max_new_toks": 30, "temp": 0.01, "combine_prompts": True}
+    folders = [
+        predict_run(spark, f"{tmp_path}/posts.v1.csv", "text string, id int", runs_root, model, make_scorer(answers), settings)
+        for model, answers in (("good", ("Happiness positive", "anger, negative")), ("bad", ("no idea", "fear")))
+    ]
+    assert folders[0] == f"{runs_root}/posts/good/max_new_toks=30-temp=0.01-combine_prompts=True"
+    again = predict_run(spark, f"{tmp_path}/posts.v1.csv", "text string, id int", runs_root, "good", None, settings)
+    assert again == folders[0]
+    raw = spark.read.options(header=True, multiLine=True, escape='"').csv(f"{folders[0]}/raw.csv")
+    assert raw.columns == ["text", "id", fixed.RAW_COLUMN] and raw.where("text = 'two\nlines'").count() == 1
+    gold = spark.createDataFrame(
+        [("posts", 0, "happiness", "positive"), ("posts", 1, "happiness", "positive"), ("posts", 2, "anger", "negative")],
+        "dataset string, row_id long, voted_emotion string, voted_sentiment string",
+    )
+    schema = f"text string, id int, {fixed.SENTIMENT_COLUMN} string, {fixed.EMOTION_COLUMN} string"
+    assert find_runs(spark, runs_root).count() == 2
+    reports = evaluate_tree(spark, runs_root, gold, schema=schema)
+    store_reports(reports.where("not (model_id = 'bad' and target = 'emotion')"), f"{tmp_path}/reports")
+    finished = stored_reports(spark, f"{tmp_path}/reports")
+    rest = evaluate_tree(spark, runs_root, gold, finished, schema=schema)
+    assert rest.select("model_id", "target").distinct().collect() == [("bad", "emotion")]
+    store_reports(rest, f"{tmp_path}/reports")
+    finished = stored_reports(spark, f"{tmp_path}/reports")
+    assert evaluate_tree(spark, runs_root, gold, finished, schema=schema).isEmpty()
+    board = runs.leaderboard(finished).collect()
+    assert [(row["target"], row["model_id"], row["score"]) for row in board] == [
+        ("emotion", "good", 1.0), ("emotion", "bad", 0.0), ("sentiment", "good", 1.0), ("sentiment", "bad", 0.0)
+    ]
