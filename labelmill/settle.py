@@ -7,6 +7,7 @@ import tempfile
 from pyspark.sql import Column, DataFrame, functions as F
 
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 128 * 1024 * 1024
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -27,10 +28,23 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fits(held: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a settled table is small enough to broadcast: at most ``rows`` rows, and its texts within a fixed size."""
+    texts = [F.octet_length(name) for name, kind in held.dtypes if kind in ("string", "binary")]
+    texts += [
+        F.octet_length(F.to_json(F.struct(name))) for name, kind in held.dtypes if kind.startswith(("array", "struct", "map"))
+    ]
+    size = F.lit(0).cast("long")
+    for text in texts:
+        size = size + F.coalesce(text, F.lit(0))
+    counted = held.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("size")).first()
+    return counted["n"] <= rows and counted["size"] <= BROADCAST_BYTES
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Settle ``df`` and hint a broadcast only when it was counted to hold at most ``rows`` rows."""
+    """Settle ``df`` and hint a broadcast only when it was found to fit."""
     held = settle(df)
-    return F.broadcast(held) if held.count() <= rows else held
+    return F.broadcast(held) if fits(held, rows) else held
 
 
 def same(left: DataFrame, right: DataFrame, names: dict[str, str]) -> Column:
@@ -51,13 +65,13 @@ def lookup(
 ) -> DataFrame:
     """Join ``df`` to a table that holds each key once, when a few keys of ``df`` may hold most of its rows.
 
-    The table is settled and counted. Up to ``rows`` rows it is broadcast and ``df`` is not shuffled. A larger table
-    is first repeated for the (key, ``spread``) pairs that occur, so no join key holds more rows than one spread cell.
+    The table is settled and measured. One that fits is broadcast and ``df`` is not shuffled. A larger one is first
+    repeated for the (key, ``spread``) pairs that occur, so no join key holds more rows than one spread cell.
     """
     held = settle(table)
     renamed = held.withColumnsRenamed({key: f"_on_{key}" for key in on})
     pairs = {key: f"_on_{key}" for key in on}
-    if held.count() <= rows:
+    if fits(held, rows):
         small = F.broadcast(renamed)
         return df.join(small, same(df, small, pairs), how).drop(*pairs.values())
     wide = df.withColumn("_cell", spread)

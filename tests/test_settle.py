@@ -1,0 +1,30 @@
+import pytest
+from pyspark.sql import functions as F
+
+from labelmill import settle
+
+
+def test_fits(spark, monkeypatch):
+    df = spark.range(10).select("id", F.repeat(F.lit("x"), 100).alias("text"), F.array(F.lit("y")).alias("more"))
+    assert settle.fits(df) and not settle.fits(df, 9)
+    monkeypatch.setattr(settle, "BROADCAST_BYTES", 999)
+    assert not settle.fits(df) and settle.fits(df.select("id"))
+    assert settle.fits(df.limit(0))
+
+
+def test_settled_copy(spark):
+    df = spark.range(5).withColumn("r", F.rand())
+    held = settle.settle(df)
+    assert held.collect() == held.collect()
+    assert "Range" not in held._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("rows", [100, 0])
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_lookup_keeps_rows_and_nulls(spark, rows, how):
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "z"), (4, "a")], "id long, key string")
+    table = spark.createDataFrame([("a", 10), (None, 20)], "key string, value int")
+    out = settle.lookup(df, table, ["key"], F.col("id") % 2, how, rows)
+    found = {row["id"]: row["value"] for row in out.collect()}
+    expected = {1: 10, 2: 20, 4: 10} | ({3: None} if how == "left" else {})
+    assert found == expected and out.columns == ["id", "key", "value"]
