@@ -1,7 +1,7 @@
 """Positions without a one-task sort: running totals, row numbers, slices, annotation batches and dialogue chunks.
 
-A running total is cut into cells that follow the order. Each cell is summed by its own window partition and gets the
-total of the cells before it from a small table, so neither one group nor the whole table ends up in one task.
+A running total is cut into cells that follow the order. Each cell is summed by its own window partition, led by a row
+with the total of the cells before it, so neither one group nor the whole table ends up in one task.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from labelmill.settle import lookup, same, settle
+from labelmill.settle import lookup, settle
 
 CELL_ROWS = 100_000
 
@@ -30,30 +30,30 @@ def running(
     order = [order] if isinstance(order, str) else list(order)
     sums, maxes, by = dict(sums or {}), dict(maxes or {}), list(by)
     keys = [*by, "_cell"]
-    cells = df.withColumn("_cell", F.floor(F.col(order[0]) / CELL_ROWS) if cell is None else cell)
+    cells = df.withColumns(
+        {"_cell": F.floor(F.col(order[0]) / CELL_ROWS) if cell is None else cell, "_lead": F.lit(1)}
+        | {f"_add_{name}": value for name, value in sums.items()}
+        | {f"_top_{name}": value for name, value in maxes.items()}
+    )
     totals = cells.groupBy(*keys).agg(
-        *[F.sum(value).alias(f"_before_{name}") for name, value in sums.items()],
-        *[F.max(value).alias(f"_before_{name}") for name, value in maxes.items()],
+        F.lit(0).alias("_lead"),
+        *[F.sum(f"_add_{name}").alias(f"_add_{name}") for name in sums],
+        *[F.max(f"_top_{name}").alias(f"_top_{name}") for name in maxes],
     )
     earlier = W.partitionBy(*by).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(
-        *[F.col(key).alias(f"_key{key}") for key in keys],
-        *[F.coalesce(F.sum(f"_before_{name}").over(earlier), F.lit(0)).alias(f"_before_{name}") for name in sums],
-        *[F.max(f"_before_{name}").over(earlier).alias(f"_before_{name}") for name in maxes],
-    )
-    inside = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    local = cells.withColumns(
-        {name: F.sum(value).over(inside) for name, value in sums.items()}
-        | {name: F.max(value).over(inside) for name, value in maxes.items()}
+    before = totals.withColumns(
+        {f"_add_{name}": F.coalesce(F.sum(f"_add_{name}").over(earlier), F.lit(0)) for name in sums}
+        | {f"_top_{name}": F.max(f"_top_{name}").over(earlier) for name in maxes}
     )
-    test = local["_cell"] == offsets["_key_cell"]
-    if by:
-        test = test & same(local, offsets, {key: f"_key{key}" for key in by})
-    out = local.join(offsets, test).withColumns(
-        {name: F.coalesce(F.col(name), F.lit(0)) + F.col(f"_before_{name}") for name in sums}
-        | {name: F.greatest(name, f"_before_{name}") for name in maxes}
+    # One row with what came before leads every cell, so the window needs no join to go on from it.
+    led = cells.unionByName(before, allowMissingColumns=True)
+    inside = W.partitionBy(*keys).orderBy("_lead", *order).rowsBetween(W.unboundedPreceding, 0)
+    out = led.withColumns(
+        {name: F.sum(f"_add_{name}").over(inside) for name in sums}
+        | {name: F.max(f"_top_{name}").over(inside) for name in maxes}
     )
-    return out.drop("_cell", *offsets.columns)
+    helpers = ["_cell", "_lead", *[f"_add_{name}" for name in sums], *[f"_top_{name}" for name in maxes]]
+    return out.where(F.col("_lead") == 1).drop(*helpers)
 
 
 def row_ids(df: DataFrame, order_by: Sequence[str | Column], name: str = "row_id") -> DataFrame:
