@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from labelmill.settle import lookup, settle
+from labelmill.settle import land, lookup
 
 CELL_ROWS = 100_000
 
@@ -59,9 +59,9 @@ def running(
 def row_ids(df: DataFrame, order_by: Sequence[str | Column], name: str = "row_id") -> DataFrame:
     """Number all rows from 0 in the given order.
 
-    The sorted rows are settled once, so the number of rows per sorted part cannot change between the two passes.
+    The sorted rows are landed once, so the number of rows per sorted part cannot change between the two passes.
     """
-    ranked = settle(df.orderBy(*order_by).withColumn("_at", F.monotonically_increasing_id()))
+    ranked = land(df.orderBy(*order_by).withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", 33)
     parts = ranked.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
     before = F.sum("_rows").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))

@@ -13,7 +13,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from labelmill.operators.positions import running
-from labelmill.settle import broadcast_if_small, lookup, same, settle
+from labelmill.settle import broadcast_if_small, land, lookup, same, settle
 
 # 4,096 cells per class: at 100 billion rows each one holds about 25 million ids.
 KEY_DIGITS = 3
@@ -179,9 +179,9 @@ def quota_sample(
     ``cap`` or every quota is full. ``carried`` counts and sizes of an earlier sample are taken over.
 
     Kept rows come back with ``kept_before`` (rows of their stratum) and ``size_before`` (all strata). The walk reads its
-    input several times and settles it first, so hand in ids, strata and sizes rather than texts.
+    input several times and lands it first, so hand in ids, strata and sizes rather than texts.
     """
-    df = settle(df)
+    df = land(df)
     carried = dict(carried or {})
     names = list(quotas)
     # A row is accepted while carried + earlier < quota, so ceil(quota - carried) rows of a stratum are.

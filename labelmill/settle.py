@@ -3,20 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 128 * 1024 * 1024
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from the copy, so a lost executor costs no recount.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a folder of our own is used in local
-    mode only.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session: the one the cluster names in ``spark.checkpoint.dir``, or, in local mode
+    only, one of our own where none is named."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -25,9 +22,26 @@ def settle(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="labelmill-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Checkpoint a short table, so a lost executor costs no recount and later passes see the same rows."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def land(df: DataFrame) -> DataFrame:
+    """The same for tables as long as the data: written as Parquet next to the checkpoints, so that later passes read
+    only the columns they need."""
+    spark = df.sparkSession
+    if "void" in df.schema.simpleString():
+        return settle(df)
+    path = f"{shared_folder(spark)}/landed-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def fits(held: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether a settled table is small enough to broadcast: at most ``rows`` rows, and its texts within a fixed size."""
     texts = [F.octet_length(name) for name, kind in held.dtypes if kind in ("string", "binary")]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from labelmill import fixed_values as fixed
 from labelmill.operators.positions import row_ids
 from labelmill.operators.runs import RUN_KEYS, pending
-from labelmill.settle import settle
+from labelmill.settle import land
 
 CSV_OPTIONS = {
     "header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
@@ -85,8 +85,8 @@ def write_documents(documents: DataFrame, path: str, mode: str = "errorifexists"
 
 def write_predictions(scored: DataFrame, raw_path: str, label_path: str, input_columns: Sequence[str],
                       order_by: Sequence[str] = ("row_id",), mode: str = "errorifexists") -> None:
-    """The raw and the label table side by side; answers are settled first, so both hold the same ones."""
-    held = settle(scored)
+    """The raw and the label table side by side; answers are landed first, so both hold the same ones."""
+    held = land(scored)
     raws = [
         name for name in (fixed.RAW_COLUMN, fixed.EMOTION_RAW_COLUMN, fixed.SENTIMENT_RAW_COLUMN) if name in held.columns
     ]

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
-from labelmill.settle import broadcast_if_small, settle
+from labelmill.settle import broadcast_if_small, land
 
 CSV_OPTIONS = {"header": True, "multiLine": True, "escape": '"', "encoding": "UTF-8", "mode": "PERMISSIVE"}
 
@@ -23,10 +23,10 @@ PART_FILE = "/part-[^/]*$"
 def with_positions(df: DataFrame, name: str = "row_id", per_file: bool = False) -> DataFrame:
     """Add the position of each record of a text file scan, over all files in path order or inside each file.
 
-    The part files of one folder count as one file. Records are settled together with their place. A second scan could be cut into other blocks when executors come
+    The part files of one folder count as one file. Records are landed together with their place. A second scan could be cut into other blocks when executors come
     and go, and would then give other places.
     """
-    blocks = settle(
+    blocks = land(
         df.select(
             "*",
             F.col("_metadata.file_path").alias("_path"),

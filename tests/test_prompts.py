@@ -79,7 +79,7 @@ def test_parse_flag_errors(one):
 
 
 def test_names(one):
-    assert one(names.dataset_name(F.col("p")), p="data/drone/all.tweets.csv") == "all"
+    assert one(names.dataset_name(F.col("p")), p="data/posts/all.v2.csv") == "all"
     assert one(names.dataset_name(F.col("p")), p="plain") == "plain"
     config = names.generation_config(F.lit(30), F.lit("0.01"), F.lit("1.05"), F.lit(True), F.lit(False), F.lit(True))
     assert one(config) == "max_new_toks=30-temp=0.01-rep_pen=1.05-combine_prompts=True-few_shots=False-include_roles=True"

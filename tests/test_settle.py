@@ -19,6 +19,14 @@ def test_settled_copy(spark):
     assert "Range" not in held._jdf.queryExecution().executedPlan().toString()
 
 
+def test_landed_copy(spark):
+    df = spark.range(5).select("id", F.rand().alias("r r"), F.array(F.struct(F.col("id").alias("x"))).alias("nested"))
+    held = settle.land(df)
+    assert sorted(held.collect()) == sorted(held.collect()) and held.dtypes == df.dtypes
+    assert "ReadSchema: struct<id:bigint>" in held.select("id")._jdf.queryExecution().executedPlan().toString()
+    assert settle.land(df.withColumn("nothing", F.lit(None))).count() == 5
+
+
 @pytest.mark.parametrize("rows", [100, 0])
 @pytest.mark.parametrize("how", ["left", "inner"])
 def test_lookup_keeps_rows_and_nulls(spark, rows, how):
