@@ -284,7 +284,7 @@ def parse_flag(spark, folder):
         "doc_id",
         names.parse_flag(worded).alias("quality"),
         names.parse_flag(F.col("toxic")).alias("toxic"),
-        names.parse_flag(F.concat(worded, F.lit("?")), strict=False).alias("unknown"),
+        names.parse_flag(F.replace(worded, F.lit("f"), F.lit("maybe")), strict=False).cast("string").alias("lenient"),
     )
 
 
@@ -558,7 +558,8 @@ def accuracy(spark, folder):
 
 @query
 def accuracy_by_label(spark, folder):
-    return rounded(metrics.accuracy_by_label(rated(spark, folder), "lang", "word", [*LANGUAGES, "it"]), "accuracy")
+    """A label without rows has no accuracy, shown as -1."""
+    return rounded(metrics.accuracy_by_label(rated(spark, folder), "lang", "word", [*LANGUAGES, "it"]), "accuracy").fillna(-1.0)
 
 
 @query

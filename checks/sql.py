@@ -260,7 +260,7 @@ def oracle_sql() -> dict[str, str]:
 
     # names and flags
     sql["dataset_name"] = "SELECT page_id, string_split(string_split(url, '/')[-1], '.')[1] AS dataset FROM pages"
-    sql["parse_flag"] = "SELECT doc_id, quality = 1 AS quality, toxic = 1 AS toxic, NULL::BOOLEAN AS unknown FROM labels"
+    sql["parse_flag"] = "SELECT doc_id, quality = 1 AS quality, toxic = 1 AS toxic, CASE WHEN quality = 1 THEN 'true' END AS lenient FROM labels"
     sql["run_folder"] = """SELECT doc_id, 'max_new_toks=' || n_chars || '-temp=0.01-rep_pen=1.05-combine_prompts='
         || CASE WHEN quality = 1 THEN 'True' ELSE 'False' END || '-few_shots=' || CASE WHEN toxic = 1 THEN 'True' ELSE 'False' END
         || '-include_roles=' || CASE WHEN lang = 'en' THEN 'True' ELSE 'False' END AS config, source || doc_id AS id
@@ -383,7 +383,7 @@ def oracle_sql() -> dict[str, str]:
     sql["accuracy"] = f"""WITH {RATED} SELECT source, count(*) AS n, round(avg(CASE WHEN lang = word THEN 1e0 ELSE 0e0 END), 10) AS accuracy
         FROM rated GROUP BY source"""
     sql["accuracy_by_label"] = f"""WITH {RATED} SELECT label, count(doc_id) AS n,
-        round(avg(CASE WHEN doc_id IS NULL THEN NULL WHEN lang = word THEN 1e0 ELSE 0e0 END), 10) AS accuracy
+        coalesce(round(avg(CASE WHEN doc_id IS NULL THEN NULL WHEN lang = word THEN 1e0 ELSE 0e0 END), 10), -1) AS accuracy
         FROM (VALUES ('en'), ('fr'), ('de'), ('es'), ('it')) v(label) LEFT JOIN rated ON lang = label GROUP BY label"""
     sql["accuracy_by_seen_label"] = f"""WITH {RATED} SELECT lang AS label, count(*) AS n,
         round(avg(CASE WHEN lang = bare THEN 1e0 ELSE 0e0 END), 10) AS accuracy FROM rated GROUP BY lang"""

@@ -10,6 +10,12 @@ SENTIMENT_IDS = {"positive": 2, "neutral": 1, "negative": 0}
 TRUE_WORDS = ("yes", "true", "t", "y", "1")
 FALSE_WORDS = ("no", "false", "f", "n", "0")
 
+# Spellings of a missing value in CSV files written by data frame libraries.
+MISSING_WORDS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+    "NaN", "None", "n/a", "nan", "null",
+)
+
 EMOTION_COLUMN = "llama3_emotion"
 SENTIMENT_COLUMN = "llama3_sentiment"
 RAW_COLUMN = "llama3_raw"

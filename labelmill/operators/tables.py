@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from labelmill.functions.prompts import build_prompt, check_target, task_context
 from labelmill.functions.sql_text import values
 from labelmill.functions.text import strip
-from labelmill.settle import BROADCAST_ROWS, lookup
+from labelmill.operators.positions import CELL_ROWS
+from labelmill.settle import BROADCAST_ROWS, lookup, same
 
 
 def labelled_table(df: DataFrame, emotion: str = "voted_emotion", sentiment: str = "voted_sentiment",
@@ -84,8 +85,20 @@ def rows_not_in(df: DataFrame, others: Sequence[DataFrame], row_id: str = "row_i
 
 
 def rows_except(df: DataFrame, other: DataFrame) -> DataFrame:
-    """Whole-row difference that respects repeated rows."""
-    return df.exceptAll(other)
+    """Whole-row difference that respects repeated rows.
+
+    Equal rows are counted before they are compared, and written out again in cells, since one row may be repeated most.
+    """
+    columns = df.columns
+    mine = df.groupBy(*columns).agg(F.count("*").alias("_mine"))
+    theirs = other.select(*[F.col(name).alias(f"_their_{place}") for place, name in enumerate(other.columns)])
+    theirs = theirs.groupBy(*theirs.columns).agg(F.count("*").alias("_theirs"))
+    test = same(mine, theirs, {name: f"_their_{place}" for place, name in enumerate(columns)})
+    left = mine.join(theirs, test, "left").withColumn("_left", F.expr("_mine - coalesce(_theirs, 0L)")).where("_left > 0")
+    cells = left.select(*columns, "_left", F.expr(f"explode(sequence(0L, (_left - 1) div {CELL_ROWS})) AS _cell"))
+    copies = F.least(F.col("_left") - F.col("_cell") * CELL_ROWS, F.lit(CELL_ROWS).cast("long"))
+    dealt = cells.withColumn("_copies", copies).repartition(*columns, "_cell")
+    return dealt.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).drop("col")
 
 
 def disagreements(one: DataFrame, other: DataFrame, field: str = "correct", wipe: Mapping[str, Column] | None = None,

@@ -72,16 +72,21 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 def read_csv(
     spark: SparkSession, path: str | Sequence[str], schema: str | T.StructType | None = None, row_id: bool = True,
-    per_file: bool = False, **options,
+    per_file: bool = False, missing: Sequence[str] = (), **options,
 ) -> DataFrame:
     """CSV with a header; bytes that are not UTF-8 become U+FFFD. Without a schema the types are inferred.
 
+    ``missing`` lists texts to read as null besides the empty one (``fixed_values.MISSING_WORDS`` holds the usual ones).
     Quoted fields may hold line breaks; ``multiLine=False`` makes large files splittable where none do.
     """
     reader = spark.read.options(**(CSV_OPTIONS | options))
     reader = reader.option("inferSchema", True) if schema is None else reader.schema(schema)
     df = reader.csv(path)
-    return with_positions(df, per_file=per_file) if row_id else df
+    texts = [name for name, kind in df.dtypes if kind == "string"]
+    df = with_positions(df, per_file=per_file) if row_id else df
+    if not missing:
+        return df
+    return df.withColumns({name: F.when(~F.col(name).isin(*missing), F.col(name)) for name in texts})
 
 
 def read_headerless(spark: SparkSession, path: str, names: Sequence[str] = ("sentiment", "text"), row_id: bool = True) -> DataFrame:

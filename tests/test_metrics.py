@@ -151,6 +151,11 @@ def test_describe(frame, values):
     assert out["std"] == (pytest.approx(statistics.stdev(given)) if len(given) > 1 else None)
 
 
+def test_describe_nothing(frame):
+    out = me.describe(frame([], "v double"), "v").first()
+    assert out["count"] == 0 and out["p50"] is None and out["mean"] is None
+
+
 def test_distinct_values(frame):
     one, two = frame([("a",), ("b",)], "x string"), frame([("b",), ("c",)], "y string")
     assert sorted(row["label"] for row in me.distinct_values((one, "x"), (two, "y")).collect()) == ["a", "b", "c"]

@@ -51,6 +51,14 @@ def test_positions_over_blocks_and_files(spark, tmp_path, monkeypatch):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_missing_words(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("text,label\nNone,joy\nx,NA\n,nan\n")
+    path, schema = f"{tmp_path}/a.csv", "text string, label string"
+    rows = readers.read_csv(spark, path, schema, missing=fixed.MISSING_WORDS).orderBy("row_id").collect()
+    assert [(r["text"], r["label"]) for r in rows] == [(None, "joy"), ("x", None), (None, None)]
+    assert readers.read_csv(spark, path, schema).where("row_id = 0").first()["text"] == "None"
+
+
 def test_parquet_positions(spark, tmp_path):
     spark.range(1000).repartitionByRange(4, "id").sortWithinPartitions("id").write.parquet(f"{tmp_path}/t")
     assert readers.read_parquet(spark, f"{tmp_path}/t").where("row_id <> id").isEmpty()

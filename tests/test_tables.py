@@ -71,9 +71,16 @@ def test_rows_not_in(spark):
     assert sorted(row["row_id"] for row in out.collect()) == [2, 3, 5]
 
 
-def test_rows_except(frame):
-    df = frame([("a",), ("a",), ("b",)], "v string")
-    assert [tuple(row) for row in ta.rows_except(df, frame([("a",)], "v string")).orderBy("v").collect()] == [("a",), ("b",)]
+def test_rows_except(frame, monkeypatch):
+    monkeypatch.setattr(ta, "CELL_ROWS", 3)
+    rows = [("a", 1)] * 10 + [("b", None)] * 4 + [("c", 1), (None, None)]
+    other = [("a", 1)] * 2 + [("b", None)] + [("c", 1)] * 3 + [("d", 1)]
+    schema = "v string, n int"
+    df, minus = frame(rows, schema), frame(other, schema)
+    out = ta.rows_except(df, minus)
+    assert out.columns == ["v", "n"] and out.count() == 12
+    assert out.exceptAll(df.exceptAll(minus)).isEmpty() and df.exceptAll(minus).exceptAll(out).isEmpty()
+    assert ta.rows_except(minus, minus).isEmpty()
 
 
 def test_disagreements(frame):
