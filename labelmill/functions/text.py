@@ -17,6 +17,7 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 MENTION = r"(?U)@[^\s\x1c-\x1f]+"
 SPACES = r"(?U)[\s\x1c-\x1f]+"
 TOKEN = r"(?U)[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
+BLOCK_PIECES = 256
 SENTENCE_GAP = r"(?U)(?<=[.!?])\s+"
 
 
@@ -39,12 +40,22 @@ def is_lengthy(text: Column, limit: int = 100) -> Column:
 
 
 def _pack(pieces: Column, limit: int, glue: str, lead: bool, keep_empty_head: bool, trim: bool) -> Column:
-    """Left fold that opens a new segment whenever the next piece would pass the limit."""
+    """Left fold that opens a new segment whenever the next piece would pass the limit.
+
+    Every step of a fold copies its state, so the pieces are folded block by block: the finished segments of a long text
+    are copied once per block, not once per piece.
+    """
     finish = strip if trim else (lambda segment: segment)
     sized = F.transform(pieces, lambda piece: F.struct(piece.alias("text"), token_count(piece).alias("size")))
-    start = F.struct(
-        F.expr("cast(array() as array<string>)").alias("done"), F.lit("").alias("open"), F.lit(0).cast("long").alias("size")
-    )
+    empty = F.expr("cast(array() as array<string>)")
+    start = F.struct(empty.alias("done"), F.lit("").alias("open"), F.lit(0).cast("long").alias("size"))
+
+    def cut(whole: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / BLOCK_PIECES).cast("int"))
+        return F.transform(numbers, lambda number: F.slice(whole, number * BLOCK_PIECES + 1, BLOCK_PIECES))
+
+    # The one-element array binds the sized pieces to a name, so they are counted once.
+    blocks = F.get(F.transform(F.array(sized), cut), F.lit(0))
 
     def step(state: Column, piece: Column) -> Column:
         fits = state["size"] + piece["size"] <= limit
@@ -56,12 +67,23 @@ def _pack(pieces: Column, limit: int, glue: str, lead: bool, keep_empty_head: bo
             F.when(fits, state["size"] + piece["size"]).otherwise(piece["size"]).alias("size"),
         )
 
+    def fold_block(state: Column, block: Column) -> Column:
+        carried = F.struct(empty.alias("done"), state["open"].alias("open"), state["size"].alias("size"))
+        return F.aggregate(
+            block,
+            carried,
+            step,
+            lambda inner: F.struct(
+                F.concat(state["done"], inner["done"]).alias("done"), inner["open"].alias("open"), inner["size"].alias("size")
+            ),
+        )
+
     def close(state: Column) -> Column:
         return F.when(state["open"] == "", state["done"]).otherwise(
             F.concat(state["done"], F.array(finish(state["open"])))
         )
 
-    return F.aggregate(sized, start, step, close)
+    return F.aggregate(blocks, start, fold_block, close)
 
 
 def pack_paragraphs(text: Column, limit: int = 100, separator: str = "\n\n") -> Column:

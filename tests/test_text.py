@@ -124,6 +124,13 @@ def test_pack_paragraphs(one, value, expected):
     assert one(tx.pack_paragraphs(F.col("t"), 4), t=value) == expected == plain_paragraphs(value, 4)
 
 
+def test_long_texts_are_packed_across_blocks(spark, one):
+    value = "\n\n".join("w " * (i % 7) + "end." for i in range(2000))
+    assert one(tx.pack_paragraphs(F.col("t"), 9), t=value) == plain_paragraphs(value, 9)
+    assert one(tx.pack_sentences(F.col("t"), 9), t=value) == plain_sentences(value, 9)
+    assert one(tx.pack_paragraphs(F.col("t").cast("string")), t=None) is None
+
+
 def test_pack_sentences(one):
     value = "One two three four. Five. Six seven! Eight?"
     assert one(tx.pack_sentences(F.col("t"), 5), t=value) == ["One two three four.", "Five.Six seven!", "Eight?"]
