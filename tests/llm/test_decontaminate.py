@@ -1,0 +1,80 @@
+import hashlib
+import random
+import re
+
+import compare
+import pytest
+from pyspark.sql import functions as F
+
+from labelmill.llm import decontaminate, queries
+
+NONE = hashlib.sha256(b"").hexdigest()
+
+
+def plain(docs, items, window=13):
+    """The definition, window by window."""
+    fold = lambda text: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    found = []
+    for i, text in items:
+        words = fold(text)
+        if words and i is not None:
+            n = min(window, len(words))
+            found += [(str(i), words[s : s + n]) for s in range(len(words) - n + 1)]
+    out = []
+    for d, text in docs:
+        words = fold(text)
+        hit, ids = set(), set()
+        for i, w in found:
+            for s in range(len(words) - len(w) + 1):
+                if words[s : s + len(w)] == w:
+                    hit.update(range(s, s + len(w)))
+                    ids.add(i)
+        sha = hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+        out.append((d, len(words), len(hit), len(ids), sha, bool(hit) and 20 * len(hit) >= len(words)))
+    return sorted(out, key=str)
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+def test_same_as_sql(spark, folder):
+    name = "op9_prefix_filtered_decontamination"
+    assert compare.difference(queries.queries()[name](spark, folder), compare.connect(folder), queries.oracle_sql()[name]) is None
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_words(spark, seed):
+    """Few different words, so that shingles repeat within items, windows overlap and lines cross."""
+    draw = random.Random(seed)
+    text = lambda n: " ".join(draw.choices(["a", "B", "c9", "é"], [9, 3, 2, 1], k=n))
+    items = [(i, text(draw.choice([1, 2, 3, 5, 8, 20, 40]))) for i in range(12)]
+    docs = [(i, text(draw.choice([0, 1, 2, 10, 60, 200]))) for i in range(25)]
+    docs += [(100 + i, f"{text(30)} {items[i][1]}, {text(10)}! {items[i][1]}") for i in range(12)]
+    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), window=6)
+    assert rows(got) == plain(docs, items, 6)
+
+
+def test_edges(spark, clash):
+    passage = " ".join(f"p{i}" for i in range(15))
+    long = " ".join(f"w{i % 997}" for i in range(40_000))
+    docs = [(1, passage), (1, passage), (None, f"x {passage.upper()} y"), (2, None), (3, ""), (4, "?! --"), (5, long), (6, f"{long} {passage}"), (7, "Wort É wort")]
+    items = [(10, passage), (9, passage), (9, passage), (None, long), (11, None), (12, ""), (13, "wort É"), (14, "..."), (15, "e")]
+    bench = spark.createDataFrame([(*x, 1, "k") for x in items], "item_id long, text string, row long, item string")
+    assert rows(decontaminate.contamination(clash(docs), bench)) == plain(docs, items)
+    kept = decontaminate.keep_clean(clash(docs), bench)
+    assert kept.columns == clash(docs).columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4, 5, 6]
+    clean = decontaminate.contamination(clash(docs), bench.where("item_id < 0"))
+    assert {(r["n_hit"], r["items_sha256"], r["contaminated"]) for r in clean.collect()} == {(0, NONE, False)}
+    assert decontaminate.contamination(clash([]), bench).collect() == []
+
+
+def test_native(spark, folder):
+    df = decontaminate.contamination(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_words(one):
+    assert one(decontaminate.words(F.col("x")), x="Ab-c_d ÄÖ 1x y") == ["ab", "c", "d", "ÄÖ", "1x y"]
