@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelmill.llm import decontaminate, langid, shards, simhash
+from labelmill.llm import decontaminate, langid, passages, segment, shards, simhash
 from labelmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 SHARDS = 24
+#: The vocabulary file is read where it is installed; another path can be set.
+PIECES = os.environ.get("LABELMILL_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 def query(function: Query) -> Query:
@@ -24,6 +27,23 @@ def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
+@query
+def op3_compact_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.classes(table(spark, folder, "documents"))
+
+
+@query
+def op4_n_best_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    model = segment.load(PIECES)
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    out = segment.decode(segment.encode(docs, model, n=3), model)
+    return out.select(
+        "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "score",
+        F.transform("alternatives", lambda x: F.struct(x["score"].alias("score"), F.size(x["ids"]).alias("n_pieces"), F.xxhash64(x["ids"]).alias("ids_hash"))).alias("alternatives"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
+    )
+
+
 @query
 def op5_sampled_shards(spark: SparkSession, folder: str) -> DataFrame:
     text = F.col("text")
