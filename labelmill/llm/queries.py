@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelmill.llm import decontaminate, langid, passages, segment, shards, simhash
+from labelmill.llm import decontaminate, langid, passages, quality, segment, shards, simhash, transcripts, warc
 from labelmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,18 @@ def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
+@query
+def op1_warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    path = warc.archive(spark, table(spark, folder, "pages"), "page_id", "url", "html")
+    # Payloads are inflated again and held against their digests.
+    names = ("record_type", "record_id", "refers_to", "payload_digest", "payload_bytes", "target_uri")
+    found = warc.read(spark, path, names, verify="true")
+    page = lambda c: F.nullif(F.regexp_extract(c, "^urn:row:(-?[0-9]*)$", 1), F.lit("")).cast("long")
+    return found.select(
+        page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"),
+    )
+
+
 @query
 def op3_compact_windows(spark: SparkSession, folder: str) -> DataFrame:
     return passages.classes(table(spark, folder, "documents"))
@@ -61,6 +73,35 @@ def op6_covering_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op7_ordinal_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").select("doc_id", quality.graded(F.col("quality"), F.col("toxic")).alias("grade"))
+    model = quality.fit(docs.join(labels, "doc_id"), grades=3)
+    out = quality.rate(docs, model)
+    return out.select("doc_id", "expected_grade", "tail_probability", (F.col("tail_probability") >= 0.5).alias("selected"))
+
+
+def marked(turns: DataFrame) -> DataFrame:
+    """Conversations as raw transcripts: each one has its style of speaker markers, and every eighth turn after the first only
+    a dash."""
+    style, dash = F.pmod(F.xxhash64("conv_id"), F.lit(len(transcripts.STYLES))), F.pmod(F.xxhash64("conv_id", "turn"), F.lit(8)) == 0
+    mark = F.lit("")
+    for i, names in enumerate(transcripts.STYLES):
+        for role, own in names.items():
+            mark = F.when((style == i) & (F.col("role") == role), F.lit(own)).otherwise(mark)
+    mark = F.when(dash & (F.col("turn") > 0), F.lit("- ")).otherwise(mark)
+    return turns.withColumn("line", F.concat(mark, F.coalesce("text", F.lit(""))))
+
+
+@query
+def op8_markov_transcripts(spark: SparkSession, folder: str) -> DataFrame:
+    turns = marked(table(spark, folder, "conversations"))
+    model = transcripts.fit(turns.where("pmod(crc32(cast(conv_id as string)), 3) <> 1"), "conv_id", "turn", "line", "role")
+    out = transcripts.render(transcripts.parse(turns, model, "conv_id", "turn", "line"))
+    return out.select(F.col("key").alias("conv_id"), "part", F.size("roles").cast("long").alias("n_turns"), "roles", F.sha2("rendered", 256).alias("rendered_sha256"))
+
+
 @query
 def op9_prefix_filtered_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -78,7 +119,18 @@ def oracle_sql() -> dict[str, str]:
     """The results that SQL can express. Hash families, samples and trained models are tested against brute force."""
     folded = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     cut = rf"coalesce(regexp_extract_all({folded}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+    base32 = " || ".join(
+        f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(sha, {5 * i + 1}, 5))::bigint >> {k}) & 31)::int + 1, 1)"
+        for i in range(8) for k in (15, 10, 5, 0)
+    )
     return {
+        "op1_warc_round_trip": f"""
+with p as (select page_id, coalesce(html, '') as body, sha1(coalesce(html, '')) as sha from pages),
+g as (select body, max(page_id) as first from p group by body)
+select page_id, strlen(body)::bigint as payload_bytes, {base32} as payload_digest,
+       case when page_id = first then 'response' else 'revisit' end as record_type,
+       case when page_id <> first then first end as refers_to
+from p join g using (body)""",
         "op9_prefix_filtered_decontamination": f"""
 with d as (select doc_id, {cut} as w, len(w)::bigint as n_words from documents),
 i as (select cast(item_id as varchar) as item_id, {cut} as w, least(13, len(w)) as n from benchmark where len({cut}) > 0),

@@ -31,17 +31,19 @@ def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return mix((sums[ends] - sums[starts]) * powers(n, _INVERSE)[starts])
 
 
-def words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(texts: list[bytes | None], separators: np.ndarray = _SPACE, prefix: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, starts, ends, first) of the words of UTF-8 texts, A-Z folded to lower case.
 
-    Words are runs of other bytes than ASCII white space; ``starts`` and ``ends`` are byte places in the texts joined by one
+    Words are runs of other bytes than ``separators`` (ASCII white space), which must hold the line break; of longer ones only
+    the first ``prefix`` bytes are hashed, if that is not 0; ``starts`` and ``ends`` are byte places in the texts joined by one
     line break, ``first`` holds the index of each text's first word, and the number of words at last.
     """
     whole = np.frombuffer(b"\n".join(x or b"" for x in texts).lower() + b"\n", np.uint8)
-    space = _SPACE[whole]
+    space = separators[whole]
     before = np.ones(len(space), bool)
     before[1:] = space[:-1]
     starts, ends = np.flatnonzero(before & ~space), np.flatnonzero(~before & space)
-    hashes = range_hashes(whole.astype(np.uint64) + np.uint64(1), starts, ends)
+    stops = np.minimum(ends, starts + prefix) if prefix else ends
+    hashes = range_hashes(whole.astype(np.uint64) + np.uint64(1), starts, stops)
     offsets = np.cumsum([0, *(len(x or b"") + 1 for x in texts)])
     return hashes, starts, ends, np.searchsorted(starts, offsets)
