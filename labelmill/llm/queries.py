@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelmill.llm import decontaminate, langid, passages, quality, segment, shards, simhash, transcripts, warc
+from labelmill.llm import ann, decontaminate, langid, passages, quality, segment, shards, simhash, transcripts, warc
 from labelmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,11 @@ def op1_warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op2_posting_lists(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.nearest(table(spark, folder, "embeddings"), k=5, every=50)
+
+
 @query
 def op3_compact_windows(spark: SparkSession, folder: str) -> DataFrame:
     return passages.classes(table(spark, folder, "documents"))
