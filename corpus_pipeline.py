@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelmill.llm import decontaminate, langid, simhash
+from labelmill.llm import decontaminate, langid, passages, queries, segment, simhash
 from labelmill.llm.common import table
 from labelmill.settle import land
 
@@ -23,12 +23,30 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.keep_one(docs)
 
 
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut passages of 50 words or more out of all documents but the first that holds them; nothing but repeats goes."""
+    return passages.remove_repeated(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that hold no part of the benchmark to speak of."""
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("language", language), ("near_duplicates", near_duplicates), ("contamination", contamination)]
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encode whole texts, decode them again and keep the ids of documents: all of them, marked by whether they came back."""
+    model = segment.load(queries.PIECES)
+    out = segment.decode(segment.encode(docs, model, n=2), model)
+    return out.withColumn("round_trip", F.col("decoded").eqNullSafe(F.col("text"))).drop("text", "decoded", "n_chars")
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("contamination", contamination),
+    ("pieces", pieces),
+]
 
 #: Trained models, hash families and segmentations cannot be said in SQL; the stages are tested against brute force.
 ORACLE_SQL = None

@@ -14,21 +14,23 @@ NONE = hashlib.sha256(b"").hexdigest()
 def plain(docs, items, window=13):
     """The definition, window by window."""
     fold = lambda text: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    found = []
+    found = {}
     for i, text in items:
         words = fold(text)
         if words and i is not None:
             n = min(window, len(words))
-            found += [(str(i), words[s : s + n]) for s in range(len(words) - n + 1)]
+            for s in range(len(words) - n + 1):
+                found.setdefault(tuple(words[s : s + n]), set()).add(str(i))
     out = []
     for d, text in docs:
         words = fold(text)
         hit, ids = set(), set()
-        for i, w in found:
-            for s in range(len(words) - len(w) + 1):
-                if words[s : s + len(w)] == w:
-                    hit.update(range(s, s + len(w)))
-                    ids.add(i)
+        for n in {len(w) for w in found}:
+            for s in range(len(words) - n + 1):
+                own = found.get(tuple(words[s : s + n]))
+                if own:
+                    hit.update(range(s, s + n))
+                    ids |= own
         sha = hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
         out.append((d, len(words), len(hit), len(ids), sha, bool(hit) and 20 * len(hit) >= len(words)))
     return sorted(out, key=str)

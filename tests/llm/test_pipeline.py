@@ -1,0 +1,62 @@
+import corpus_pipeline
+import pytest
+from test_decontaminate import plain as contaminated
+from test_passages import words
+from test_simhash import classes, plain
+
+from labelmill.llm import queries
+from labelmill.llm.common import table
+from labelmill.settle import land
+
+
+@pytest.fixture(scope="module")
+def steps(spark, folder):
+    docs = table(spark, folder, "documents")
+    out = [docs]
+    for _, stage in corpus_pipeline.STAGES:
+        out.append(land(stage(spark, out[-1], folder)))
+    return out
+
+
+def test_stages_against_brute_force(spark, folder, steps):
+    docs, spoken, single, cut, clean, encoded = ({r["doc_id"]: r for r in df.collect()} for df in steps)
+    for df in steps[:5]:
+        assert df.columns == steps[0].columns and df.count() == len({r["doc_id"] for r in df.collect()})
+    assert set(spoken) == {d for d, r in docs.items() if any(c.isalpha() for c in r["text"])}
+    roots = classes((d, plain(r["text"])) for d, r in spoken.items())
+    assert set(single) == set(roots.values()) and all(single[d] == spoken[d] for d in single)
+    # After the third stage no 50 words in a row are in two documents; what is left stands in its document's order.
+    seen = {}
+    for d, r in cut.items():
+        own = words(r["text"])
+        rest = iter(words(single[d]["text"]))
+        assert all(w in rest for w in own) and r["n_chars"] == len(r["text"])
+        for i in range(len(own) - 49):
+            assert seen.setdefault(tuple(own[i : i + 50]), d) == d
+    assert sum(r["text"] == single[d]["text"] for d, r in cut.items()) > 0.8 * len(single)
+    bench = [(r["item_id"], r["text"]) for r in table(spark, folder, "benchmark").collect()]
+    bad = {row[0] for row in contaminated([(d, r["text"]) for d, r in cut.items()], bench) if row[-1]}
+    assert bad and set(clean) == set(cut) - bad
+    assert set(encoded) == set(clean) and all(r["round_trip"] and r["ids"] for r in encoded.values())
+
+
+def test_run(spark, folder, steps):
+    assert corpus_pipeline.run(spark, folder).count() == steps[-1].count()
+
+
+def test_edges(spark, folder):
+    schema = table(spark, folder, "documents").schema
+    rows = [(1, None, "en", "s", 0), (2, "", "en", "s", 0), (None, "some words of text", "en", "s", 18), (3, "some words of text", None, None, None), (3, "some words of text", "en", "s", 18)]
+    docs = spark.createDataFrame(rows, schema)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = land(stage(spark, docs, folder))
+    assert [r["doc_id"] for r in docs.collect()] == [3]
+    none = spark.createDataFrame([], schema)
+    for _, stage in corpus_pipeline.STAGES:
+        none = land(stage(spark, none, folder))
+    assert none.collect() == []
+
+
+def test_names():
+    assert 4 <= len(corpus_pipeline.STAGES) <= 5 and len({n for n, _ in corpus_pipeline.STAGES}) == len(corpus_pipeline.STAGES)
+    assert [n.split("_")[0] for n in sorted(queries.queries(), key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 11)]
