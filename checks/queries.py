@@ -485,7 +485,7 @@ def annotated_conversation(spark, folder):
     turns = numbered.where(F.col("turn") > 0).withColumn("turn", F.col("turn") - 1)
     raters = names.annotations([F.col("speaker")] * 3, [F.lower("speaker")])
     rebuilt = dialogs.rebuild_conversations(
-        turns, {"utterance": F.col("text"), "speaker": F.col("speaker"), "annotations": raters}
+        turns, {"utterance": F.col("text"), "speaker": F.col("speaker"), "annotations": raters}, part_rows=10_000
     )
     joined = dialogs.annotated_records(rebuilt, first_turns(spark, folder))
     votes = F.flatten(F.transform("conversation", lambda item: item["annotations"]["emotion"]))

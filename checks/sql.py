@@ -30,12 +30,21 @@ def strip(text: str) -> str:
 
 def packed(pieces: str, limit: int, glue: str, paragraphs: bool) -> str:
     """A list of segments, folded over the pieces."""
-    done = strip("a.open") if paragraphs else "a.open"
-    skip = " OR a.open = ''" if paragraphs else ""
+    if paragraphs:
+        # From the definition: a separator stands between two pieces of a segment, and its tokens count.
+        total = f"CASE WHEN a.open IS NULL THEN b.size ELSE a.size + {tokens(glue)} + b.size END"
+        return f"""list_reduce(
+            list_transform({pieces}, lambda p: {{'done': []::VARCHAR[], 'open': p, 'size': {tokens('p')}}}),
+            lambda a, b: {{
+                'done': CASE WHEN a.open IS NULL OR {total} <= {limit} THEN a.done ELSE list_append(a.done, {strip('a.open')}) END,
+                'open': CASE WHEN a.open IS NULL THEN b.open WHEN {total} <= {limit} THEN a.open || {glue} || b.open ELSE b.open END,
+                'size': CASE WHEN {total} <= {limit} THEN {total} ELSE b.size END}},
+            {{'done': []::VARCHAR[], 'open': NULL::VARCHAR, 'size': 0::BIGINT}})"""
+    done = "a.open"
     fold = f"""list_reduce(
         list_transform({pieces}, lambda p: {{'done': []::VARCHAR[], 'open': p, 'size': {tokens('p')}}}),
         lambda a, b: {{
-            'done': CASE WHEN a.size + b.size <= {limit}{skip} THEN a.done ELSE list_append(a.done, {done}) END,
+            'done': CASE WHEN a.size + b.size <= {limit} THEN a.done ELSE list_append(a.done, {done}) END,
             'open': CASE WHEN a.size + b.size <= {limit} THEN a.open || {glue} || b.open ELSE b.open END,
             'size': CASE WHEN a.size + b.size <= {limit} THEN a.size + b.size ELSE b.size END}},
         {{'done': []::VARCHAR[], 'open': '', 'size': 0::BIGINT}})"""
@@ -44,7 +53,8 @@ def packed(pieces: str, limit: int, glue: str, paragraphs: bool) -> str:
 
 def closed(state: str, paragraphs: bool) -> str:
     last = strip(f"{state}.open") if paragraphs else f"{state}.open"
-    return f"CASE WHEN {state}.open = '' THEN {state}.done ELSE list_append({state}.done, {last}) END"
+    none = "IS NULL" if paragraphs else "= ''"
+    return f"CASE WHEN {state}.open {none} THEN {state}.done ELSE list_append({state}.done, {last}) END"
 
 
 def paragraphs(text: str, limit: int = LIMIT, glue: str = "chr(10)") -> str:

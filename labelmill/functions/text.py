@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
@@ -12,7 +13,7 @@ WHITE_SPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+PUNCTUATION = string.punctuation
 
 MENTION = r"(?U)@[^\s\x1c-\x1f]+"
 SPACES = r"(?U)[\s\x1c-\x1f]+"
@@ -48,7 +49,11 @@ def _pack(pieces: Column, limit: int, glue: str, lead: bool, keep_empty_head: bo
     finish = strip if trim else (lambda segment: segment)
     sized = F.transform(pieces, lambda piece: F.struct(piece.alias("text"), token_count(piece).alias("size")))
     empty = F.expr("cast(array() as array<string>)")
-    start = F.struct(empty.alias("done"), F.lit("").alias("open"), F.lit(0).cast("long").alias("size"))
+    # No segment is open at first; with a separator between pieces, an empty one is not the same.
+    none = F.lit(None).cast("string") if lead else F.lit("")
+    start = F.struct(empty.alias("done"), none.alias("open"), F.lit(0).cast("long").alias("size"))
+    closed = (lambda open_: open_.isNull()) if lead else (lambda open_: open_ == "")
+    between = token_count(F.lit(glue))
 
     def cut(whole: Column) -> Column:
         numbers = F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / BLOCK_PIECES).cast("int"))
@@ -58,13 +63,18 @@ def _pack(pieces: Column, limit: int, glue: str, lead: bool, keep_empty_head: bo
     blocks = F.get(F.transform(F.array(sized), cut), F.lit(0))
 
     def step(state: Column, piece: Column) -> Column:
-        fits = state["size"] + piece["size"] <= limit
-        idle = fits if keep_empty_head else fits | (state["open"] == "")
-        joined = F.concat(state["open"], F.lit(glue), piece["text"]) if lead else F.concat(state["open"], piece["text"])
+        new = state["size"] + piece["size"]
+        if lead:
+            new = F.when(closed(state["open"]), piece["size"]).otherwise(new + between)
+        fits = new <= limit
+        idle = fits if keep_empty_head else fits | closed(state["open"])
+        joined = F.concat(state["open"], F.lit(glue), piece["text"])
+        if lead:
+            joined = F.when(closed(state["open"]), piece["text"]).otherwise(joined)
         return F.struct(
             F.when(idle, state["done"]).otherwise(F.concat(state["done"], F.array(finish(state["open"])))).alias("done"),
             F.when(fits, joined).otherwise(piece["text"]).alias("open"),
-            F.when(fits, state["size"] + piece["size"]).otherwise(piece["size"]).alias("size"),
+            F.when(fits, new).otherwise(piece["size"]).alias("size"),
         )
 
     def fold_block(state: Column, block: Column) -> Column:
@@ -79,7 +89,7 @@ def _pack(pieces: Column, limit: int, glue: str, lead: bool, keep_empty_head: bo
         )
 
     def close(state: Column) -> Column:
-        return F.when(state["open"] == "", state["done"]).otherwise(
+        return F.when(closed(state["open"]), state["done"]).otherwise(
             F.concat(state["done"], F.array(finish(state["open"])))
         )
 
@@ -87,7 +97,8 @@ def _pack(pieces: Column, limit: int, glue: str, lead: bool, keep_empty_head: bo
 
 
 def pack_paragraphs(text: Column, limit: int = 100, separator: str = "\n\n") -> Column:
-    """Segments of whole paragraphs with at most ``limit`` tokens; a longer paragraph stands alone."""
+    """Segments of whole paragraphs with at most ``limit`` tokens, those of the separators between them included; a longer
+    paragraph stands alone."""
     pieces = F.split(text, re.escape(separator), -1)
     return _pack(pieces, limit, separator, lead=True, keep_empty_head=False, trim=True)
 
@@ -105,13 +116,14 @@ def _choice(labels: Sequence[str]) -> str:
 def first_label(answer: Column, labels: Sequence[str], mode: str = "word", trim_punctuation: bool = True) -> Column:
     """The first token of ``answer`` that is one of ``labels``, in lower case, else null.
 
-    ``word`` takes runs of letters and digits as tokens, ``whitespace`` takes what stands between white space, with
+    ``word`` takes labels that no letter or digit touches, ``whitespace`` takes what stands between white space, with
     punctuation trimmed off unless told otherwise, and ``substring`` takes the first entry of ``labels`` found anywhere.
+    A label that the mode can never find is an error.
     """
     if mode == "substring":
         return label_by_substring(answer, labels, None)
     if mode == "word":
-        known = [label for label in labels if re.fullmatch(r"[^\W_]+", label)]
+        known = [label for label in labels if label.split() == [label]]
         pattern = rf"(?<![\p{{L}}\p{{N}}])(?:{_choice(known)})(?![\p{{L}}\p{{N}}])"
         group = 0
     elif mode == "whitespace":
@@ -123,6 +135,8 @@ def first_label(answer: Column, labels: Sequence[str], mode: str = "word", trim_
         group = 1
     else:
         raise ValueError(f"mode must be word, whitespace or substring, not {mode!r}")
+    if lost := [label for label in labels if label not in known]:
+        raise ValueError(f"mode {mode} cannot find {lost}")
     if not known:
         return F.lit(None).cast("string")
     return F.nullif(F.regexp_extract(F.lower(answer), pattern, group), F.lit(""))

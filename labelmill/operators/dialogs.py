@@ -10,7 +10,6 @@ from labelmill.functions.names import marker_name, speaker_name
 from labelmill.operators.positions import CELL_ROWS, running
 from labelmill.settle import BROADCAST_ROWS, lookup
 
-PART_ROWS = 10_000
 
 
 def utterance_rows(
@@ -103,12 +102,13 @@ def number_speakers(
 
 
 def rebuild_conversations(
-    df: DataFrame, fields: dict[str, Column], conv: str = "conv_no", turn: str = "turn", part_rows: int = PART_ROWS
+    df: DataFrame, fields: dict[str, Column], conv: str = "conv_no", turn: str = "turn", *, part_rows: int
 ) -> DataFrame:
     """Utterance rows to nested records ``(conv_no, part, conversation)``.
 
-    A record holds at most ``part_rows`` turns, so a conversation of any length never has to fit into one task; those
-    within the bound come out whole as part 0.
+    A record holds at most ``part_rows`` turns, which the caller states, so a conversation of any length never has to fit into
+    one task; those within the bound come out whole as part 0. The form without any bound is the rows themselves, in the order
+    of ``conv`` and ``turn``.
     """
     item = F.struct(F.col(turn).alias("_turn"), *[value.alias(name) for name, value in fields.items()])
     parts = df.select(F.col(conv), F.floor(F.col(turn) / part_rows).alias("part"), item.alias("_item"))

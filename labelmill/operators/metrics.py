@@ -50,15 +50,20 @@ def _accuracy_of(groups: GroupedData, gold: str, pred: str) -> DataFrame:
 
 def confusion_matrix(df: DataFrame, gold: str, pred: str, labels: Sequence, by: Sequence[str] = ()) -> DataFrame:
     """One row per gold label and one column per predicted label, both in list order; other pairs are left out."""
-    cells, rows = [], []
-    for row, true in enumerate(labels):
-        columns = []
-        for column, said in enumerate(labels):
-            test = f"{name(gold)} = {value(true)} AND {name(pred)} = {value(said)}"
-            cells.append(F.expr(f"count_if({test}) AS c{row}_{column}"))
-            columns.append(f"c{row}_{column} AS {name(str(said))}")
-        rows.append(f"struct({row}L AS ordinal, {value(true)} AS label, {', '.join(columns)})")
-    return df.groupBy(*by).agg(*cells).select(*by, F.expr(f"inline(array({', '.join(rows)}))"))
+    # Rows are counted by pair; the short result is spread over the labels.
+    pairs = df.where(F.col(name(gold)).isin(*labels) & F.col(name(pred)).isin(*labels))
+    counted = pairs.groupBy(*by, F.col(name(gold)).alias("_gold"), F.col(name(pred)).alias("_pred")).agg(F.count("*").alias("_n"))
+    lines = df.groupBy(*by).agg(F.count("*").alias("_rows")).where(F.col("_rows") > 0).select(
+        *by, F.posexplode(F.array(*[F.lit(label) for label in labels])).alias("_place", "_label")
+    )
+    cells = [F.sum(F.when(F.col("_pred") == F.lit(said), F.col("_n"))).alias(f"_c{place}") for place, said in enumerate(labels)]
+    counts = counted.groupBy(*by, "_gold").agg(*cells).withColumnsRenamed({key: f"_of_{key}" for key in by})
+    test = (lines["_label"] == counts["_gold"])
+    for key in by:
+        test &= lines[key].eqNullSafe(counts[f"_of_{key}"])
+    joined = lines.join(counts, test, "left")
+    shown = [F.coalesce(F.col(f"_c{place}"), F.lit(0)).cast("long").alias(str(said)) for place, said in enumerate(labels)]
+    return joined.select(*by, F.col("_place").cast("long").alias("ordinal"), F.col("_label").alias("label"), *shown)
 
 
 REPORT_FIELDS = ("ordinal", "label", "precision", "recall", "f1", "support")
@@ -183,9 +188,12 @@ def rating_table(df: DataFrame, keep: Sequence[str], raters: Sequence[str], cate
 
 
 def rating_counts(df: DataFrame, subject: str, raters: Sequence[str]) -> DataFrame:
-    """The same counts in long form, for categories that are not known beforehand."""
-    given = df.select(subject, F.explode(F.array(*[F.col(rater) for rater in raters])).alias("label"))
-    return given.where(F.col("label").isNotNull()).groupBy(subject, "label").agg(F.count("*").alias("n"))
+    """The same counts in long form, for categories that are not known beforehand, counted inside the row of each subject."""
+    given = F.array_compact(F.array(*[F.col(rater) for rater in raters]))
+    counts = F.transform(
+        F.array_distinct(given), lambda label: F.struct(label.alias("label"), F.size(F.filter(given, lambda x: x == label)).cast("long").alias("n"))
+    )
+    return df.select(subject, F.inline(counts))
 
 
 def fleiss_kappa(df: DataFrame, raters: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from labelmill.settle import land, lookup
 
 CELL_ROWS = 100_000
+#: 64-bit numbers have fewer than 10,000 cells on the third level.
+LEVELS = 3
 
 
 def running(
@@ -22,14 +24,20 @@ def running(
     maxes: Mapping[str, Column] | None = None,
     by: Sequence[str] = (),
     cell: Column | None = None,
+    levels: int = LEVELS,
+    own: bool = True,
 ) -> DataFrame:
-    """Add running sums and maxima, each over the rows of the same ``by`` group up to and including the own row.
+    """Add running sums and maxima, each over the rows of the same ``by`` group up to and including the own row (``own=False``:
+    before it).
 
-    ``cell`` must not fall along the order; by default it cuts the first, numeric order column into equal ranges.
+    ``cell`` must not fall along the order; by default it cuts the first, numeric order column into equal ranges. The totals
+    before a cell are running sums over cells, found the same way on ``levels`` levels, so ids that are far apart and give
+    nearly every row a cell of its own do not meet in one task. A given ``cell`` must have few values in each group.
     """
     order = [order] if isinstance(order, str) else list(order)
     sums, maxes, by = dict(sums or {}), dict(maxes or {}), list(by)
     keys = [*by, "_cell"]
+    held = [*[f"add_{name}" for name in sums], *[f"top_{name}" for name in maxes]]
     cells = df.withColumns(
         {"_cell": F.floor(F.col(order[0]) / CELL_ROWS) if cell is None else cell, "_lead": F.lit(1)}
         | {f"_add_{name}": value for name, value in sums.items()}
@@ -40,14 +48,23 @@ def running(
         *[F.sum(f"_add_{name}").alias(f"_add_{name}") for name in sums],
         *[F.max(f"_top_{name}").alias(f"_top_{name}") for name in maxes],
     )
-    earlier = W.partitionBy(*by).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
-    before = totals.withColumns(
-        {f"_add_{name}": F.coalesce(F.sum(f"_add_{name}").over(earlier), F.lit(0)) for name in sums}
-        | {f"_top_{name}": F.max(f"_top_{name}").over(earlier) for name in maxes}
-    )
+    if cell is None and levels > 1:
+        inner = totals.withColumnsRenamed({"_cell": "_at", **{f"_{kind}": f"_of_{kind}" for kind in held}}).drop("_lead")
+        added = {f"_{kind}": F.col(f"_of_{kind}") for kind in held}
+        higher = running(
+            inner, "_at", {k: v for k, v in added.items() if k.startswith("_add")}, {k: v for k, v in added.items() if k.startswith("_top")},
+            by, levels=levels - 1, own=False,
+        )
+        before = higher.drop(*[f"_of_{kind}" for kind in held]).withColumnRenamed("_at", "_cell").withColumn("_lead", F.lit(0))
+    else:
+        earlier = W.partitionBy(*by).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+        before = totals.withColumns(
+            {f"_add_{name}": F.coalesce(F.sum(f"_add_{name}").over(earlier), F.lit(0)) for name in sums}
+            | {f"_top_{name}": F.max(f"_top_{name}").over(earlier) for name in maxes}
+        )
     # One row with what came before leads every cell, so the window needs no join to go on from it.
     led = cells.unionByName(before, allowMissingColumns=True)
-    inside = W.partitionBy(*keys).orderBy("_lead", *order).rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy(*keys).orderBy("_lead", *order).rowsBetween(W.unboundedPreceding, 0 if own else -1)
     out = led.withColumns(
         {name: F.sum(f"_add_{name}").over(inside) for name in sums}
         | {name: F.max(f"_top_{name}").over(inside) for name in maxes}

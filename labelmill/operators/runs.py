@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from labelmill import fixed_values as fixed
 from labelmill.operators.metrics import target_reports
-from labelmill.settle import lookup
+from labelmill.settle import broadcast_if_small, lookup
 
 RUN_KEYS = ("dataset", "model_id", "generation_config")
 
@@ -36,6 +36,26 @@ def known_only(df: DataFrame, known: DataFrame, key: str = "dataset") -> DataFra
     return lookup(df, known, [key], F.pmod(F.xxhash64(*df.columns), F.lit(4096)), how="inner")
 
 
+def expected_rows(predictions: DataFrame, gold: DataFrame, run_keys: Sequence[str], join_keys: Sequence[str]) -> DataFrame:
+    """The gold rows that every run of ``predictions`` has to answer: those of its dataset, with the run's keys."""
+    shared = [key for key in run_keys if key in join_keys]
+    if not shared:
+        raise ValueError("runs and gold rows need a key in common")
+    return gold.join(broadcast_if_small(predictions.select(*run_keys).distinct()), shared)
+
+
+def coverage(
+    predictions: DataFrame, gold: DataFrame, run_keys: Sequence[str] = RUN_KEYS, join_keys: Sequence[str] = ("dataset", "row_id"),
+) -> DataFrame:
+    """Per run: gold rows, rows of its own, gold rows it has no prediction for, and predictions without a gold row."""
+    keys = list(dict.fromkeys([*run_keys, *join_keys]))
+    wanted = expected_rows(predictions, gold.select(*join_keys), run_keys, join_keys).select(*keys, F.lit(1).alias("_gold"), F.lit(0).alias("_own"))
+    given = predictions.select(*keys, F.lit(0).alias("_gold"), F.lit(1).alias("_own"))
+    rows = wanted.unionByName(given).groupBy(*keys).agg(F.sum("_gold").alias("_gold"), F.sum("_own").alias("_own"))
+    counts = {"gold_rows": F.sum("_gold"), "own_rows": F.sum("_own"), "missing": F.count_if(F.col("_own") == 0), "surplus": F.count_if(F.col("_gold") == 0)}
+    return rows.groupBy(*run_keys).agg(*[value.alias(name) for name, value in counts.items()])
+
+
 def evaluate_runs(
     predictions: DataFrame,
     gold: DataFrame,
@@ -43,7 +63,11 @@ def evaluate_runs(
     run_keys: Sequence[str] = RUN_KEYS,
     join_keys: Sequence[str] = ("dataset", "row_id"),
 ) -> DataFrame:
-    """Reports of every run and target in one job: ``targets`` maps a name to gold column, predicted column, labels."""
+    """Reports of every run and target in one job: ``targets`` maps a name to gold column, predicted column, labels.
+
+    Every run is scored on all gold rows of its dataset; what it has no prediction for is wrong. ``coverage`` counts what is
+    missing or surplus.
+    """
     if targets is None:
         targets = {
             "emotion": ("voted_emotion", fixed.EMOTION_COLUMN, fixed.EMOTIONS),
@@ -52,8 +76,11 @@ def evaluate_runs(
     wanted = [column for truth, said, _ in targets.values() for column in (truth, said)]
     predicted = [column for column in dict.fromkeys(wanted) if column in predictions.columns]
     true = [column for column in dict.fromkeys(wanted) if column not in predicted]
-    keys = [key for key in run_keys if key not in join_keys]
-    matched = predictions.select(*join_keys, *keys, *predicted).join(gold.select(*join_keys, *true), list(join_keys))
+    expected = expected_rows(predictions, gold.select(*join_keys, *true), run_keys, join_keys)
+    keys = list(dict.fromkeys([*run_keys, *join_keys]))
+    said = predictions.select(*keys, *predicted)
+    # A gold row without a prediction stays, with a null prediction, which is wrong.
+    matched = expected.join(said, keys, "left")
     reports = target_reports(matched, targets, by=run_keys)
     return reports.select(*run_keys, "target", "ordinal", "label", "precision", "recall", "f1", "support")
 

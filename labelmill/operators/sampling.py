@@ -95,13 +95,19 @@ def stratified_split(
 ) -> DataFrame:
     """Add ``split`` (train or test) with exact sizes: n - ceil(test * n) training rows, shared by largest remainder.
 
-    A class with fewer than ``min_class`` rows is an error.
+    A class with fewer than ``min_class`` rows is an error, and so is a part that cannot hold a row of every class, unless one
+    part is meant to be empty (``test`` 0 or 1); with ``min_class`` below 2 neither is.
     """
     if not 0 <= test <= 1:
         raise ValueError("test must lie between 0 and 1")
     classes = _Classes(df, label, seed, row_id)
     if min_class > 1 and not classes.sizes.where(F.col("_size") < min_class).isEmpty():
         raise ValueError(f"a class of {label} has fewer than {min_class} rows")
+    if min_class > 1 and 0 < test < 1:
+        whole_table = classes.sizes.agg(F.sum("_size").alias("rows"), F.count("*").alias("classes"))
+        parts = whole_table.select("rows", "classes", train_rows(F.col("rows"), test).alias("train")).first()
+        if parts["rows"] and min(parts["train"], parts["rows"] - parts["train"]) < parts["classes"]:
+            raise ValueError(f"a part of {test} leaves too few rows for {parts['classes']} classes of {label}")
     total = classes.sizes.agg(F.sum("_size")).scalar()
     whole = {"_total": total.cast("decimal(19,0)"), "_train": train_rows(total, test).cast("decimal(19,0)")}
     shares = classes.sizes.withColumns(whole).withColumn("_exact", F.col("_train") * F.col("_size").cast("decimal(19,0)"))
@@ -150,8 +156,12 @@ def random_split(df: DataFrame, test: float = 0.15, seed: int = 42, row_id: str
 def bootstrap(df: DataFrame, label: str, n: int = 50, seed: int = 10, row_id: str = "row_id") -> DataFrame:
     """``n`` draws with replacement from every class: column ``draw`` and the drawn row.
 
-    Only ids and labels are ranked; the drawn rows are fetched by id afterwards.
+    Only ids and labels are ranked; the drawn rows are fetched by id afterwards. Without draws there are no rows.
     """
+    if n < 0:
+        raise ValueError("the number of draws must not be negative")
+    if n == 0:
+        return df.withColumn("draw", F.lit(0).cast("long")).where(F.lit(False))
     ids = df.select(F.col(label).alias("_class"), F.col(row_id).alias("_id"))
     slots = shuffled_positions(ids, seed, "_id", ("_class",), "_slot")
     sizes = ids.groupBy("_class").agg(F.count("*").alias("_size"))

@@ -9,19 +9,33 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from labelmill import fixed_values as fixed
 from labelmill.operators.runs import RUN_KEYS, evaluate_runs, leaderboard, literal_table, pending
 from labelmill.sinks.writers import report_documents, write_documents
-from labelmill.sources.readers import read_documents, read_reports, read_runs
+from labelmill.sources.readers import read_documents, read_reports, read_runs, run_files
 
+TARGETS = ("emotion", "sentiment")
 REPORT_KEYS = (*RUN_KEYS, "target")
 PREDICTIONS = f"text string, {fixed.SENTIMENT_COLUMN} string, {fixed.EMOTION_COLUMN} string"
 
 
 def evaluate_tree(
     spark: SparkSession, root: str, gold: DataFrame, finished: DataFrame | None = None, file: str = "predictions.csv",
-    schema: str = PREDICTIONS,
+    schema: str = PREDICTIONS, missing: Sequence[str] = (),
 ) -> DataFrame:
     """Reports of all runs under ``root`` in one job. ``gold`` holds dataset, row_id and the voted labels; runs of
-    datasets it does not have are left out. ``finished`` holds run keys and targets that have a report already."""
-    reports = evaluate_runs(read_runs(spark, root, file, schema), gold)
+    datasets it does not have are left out. ``finished`` holds run keys and targets that have a report already.
+
+    Files of finished runs and of other datasets are not read, and of the rest only the predicted labels. The paths of the
+    runs to read pass through the driver, as every listing of files does. ``missing`` lists texts that stand for no answer.
+    """
+    runs = run_files(spark, root, file).join(gold.select("dataset").distinct(), "dataset", "left_semi")
+    if finished is not None:
+        wanted = runs.withColumn("target", F.explode(F.array(*map(F.lit, TARGETS))))
+        runs = pending(wanted, finished, REPORT_KEYS).drop("target").distinct()
+    paths = sorted(row["path"] for row in runs.select("path").collect())
+    columns = [fixed.EMOTION_COLUMN, fixed.SENTIMENT_COLUMN]
+    if not paths:
+        kinds = ", ".join(f"`{name}` string" for name in (*RUN_KEYS, *columns)) + ", row_id long"
+        return evaluate_runs(spark.createDataFrame([], kinds), gold)
+    reports = evaluate_runs(read_runs(spark, paths, file, schema, columns, missing), gold)
     return reports if finished is None else pending(reports, finished, REPORT_KEYS)
 
 

@@ -36,6 +36,11 @@ def predict_run(
     """One run: read the posts, predict, and write ``raw.csv`` and ``predictions.csv`` under
     ``<root>/<dataset>/<model>/<settings>``. A run that was written before is left as it is. Returns the folder.
     """
+    told = {name: value for name, value in settings.items() if name in ("combined", "shots", "few_shots") and name in options}
+    if wrong := [name for name, value in told.items() if options[name] != value]:
+        raise ValueError(f"settings and options differ in {wrong}")
+    if "few_shots" in settings and bool(options.get("shots", 0)) != bool(settings["few_shots"]):
+        raise ValueError("the folder's few_shots and the prompts' shots differ")
     name = dataset or data.rsplit("/", 1)[-1].split(".")[0]
     folder = f"{root}/{name}/{model_id}/{run_name(settings)}"
     if not exists(spark, f"{folder}/predictions.csv/_SUCCESS"):

@@ -2,41 +2,56 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 128 * 1024 * 1024
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session: the one the cluster names in ``spark.checkpoint.dir``, or, in local mode
-    only, one of our own where none is named."""
+    """The checkpoint folder of the session: the one the cluster names in ``spark.checkpoint.dir``, or a new one beside the
+    tables of its warehouse, which executors share as well, where none is named."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="labelmill-")
+            folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints-{uuid.uuid4().hex}"
         context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
+def release(spark: SparkSession) -> None:
+    """Remove all that was landed or checkpointed in this session. DataFrames that were built on it can no longer be read, so
+    call it once their results are written."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(folder):
+        for entry in files.listStatus(folder):
+            files.delete(entry.getPath(), True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Checkpoint a short table, so a lost executor costs no recount and later passes see the same rows."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def _holds_void(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_holds_void(field.dataType) for field in kind.fields)
+    if isinstance(kind, T.MapType):
+        return _holds_void(kind.keyType) or _holds_void(kind.valueType)
+    return _holds_void(kind.elementType) if isinstance(kind, T.ArrayType) else isinstance(kind, T.NullType)
+
+
 def land(df: DataFrame) -> DataFrame:
     """The same for tables as long as the data: written as Parquet next to the checkpoints, so that later passes read
     only the columns they need."""
     spark = df.sparkSession
-    if "void" in df.schema.simpleString():
-        return settle(df)
+    if _holds_void(df.schema):
+        return settle(df)  # Parquet has no such type
     path = f"{shared_folder(spark)}/landed-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

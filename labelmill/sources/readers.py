@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window as W, functions as F, types as T
 
 from labelmill.settle import broadcast_if_small, land
 
@@ -76,12 +76,12 @@ def read_csv(
 ) -> DataFrame:
     """CSV with a header; bytes that are not UTF-8 become U+FFFD. Without a schema the types are inferred.
 
-    ``missing`` lists texts to read as null besides the empty one (``fixed_values.MISSING_WORDS`` holds the usual ones).
+    With a schema a record with too many fields, or a field that is not of its type, is an error; one with too few ends in
+    nulls. ``missing`` lists texts to read as null besides the empty one (``fixed_values.MISSING_WORDS`` holds the usual ones).
     Quoted fields may hold line breaks; ``multiLine=False`` makes large files splittable where none do.
     """
     reader = spark.read.options(**(CSV_OPTIONS | options))
-    reader = reader.option("inferSchema", True) if schema is None else reader.schema(schema)
-    df = reader.csv(path)
+    df = reader.option("inferSchema", True).csv(path) if schema is None else _checked(reader, path, _schema(schema))
     texts = [name for name, kind in df.dtypes if kind == "string"]
     df = with_positions(df, per_file=per_file) if row_id else df
     if not missing:
@@ -115,10 +115,38 @@ def read_splits(
 
 
 def read_conversations(spark: SparkSession, path: str, schema: str = CONVERSATION, row_id: bool = True) -> DataFrame:
-    """JSONL of conversations without its empty records; positions still count them."""
-    df = spark.read.schema(schema).json(path)
+    """JSONL of conversations without its empty records; positions still count them. A line that is no record is an error."""
+    kept = T.StructType([*_schema(schema).fields, T.StructField("_broken", T.StringType())])
+    df = spark.read.schema(kept).option("columnNameOfCorruptRecord", "_broken").json(path)
     df = with_positions(df) if row_id else df
-    return df.where(F.col("conversation").isNotNull())
+    # The literal null is an empty record too.
+    broken = F.col("_broken").isNotNull() & (F.trim("_broken") != "null")
+    checked = F.when(broken, F.raise_error(F.concat(F.lit("not a record: "), F.left("_broken", F.lit(80))))).otherwise(F.col("conversation"))
+    return df.withColumn("conversation", checked).drop("_broken").where(F.col("conversation").isNotNull())
+
+
+def _checked(reader: DataFrameReader, path: str | Sequence[str], schema: T.StructType) -> DataFrame:
+    """Records as text with one field to spare, so that nothing that does not fit the schema is dropped unseen."""
+    texts = T.StructType([T.StructField(field.name, T.StringType()) for field in schema] + [T.StructField("_spare", T.StringType())])
+    df = reader.option("enforceSchema", True).schema(texts).csv(path)
+
+    def fail(what: str, seen: Column) -> Column:
+        return F.raise_error(F.concat(F.lit(f"{what}: "), F.left(seen, F.lit(80))))
+
+    def typed(field: T.StructField) -> Column:
+        raw = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, T.StringType):
+            return raw.alias(field.name)
+        value = F.trim(raw).try_cast(field.dataType)
+        wrong = raw.isNotNull() & value.isNull()
+        return F.when(wrong, fail(f"{field.name} is not {field.dataType.simpleString()}", raw)).otherwise(value).alias(field.name)
+
+    whole = df.where(F.when(F.col("_spare").isNotNull(), fail("a record has too many fields", F.col("_spare"))).otherwise(F.lit(True)))
+    return whole.select(*[typed(field) for field in schema])
+
+
+def _schema(schema: str | T.StructType) -> T.StructType:
+    return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str | T.StructType | None = None, row_id: bool = True) -> DataFrame:
@@ -144,15 +172,28 @@ def run_of(path: Column) -> dict[str, Column]:
     }
 
 
+def run_files(spark: SparkSession, root: str, file: str = "predictions.csv") -> DataFrame:
+    """The run columns and the ``path`` of every run's file; only names are read, not contents."""
+    listed = spark.read.format("binaryFile").load(f"{root}/*/*/*/{file}").select(F.regexp_replace("path", PART_FILE, "").alias("path"))
+    return listed.distinct().select(*[value.alias(name) for name, value in run_of(F.col("path")).items()], "path")
+
+
 def find_runs(spark: SparkSession, root: str, file: str = "predictions.csv") -> DataFrame:
-    """One row per run folder that holds ``file``; only names are read, not contents."""
-    listed = spark.read.format("binaryFile").load(f"{root}/*/*/*/{file}")
-    return listed.select(*[value.alias(name) for name, value in run_of(F.col("path")).items()]).distinct()
+    """One row per run folder that holds ``file``."""
+    return run_files(spark, root, file).drop("path")
 
 
-def read_runs(spark: SparkSession, root: str, file: str, schema: str | T.StructType) -> DataFrame:
-    """The tables of all runs as one, with run columns and positions inside each run's file."""
-    scan = spark.read.options(**CSV_OPTIONS).schema(schema).csv(f"{root}/*/*/*/{file}")
+def read_runs(
+    spark: SparkSession, root: str | Sequence[str], file: str, schema: str | T.StructType, columns: Sequence[str] | None = None,
+    missing: Sequence[str] = (),
+) -> DataFrame:
+    """The tables of runs as one, with run columns and positions inside each run's file: of all runs under a root, or of the
+    files with the given paths. Only ``columns`` are kept, all by default; ``missing`` lists texts to read as null."""
+    paths = f"{root}/*/*/*/{file}" if isinstance(root, str) else list(root)
+    scan = _checked(spark.read.options(**CSV_OPTIONS), paths, _schema(schema))
+    scan = scan if columns is None else scan.select(*columns)
+    if missing:
+        scan = scan.withColumns({name: F.when(~F.col(name).isin(*missing), F.col(name)) for name, kind in scan.dtypes if kind == "string"})
     named = with_positions(scan.withColumn("_file", F.col("_metadata.file_path")), per_file=True)
     return named.withColumns(run_of(F.col("_file"))).drop("_file")
 

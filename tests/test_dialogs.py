@@ -81,7 +81,7 @@ def test_rebuild_in_parts(spark):
     out = di.rebuild_conversations(turns, {"utterance": F.col("text")}, part_rows=10).orderBy("part").collect()
     assert [r["part"] for r in out] == [0, 1, 2]
     assert [item["utterance"] for r in out for item in r["conversation"]] == [str(i) for i in range(25)]
-    whole = di.rebuild_conversations(turns, {"utterance": F.col("text")}).collect()
+    whole = di.rebuild_conversations(turns, {"utterance": F.col("text")}, part_rows=10_000).collect()
     assert len(whole) == 1 and len(whole[0]["conversation"]) == 25
 
 
@@ -91,7 +91,7 @@ def test_round_trip_to_annotated_records(records, spark):
     table = table.withColumn("text", F.when(F.col("speaker") == "Speaker_0", F.col("text")).otherwise(F.lit("changed")))
     numbered = di.number_dialogues(table, di.is_marker(F.col("speaker"))).where("turn > 0")
     raters = names.annotations([F.lit("x")] * 3, [F.lit("y")] * 3)
-    rebuilt = di.rebuild_conversations(numbered, {"utterance": F.col("text"), "speaker": F.col("speaker"), "annotations": raters})
+    rebuilt = di.rebuild_conversations(numbered, {"utterance": F.col("text"), "speaker": F.col("speaker"), "annotations": raters}, part_rows=10_000)
     source = spark.createDataFrame([(0, "a.json", [("q", "hi")]), (1, "c.json", [("q", "other")]), (2, "late", [("q", "z")])], SCHEMA)
     out = {r["conv_no"]: r for r in di.annotated_records(rebuilt, source).collect()}
     assert sorted(out) == [0, 1]

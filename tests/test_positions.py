@@ -97,3 +97,18 @@ def test_relabel(spark):
         (0, "D", 0), (0, "D", 1), (0, "E", 0), (0, "E", 1), (1, "D", 2), (1, "D", 3), (1, "E", 2), (1, "E", 3), (1, "E", 4)
     ]
     assert [row["new_conv_no"] for row in order] == list(range(9))
+
+
+def test_running_over_sparse_ids(frame):
+    """64-bit ids give every row a cell of its own; sums and maxima hold, also by group and before the own row."""
+    import random
+
+    draw = random.Random(3)
+    rows = [(draw.randrange(-(2**62), 2**62), "ab"[i % 2], draw.randrange(100)) for i in range(500)]
+    df = frame(rows, "row_id long, g string, v long")
+    for own in (True, False):
+        out = po.running(df, "row_id", {"s": F.col("v")}, {"m": F.col("v")}, ["g"], own=own).collect()
+        for r in out:
+            before = [v for i, g, v in rows if g == r["g"] and (i < r["row_id"] or own and i == r["row_id"])]
+            assert (r["s"], r["m"]) == (sum(before), max(before, default=None))
+        assert len(out) == 500

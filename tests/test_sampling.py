@@ -37,7 +37,7 @@ def test_stratified_split(classes):
 
 @pytest.mark.parametrize("test, trained", [(0, 400), (1, 0), (0.999, 0)])
 def test_extreme_shares(classes, test, trained):
-    assert list(splits(sa.stratified_split(classes[0], "label", test)).values()).count("train") == trained
+    assert list(splits(sa.stratified_split(classes[0], "label", test, min_class=0)).values()).count("train") == trained
 
 
 def test_equal_remainders_and_single_rows(frame):
@@ -149,3 +149,14 @@ def test_samples_do_not_depend_on_partitions(frame):
     one = sa.bootstrap(frame(rows, "row_id long, label string", 1), "label", 20)
     many = sa.bootstrap(frame(rows, "row_id long, label string", 9), "label", 20)
     assert one.exceptAll(many).isEmpty()
+
+
+def test_refused_draws_and_splits(frame):
+    rows = frame([(i, "ab"[i % 2]) for i in range(20)], "row_id long, label string")
+    assert sa.bootstrap(rows, "label", 0).collect() == []
+    with pytest.raises(ValueError):
+        sa.bootstrap(rows, "label", -1)
+    for share in (0.99, 0.01):
+        with pytest.raises(ValueError):
+            sa.stratified_split(rows, "label", share)
+    assert sa.stratified_split(rows, "label", 0.99, min_class=0).count() == 20

@@ -116,3 +116,13 @@ def test_known_only_with_a_hot_dataset(spark, monkeypatch):
     assert expected.count() == 2001
     monkeypatch.setattr(settle.lookup, "__defaults__", (*settle.lookup.__defaults__[:-1], 0))
     assert runs.known_only(df, known).exceptAll(expected).isEmpty() and runs.known_only(df, known).count() == 2001
+
+
+def test_short_runs_are_not_perfect(frame):
+    gold = frame([("d", i, "joy") for i in range(10)], "dataset string, row_id long, voted string")
+    said = frame([("d", "m", "c", 0, "joy"), ("d", "m", "c", 77, "joy")], "dataset string, model_id string, generation_config string, row_id long, told string")
+    targets = {"t": ("voted", "told", ["joy"])}
+    out = {r["label"]: r for r in runs.evaluate_runs(said, gold, targets).collect()}
+    assert out["joy"]["support"] == 10 and out["joy"]["recall"] == 0.1
+    row = runs.coverage(said, gold).first()
+    assert (row["gold_rows"], row["own_rows"], row["missing"], row["surplus"]) == (10, 2, 9, 1)

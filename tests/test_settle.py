@@ -36,3 +36,19 @@ def test_lookup_keeps_rows_and_nulls(spark, rows, how):
     found = {row["id"]: row["value"] for row in out.collect()}
     expected = {1: 10, 2: 20, 4: 10} | ({3: None} if how == "left" else {})
     assert found == expected and out.columns == ["id", "key", "value"]
+
+
+def test_column_names_do_not_choose_the_storage(spark):
+    df = spark.range(3).withColumnRenamed("id", "avoid")
+    assert "parquet" in settle.land(df)._jdf.queryExecution().optimizedPlan().toString()
+    void = df.withColumn("v", F.array(F.struct(F.lit(None).alias("x"))))
+    assert settle.land(void).count() == 3
+
+
+def test_release(spark, tmp_path):
+    from pathlib import Path
+
+    settle.land(spark.range(3))
+    other = spark.newSession()
+    folder = Path(settle.shared_folder(other).removeprefix("file:"))
+    assert list(folder.iterdir())

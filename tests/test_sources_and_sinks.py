@@ -234,3 +234,22 @@ def test_spread(spark):
     assert readers.spread(spark.range(0, 10, 1, 1), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     many = spark.range(0, 10, 1, 200)
     assert readers.spread(many, "id") is many
+
+
+def test_broken_records_are_errors(spark, tmp_path):
+    (tmp_path / "more.csv").write_text("text,n\nx,1\ny,2,3\n")
+    (tmp_path / "type.csv").write_text("text,n\nx,1\ny,zz\n")
+    (tmp_path / "short.csv").write_text("text,n\nx,1\ny\n")
+    for name in ("more", "type"):
+        with pytest.raises(Exception, match="too many fields|is not int"):
+            readers.read_csv(spark, f"{tmp_path}/{name}.csv", "text string, n int").collect()
+    rows = readers.read_csv(spark, f"{tmp_path}/short.csv", "text string, n int").orderBy("row_id").collect()
+    assert [(r["text"], r["n"]) for r in rows] == [("x", 1), ("y", None)]
+    (tmp_path / "b.jsonl").write_text('{"filename": "f", "conversation": []}\n{"filename": oops\n')
+    with pytest.raises(Exception, match="not a record"):
+        readers.read_conversations(spark, f"{tmp_path}/b.jsonl").collect()
+
+
+def test_finished_and_unknown_runs_are_not_read(spark, tree, frame, tmp_path):
+    gold = frame([("none of them", 0, "joy", "positive")], "dataset string, row_id long, voted_emotion string, voted_sentiment string")
+    assert evaluate_tree(spark, tree, gold).where("support > 0").isEmpty()

@@ -87,9 +87,15 @@ def test_first_label(one, value, word, whitespace, bare):
 
 def test_first_label_with_longer_and_odd_labels(one):
     assert one(tx.first_label(F.col("t"), ["joy", "joyful"]), t="so joyful") == "joyful"
-    assert one(tx.first_label(F.col("t"), ["n/a"]), t="n/a") is None
+    assert one(tx.first_label(F.col("t"), ["n/a"]), t="n/a") == "n/a"
+    assert one(tx.first_label(F.col("t"), ["positive", "very_positive"]), t="a very_positive text") == "very_positive"
+    assert one(tx.first_label(F.col("t"), ["very_positive"]), t="a positive text") is None
     assert one(tx.first_label(F.col("t"), ["n/a"], "whitespace"), t="(n/a)") == "n/a"
-    assert one(tx.first_label(F.col("t"), ["two words"], "whitespace"), t="two words") is None
+    for mode in ("word", "whitespace"):
+        with pytest.raises(ValueError):
+            tx.first_label(F.col("t"), ["joy", "two words"], mode)
+    with pytest.raises(ValueError):
+        tx.first_label(F.col("t"), ["(joy)"], "whitespace")
     with pytest.raises(ValueError):
         tx.first_label(F.col("t"), SENTIMENTS, "fuzzy")
 
@@ -150,3 +156,10 @@ def test_packing_equals_the_plain_loops(spark, values, limit):
         assert row["p"] == plain_paragraphs(row["t"], limit)
         assert row["s"] == plain_sentences(row["t"], limit)
         assert all(plain_count(part) <= limit or "\n\n" not in part for part in row["p"])
+
+
+def test_separator_counts_and_does_not_lead(one):
+    for value, limit, want in [("a. b. c. d. e", 5, ["a. b. c", "d. e"]), ("a. b", 2, ["a", "b"]), ("a. b", 3, ["a. b"]), ("a b c. d", 2, ["a b c", "d"]), ("", 5, [""])]:
+        got = one(tx.pack_paragraphs(F.col("t"), limit, ". "), t=value)
+        assert got == want
+        assert all(one(tx.token_count(F.col("t")), t=part) <= limit for part in got if ". " in part)
