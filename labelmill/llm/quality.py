@@ -17,7 +17,7 @@ from labelmill.llm.common import map_batches, pieces, utf8, widened
 
 BUCKETS = 1 << 18
 #: The model is fitted on at most about this many rated rows.
-SAMPLE = 20_000
+SAMPLE = 8_000
 STEPS = 60
 RIDGE = 3e-4
 _SHAPES = 6**3
@@ -171,8 +171,8 @@ def fit(rated: DataFrame, grades: int, grade: str = "grade", text: str = "text",
     got = map_batches(rows, run, "grade int, feature array<int>, value array<float>").toArrow().combine_chunks()
     sizes = np.asarray(got["feature"].combine_chunks().value_lengths()) if got.num_rows else np.zeros(0, int)
     flat = lambda name: np.concatenate([np.asarray(c.flatten()) for c in got[name].chunks] or [np.zeros(0)])
-    text_of = np.repeat(np.arange(len(sizes)), sizes)
-    return fit_arrays(text_of, flat("feature").astype(np.int64), flat("value").astype(float), np.asarray(got["grade"]).astype(int), grades)
+    text_of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    return fit_arrays(text_of, flat("feature").astype(np.int32), flat("value").astype(np.float32), np.asarray(got["grade"]).astype(int), grades)
 
 
 def rate(df: DataFrame, model: dict, text: str = "text", grade: int | None = None) -> DataFrame:
