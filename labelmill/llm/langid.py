@@ -17,7 +17,7 @@ SMOOTHING = 0.5
 TRAIN_PER_LANGUAGE = 20_000
 MOST_LANGUAGES = 500
 UNKNOWN = "und"
-_CHARS = 1_000_000
+_CHARS = 400_000
 
 
 class _Letters:
