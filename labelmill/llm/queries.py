@@ -53,12 +53,14 @@ def op3_compact_windows(spark: SparkSession, folder: str) -> DataFrame:
 def op4_n_best_pieces(spark: SparkSession, folder: str) -> DataFrame:
     model = segment.load(PIECES)
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    out = segment.decode(segment.encode(docs, model, n=3), model)
-    return out.select(
-        "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "score",
-        F.transform("alternatives", lambda x: F.struct(x["score"].alias("score"), F.size(x["ids"]).alias("n_pieces"), F.xxhash64(x["ids"]).alias("ids_hash"))).alias("alternatives"),
-        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
+    found = segment.encode(docs, model, n=3)
+    others = F.transform("alternatives", lambda x: F.struct(x["score"].alias("score"), F.size(x["ids"]).alias("n_pieces"), F.xxhash64(x["ids"]).alias("ids_hash")))
+    # Alternatives become digests before the best ids are decoded, so that they do not travel twice.
+    found = found.select(
+        "doc_id", "text", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "score", others.alias("alternatives"), "ids",
     )
+    out = segment.decode(found, model)
+    return out.select("doc_id", "n_pieces", "ids_hash", "score", "alternatives", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
 @query

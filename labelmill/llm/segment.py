@@ -12,10 +12,11 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from labelmill.llm import wordhash
 from labelmill.llm.common import map_batches, pieces, widened
@@ -24,8 +25,11 @@ MARK = "▁"
 #: What a character that no piece holds costs below the lowest score, as in the SentencePiece library.
 UNKNOWN_COST = 10.0
 _SLOTS = 18
-_WIDE = 64
+#: Words of similar length are segmented together; longer ones than the last one by one.
+_WIDTHS = (4, 6, 8, 10, 12, 16, 24, 64)
 _AT_ONCE = 20_000
+#: Bytes of text that are handled at a time, and words that are kept with their paths before all are forgotten.
+_BYTES, _KEPT = 1_000_000, 200_000
 
 
 class Vocabulary:
@@ -51,8 +55,13 @@ class Vocabulary:
             while self.ids[slot] >= 0:
                 slot = (slot + 1) % (1 << _SLOTS)
             self.keys[slot], self.ids[slot] = key[0], i
-        joined = {"normal": lambda p: p.replace(MARK, " ").encode(), "byte": lambda p: bytes([int(p[3:5], 16)])}
-        self.spelled = [joined.get(k, lambda _: b"")(p) for p, _, k in table]
+
+    @classmethod
+    def of(cls, state: dict) -> Vocabulary:
+        """A vocabulary from the attributes of another one, which are plain values that can be broadcast."""
+        out = cls.__new__(cls)
+        out.__dict__.update(state)
+        return out
 
     @staticmethod
     def _step(keys: np.ndarray, points: np.ndarray) -> np.ndarray:
@@ -85,6 +94,12 @@ class Vocabulary:
         return [self.bytes[b] for b in char.encode("utf-8")] if self.has_bytes else [self.unknown]
 
 
+def spelled(table: list[tuple[str, float, str]]) -> list[bytes]:
+    """What each piece stands for in a decoded text."""
+    joined = {"normal": lambda p: p.replace(MARK, " ").encode(), "byte": lambda p: bytes([int(p[3:5], 16)])}
+    return [joined.get(k, lambda _: b"")(p) for p, _, k in table]
+
+
 def lattice(vocab: Vocabulary, text: str) -> tuple[list[list[tuple[int, int, float]]], list[float]]:
     """(edges, forward): edges[j] holds (i, piece id or -1, score) for each piece text[i:j], forward[j] the best score of
     text[:j]."""
@@ -125,9 +140,9 @@ def n_best(vocab: Vocabulary, text: str, n: int) -> list[tuple[float, list[int]]
     return out
 
 
-def _best(vocab: Vocabulary, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Best paths of words of one length, a row of code points each: (ids flat, number of each, best, second best score, whether
-    a character needs several bytes)."""
+def _best(vocab: Vocabulary, points: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Best paths of words, a row of code points each, filled up with zeros: (ids flat, number of each, best, second best score,
+    whether a character needs several bytes). As paths run forward, what follows a word does not count."""
     n, length = points.shape
     keys = np.zeros((n, length), np.uint64)
     found: list[np.ndarray] = []
@@ -157,8 +172,8 @@ def _best(vocab: Vocabulary, points: np.ndarray) -> tuple[np.ndarray, np.ndarray
             back[j] = np.where(better, size, back[j])
             which[j] = np.where(better, ids, which[j])
     # Paths are walked from the end; every word takes a step as long as it is not at its start.
-    at, steps, owners = np.full(n, length), [], []
-    rows = np.arange(n)
+    at, steps, owners = lengths.copy(), [], []
+    rows = every = np.arange(n)
     while len(rows):
         steps.append(which[at[rows], rows])
         owners.append(rows)
@@ -166,38 +181,60 @@ def _best(vocab: Vocabulary, points: np.ndarray) -> tuple[np.ndarray, np.ndarray
         rows = rows[at[rows] > 0]
     owner, ids = np.concatenate(owners[::-1]), np.concatenate(steps[::-1])
     order = np.argsort(owner, kind="stable")
-    return ids[order], np.bincount(owner, minlength=n), best[length], second[length], wide
+    return ids[order], np.bincount(owner, minlength=n), best[lengths, every], second[lengths, every], wide
+
+
+class _Words(dict):
+    """Numbers of words as they are met, and best paths of all of them: ids ``flat[start[w] : start[w] + size[w]]``, best score,
+    cost of the second. Kept from batch to batch, as most words of a text are known from earlier ones."""
 
+    def __init__(self, vocab: Vocabulary) -> None:
+        super().__init__()
+        self.vocab, self.names, self.paths = vocab, [], {}
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.best, self.gap, self.flat = np.zeros(0), np.zeros(0), np.zeros(0, np.int32)
 
-class _Words:
-    """Best paths of the different words of a batch: ids ``flat[start[w] : start[w] + size[w]]``, best score, cost of the second."""
+    def __missing__(self, word: str) -> int:
+        self[word] = found = len(self.names)
+        self.names.append(MARK + word)
+        return found
 
-    def __init__(self, vocab: Vocabulary, words: list[str]) -> None:
-        n = len(words)
-        self.size, self.best, self.gap = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
-        parts, starts, at = [], np.zeros(n, np.int64), 0
+    def number(self, words: list[str]) -> np.ndarray:
+        """The numbers of words, whose best paths are known from now on."""
+        out = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if len(self.names) > len(self.size):
+            self._learn(self.names[len(self.size) :])
+        return out
+
+    def _learn(self, words: list[str]) -> None:
+        n, vocab = len(words), self.vocab
+        size, top, gap, starts = np.zeros(n, np.int64), np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
+        parts, at = [self.flat], len(self.flat)
         lengths = np.fromiter(map(len, words), np.int64, n)
-        slow = np.flatnonzero(lengths > _WIDE).tolist()
-        for length in np.unique(lengths[lengths <= _WIDE]).tolist():
-            own = np.flatnonzero(lengths == length)
+        slow = np.flatnonzero(lengths > _WIDTHS[-1]).tolist()
+        for least, width in zip((0, *_WIDTHS), _WIDTHS, strict=False):
+            own = np.flatnonzero((lengths > least) & (lengths <= width))
             for lo in range(0, len(own), _AT_ONCE):
                 rows = own[lo : lo + _AT_ONCE]
-                text = "".join(words[i] for i in rows)
-                points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(rows), length)
-                ids, sizes, best, second, wide = _best(vocab, points)
-                self.size[rows], self.best[rows], self.gap[rows] = sizes, best, best - second
+                text = "".join([words[i] for i in rows.tolist()])
+                points = np.zeros((len(rows), width), np.uint32)
+                points[np.arange(width) < lengths[rows, None]] = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+                ids, sizes, best, second, wide = _best(vocab, points, lengths[rows])
+                size[rows], top[rows], gap[rows] = sizes, best, best - second
                 starts[rows] = at + np.cumsum(sizes) - sizes
-                parts.append(ids)
+                parts.append(ids.astype(np.int32))
                 at += len(ids)
                 slow += rows[wide].tolist()
         for i in slow:
             found = n_best(vocab, words[i], 2)
-            self.size[i], self.best[i] = len(found[0][1]), found[0][0]
-            self.gap[i] = found[0][0] - found[1][0] if len(found) > 1 else np.inf
+            size[i], top[i] = len(found[0][1]), found[0][0]
+            gap[i] = found[0][0] - found[1][0] if len(found) > 1 else np.inf
             starts[i] = at
             parts.append(np.array(found[0][1], np.int32))
             at += len(found[0][1])
-        self.start, self.flat = starts, np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        self.flat = np.concatenate(parts)
+        self.start, self.size = np.concatenate([self.start, starts]), np.concatenate([self.size, size])
+        self.best, self.gap = np.concatenate([self.best, top]), np.concatenate([self.gap, gap])
 
     def ids(self, words: np.ndarray) -> np.ndarray:
         """The ids of a sequence of words, one after the other."""
@@ -205,6 +242,14 @@ class _Words:
         before = np.cumsum(size) - size
         return self.flat[np.repeat(self.start[words] - before, size) + np.arange(size.sum())]
 
+    def others(self, word: int, n: int) -> list[tuple[float, list[int]]]:
+        """The ``n`` best paths of one word; the one in ``flat`` leads, also where others have the same score."""
+        if (word, n) not in self.paths:
+            found, start = n_best(self.vocab, self.names[word], n), self.start[word]
+            lead = self.flat[start : start + self.size[word]].tolist()
+            self.paths[word, n] = [(found[0][0], lead), *[p for p in found if p[1] != lead][: n - 1]]
+        return self.paths[word, n]
+
 
 def split(text: str) -> list[str]:
     """The words of a text without their first mark: "a b" -> ["a", "b"], a run of blanks stays with the word after it."""
@@ -213,21 +258,12 @@ def split(text: str) -> list[str]:
     return text.split(" ")
 
 
-def _alternatives(vocab: Vocabulary, known: _Words, names: list[str], words: np.ndarray, n: int, memo: dict) -> list[tuple[float, np.ndarray]]:
-    """The second to ``n``-th best segmentation of a text."""
+def _alternatives(known: _Words, words: np.ndarray, ids: np.ndarray, n: int) -> list[tuple[float, np.ndarray]]:
+    """The second to ``n``-th best segmentation of a text, whose best one is ``ids``."""
     gaps = known.gap[words]
     near = np.argsort(gaps, kind="stable")[: n - 1] if len(gaps) <= n else np.sort(np.argpartition(gaps, n - 1)[:n])
     near = [int(i) for i in near if np.isfinite(gaps[i])]
-    choices = []
-    for i in near:
-        name = names[words[i]]
-        if name not in memo:
-            memo[name] = n_best(vocab, name, n)
-        paths = memo[name]
-        # The batch's own path leads, also where others have the same score.
-        lead = known.ids(words[i : i + 1]).tolist()
-        rest = [p for p in paths if p[1] != lead][: n - 1]
-        choices.append([(paths[0][0], lead), *rest])
+    choices = [known.others(int(words[i]), n) for i in near]
     total = float(known.best[words].sum())
     start = (0,) * len(near)
     queue, seen, out = [(0.0, start)], {start}, []
@@ -240,17 +276,28 @@ def _alternatives(vocab: Vocabulary, known: _Words, names: list[str], words: np.
                 seen.add(more)
                 cost = sum(c[0][0] - c[p][0] for c, p in zip(choices, more, strict=True))
                 heapq.heappush(queue, (cost, more))
+    ends = np.cumsum(known.size[words])
     result = []
     for loss, picks in out[1:]:
         changed = sorted((i, choices[k][p][1]) for k, (i, p) in enumerate(zip(near, picks, strict=True)) if p)
         parts, last = [], 0
-        for i, ids in changed:
-            parts += [known.ids(words[last:i]), np.array(ids, np.int32)]
-            last = i + 1
-        result.append((total - loss, np.concatenate([*parts, known.ids(words[last:])])))
+        for i, own in changed:
+            parts += [ids[last : ends[i] - known.size[words[i]]], np.array(own, np.int32)]
+            last = ends[i]
+        result.append((total - loss, np.concatenate([*parts, ids[last:]])))
     return result
 
 
+def _listed(others: list[list[tuple[float, np.ndarray]]]) -> pa.Array:
+    """Alternatives as an array of lists of (score, ids)."""
+    flat = [x for own in others for x in own]
+    ends = lambda sizes: pa.array(np.cumsum([0, *sizes]), pa.int32())
+    ids = pa.array(np.concatenate([np.zeros(0, np.int32), *(x for _, x in flat)]), pa.int32())
+    ids = pa.ListArray.from_arrays(ends(len(x) for _, x in flat), ids)
+    kind = pa.StructArray.from_arrays([pa.array([s for s, _ in flat], pa.float64()), ids], ["score", "ids"])
+    return pa.ListArray.from_arrays(ends(map(len, others)), kind)
+
+
 def load(path: str) -> list[tuple[str, float, str]]:
     """(piece, score, kind) of a SentencePiece model file, read on the driver; its size is that of the vocabulary."""
     import sentencepiece
@@ -265,8 +312,13 @@ def load(path: str) -> list[tuple[str, float, str]]:
     return [(model.id_to_piece(i), model.get_score(i), kind(i)) for i in range(model.vocab_size())]
 
 
-def _shared(spark: SparkSession, table: list[tuple[str, float, str]]):  # noqa: ANN202
-    return spark.sparkContext.broadcast(table)
+def _with_input(df: DataFrame, rest: DataFrame, column: str) -> tuple[DataFrame, int, int]:
+    """(table, place of ``column``, number of columns of ``rest``): ``rest`` as it is, or with ``column`` behind it where it was
+    dropped from ``df``."""
+    width = len(rest.columns)
+    if column in rest.columns:
+        return rest, rest.columns.index(column), width
+    return df.select(*(F.col(f"`{c}`") for c in rest.columns), F.col(f"`{column}`").alias("_input")), width, width
 
 
 def encode(df: DataFrame, model: str | list[tuple[str, float, str]], text: str = "text", n: int = 1) -> DataFrame:
@@ -277,59 +329,61 @@ def encode(df: DataFrame, model: str | list[tuple[str, float, str]], text: str =
     text has null ids and score, an empty one no ids and score 0; both have no alternatives. Columns named like the new ones are
     replaced. Texts are handled one batch of bytes at a time, a very long one alone.
     """
-    held = _shared(df.sparkSession, load(model) if isinstance(model, str) else model)
+    held = df.sparkSession.sparkContext.broadcast(vars(Vocabulary(load(model) if isinstance(model, str) else model)))
     rest = df.drop("ids", "score", "alternatives")
     schema = widened(rest, ids="array<int>", score="double", alternatives="array<struct<score:double,ids:array<int>>>")
+    given, place, width = _with_input(df, rest, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = Vocabulary(held.value)
-        kind = pa.struct([("score", pa.float64()), ("ids", pa.list_(pa.int32()))])
+        vocab = Vocabulary.of(held.value)
+        known = _Words(vocab)
         for whole in batches:
-            for batch in pieces(whole, whole.num_columns - 1):
-                texts = batch.column(batch.num_columns - 1).to_pylist()
+            for batch in pieces(whole, place, _BYTES):
+                if len(known) > _KEPT or len(known.flat) > 16 * _KEPT:
+                    known = _Words(vocab)
+                texts = batch.column(place).to_pylist()
                 split_texts = [split(t) if t else [] for t in texts]
-                index = {w: i for i, w in enumerate(dict.fromkeys(w for own in split_texts for w in own))}
-                names = [MARK + w for w in index]
-                known = _Words(vocab, names)
-                words = np.fromiter((index[w] for own in split_texts for w in own), np.int64)
+                words = known.number(list(chain.from_iterable(split_texts)))
                 ends = np.cumsum([0, *map(len, split_texts)])
-                sizes = np.concatenate([[0], np.cumsum(known.size[words])])
-                scores = np.concatenate([[0.0], np.cumsum(known.best[words])])
-                scores = [float(scores[b] - scores[a]) for a, b in zip(ends, ends[1:], strict=False)]
+                del split_texts
+                sizes = np.concatenate([[0], np.cumsum(known.size[words])])[ends]
+                spans = list(zip(ends.tolist(), ends[1:].tolist(), strict=False))
+                scores = [float(known.best[words[a:b]].sum()) for a, b in spans]
                 missing = [t is None for t in texts]
-                offsets = pa.array(sizes[ends].astype(np.int32), mask=np.array([*missing, False]))
-                ids = pa.ListArray.from_arrays(offsets, pa.array(known.ids(words), pa.int32()))
-                memo: dict = {}
+                flat = known.ids(words)
+                ids = pa.ListArray.from_arrays(pa.array(sizes.astype(np.int32), mask=np.array([*missing, False])), pa.array(flat, pa.int32()))
                 others = [
-                    [{"score": s, "ids": x} for s, x in _alternatives(vocab, known, names, words[a:b], n, memo)] if n > 1 and b > a else []
-                    for a, b in zip(ends, ends[1:], strict=False)
+                    _alternatives(known, words[a:b], flat[sizes[i] : sizes[i + 1]], n) if n > 1 and b > a else []
+                    for i, (a, b) in enumerate(spans)
                 ]
-                columns = [ids, pa.array(scores, mask=np.array(missing)), pa.array(others, pa.list_(kind))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*batch.schema.names[:-1], "ids", "score", "alternatives"])
+                columns = [ids, pa.array(scores, pa.float64(), mask=np.array(missing)), _listed(others)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:width], *columns], [*batch.schema.names[:width], "ids", "score", "alternatives"])
 
-    return map_batches(rest.select(*(F.col(f"`{c}`") for c in rest.columns), F.col(f"`{text}`").alias("ids")), run, schema)
+    return map_batches(given, run, schema)
 
 
 def decode(df: DataFrame, model: str | list[tuple[str, float, str]], ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with the text that ``ids`` spell in ``out``: word marks become blanks, the first of which was added before the
     text, byte pieces are joined as UTF-8 (a broken sequence gives the replacement character), control pieces give nothing.
     Null ids give null, none an empty text; an id outside the vocabulary is an error."""
-    held = _shared(df.sparkSession, load(model) if isinstance(model, str) else model)
-    schema = widened(df.drop(out), **{out: "string"})
+    held = df.sparkSession.sparkContext.broadcast(spelled(load(model) if isinstance(model, str) else model))
     rest = df.drop(out)
+    schema = widened(rest, **{out: "string"})
+    given, place, width = _with_input(df, rest, ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelled = Vocabulary(held.value).spelled
-        for batch in batches:
-            texts = []
-            for own in batch.column(batch.num_columns - 1):
-                if not own.is_valid:
-                    texts.append(None)
-                    continue
-                given = np.asarray(own.values)
-                if len(given) and given.min() < 0:
-                    raise ValueError("negative id")
-                texts.append(b"".join(map(spelled.__getitem__, given.tolist())).decode("utf-8", "replace").removeprefix(" "))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], schema.names)
-
-    return map_batches(rest.select(*(F.col(f"`{c}`") for c in rest.columns), F.col(f"`{ids}`").alias(out)), run, schema)
+        words = held.value
+        for whole in batches:
+            for batch in pieces(whole, place, _BYTES // 4):
+                texts = []
+                for own in batch.column(place):
+                    if not own.is_valid:
+                        texts.append(None)
+                        continue
+                    numbers = np.asarray(own.values)
+                    if len(numbers) and numbers.min() < 0:
+                        raise ValueError("negative id")
+                    texts.append(b"".join(map(words.__getitem__, numbers.tolist())).decode("utf-8", "replace").removeprefix(" "))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(texts, pa.string())], schema.names)
+
+    return map_batches(given, run, schema)
