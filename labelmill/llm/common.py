@@ -39,7 +39,7 @@ def map_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
 def pieces(batch: pa.RecordBatch, column: int, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the values of one column take about ``most`` bytes, one row at least."""
     values = batch.column(column)
-    sizes = np.asarray(values.value_lengths() if pa.types.is_list(values.type) else _lengths(values))
+    sizes = _lengths(values)
     start, total = 0, 0
     for row, size in enumerate(sizes):
         if total and total + size > most:
@@ -53,7 +53,7 @@ def pieces(batch: pa.RecordBatch, column: int, most: int = BATCH_BYTES) -> Itera
 def _lengths(values: pa.Array) -> list[int]:
     import pyarrow.compute as pc
 
-    return pc.fill_null(pc.binary_length(values), 0).to_pylist()
+    return pc.fill_null(values.value_lengths() if pa.types.is_list(values.type) else pc.binary_length(values), 0).to_pylist()
 
 
 def components(edges: DataFrame) -> DataFrame:
