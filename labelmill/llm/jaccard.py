@@ -6,8 +6,8 @@ whole; it is taken block by block, and pairs go as soon as a bound that follows
 1. Sets of a pair that links differ in at most k n-grams, k being known from their sizes. Columns are dealt by their hash into k + 1
    parts and a few spare ones, so linked rows agree on whole parts. Row blocks are the rows that agree on a part; other pairs
    are below the bound and never meet.
-2. Within a row block the product is taken over a coarse incidence matrix: several columns are one, a byte that
-   tells what a row holds of them. Rows differ in at least as many n-grams as in such bytes: pairs with more than k go.
+2. Within a row block the product is taken over a coarse incidence matrix modulo two: several columns are one bit, which tells
+   whether a row holds an odd number of them. Rows differ in at least as many n-grams as bits: pairs with more than k go.
 3. For what is left the incidence rows are multiplied in column blocks, and Spark sums the overlap counts of a pair over its blocks.
 
 Equal sets are one row. Pairs already joined by others are not multiplied again, so a large group of near copies costs few
@@ -30,8 +30,8 @@ NGRAM = 4
 PERCENT = 85
 #: Parts that linked rows agree on for sure; those without n-grams count only in rows that have as many of them.
 SPARE = 4
-#: Coarse columns for each n-gram that linked rows may differ in.
-FINE = 3
+#: Coarse columns for each n-gram that linked rows may differ in: a byte of bits.
+FINE = 8
 #: Rows and bytes of a row block, n-grams of a column block.
 ROWS, BYTES, COLUMNS = 2048, 32_000_000, 4096
 #: A row block may name so many pairs for each of its rows before it names a spanning forest only.
@@ -93,8 +93,7 @@ def signatures(grams: np.ndarray, band: int, top: int, percent: int = PERCENT) -
     parts = wordhash.mix(wordhash.mix(sums[keep] + where * np.uint64(0x9E3779B97F4A7C15)) ^ seed)
     fine = wordhash.mix(held ^ np.uint64(0x5851F42D4C957F2D))
     width = FINE * (most + 1)
-    coarse = wordhash.mix(_summed(_deal(fine, width), wordhash.mix(fine), width)) >> np.uint64(56)
-    return parts, coarse.astype(np.uint8).tobytes()
+    return parts, np.packbits(np.bincount(_deal(fine, width), minlength=width) & 1).tobytes()
 
 
 def _rows(docs: DataFrame, percent: int) -> DataFrame:
@@ -125,7 +124,7 @@ def _rows(docs: DataFrame, percent: int) -> DataFrame:
 
 def _near(x: np.ndarray, sizes: np.ndarray, i: int, others: np.ndarray, percent: int) -> np.ndarray:
     """Which of the rows ``others`` row i may link with: coarse columns that agree are counted and held against the sizes."""
-    return others[(x[others] != x[i]).sum(axis=1) <= apart(sizes[others] + sizes[i], percent)]
+    return others[np.bitwise_count(x[others] ^ x[i]).sum(axis=1, dtype=np.int64) <= apart(sizes[others] + sizes[i], percent)]
 
 
 def _named(x: np.ndarray, sizes: np.ndarray, groups: np.ndarray, percent: int, whole: bool) -> tuple[list[tuple[int, int]], bool]:
@@ -194,9 +193,8 @@ def _products(docs: DataFrame, rows: DataFrame, pairs: DataFrame, percent: int)
                 for s in grams_of(batch.column(1).to_pylist()):
                     k1 = s.sum(dtype=np.uint64).view(np.int64)
                     k2 = wordhash.mix(s ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64).view(np.int64)
-                    # Blocks are cut by the size of the larger set of a pair, which is less than two times as large.
-                    least = int(np.ceil(np.log2(max(1, len(s) / COLUMNS))))
-                    for cut in (least, least + 1):
+                    # Blocks are cut by the size of the larger set of a pair.
+                    for cut in sorted({int(np.ceil(np.log2(max(1, n / COLUMNS)))) for n in (len(s), len(s) * 100 // percent)}):
                         at = _deal(s, 1 << cut)
                         ends = np.searchsorted(at, np.arange((1 << cut) + 1))
                         found = [(len(s), k1, k2, cut, c, s[lo:hi].view(np.int64)) for c, (lo, hi) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if hi > lo]
@@ -232,7 +230,7 @@ def _likely(signed: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             most = apart(np.asarray(batch.column(2)) + np.asarray(batch.column(3)), percent)
-            differ = [int((np.frombuffer(x, np.uint8) != np.frombuffer(y, np.uint8)).sum()) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            differ = [(int.from_bytes(x) ^ int.from_bytes(y)).bit_count() for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(list(batch.columns[:2]), ["a", "b"]).filter(pa.array(np.array(differ, np.int64) <= most))
 
     return map_batches(both.select("a", "b", "n_a", "n_b", "x_a", "x_b"), run, "a long, b long")
@@ -243,9 +241,10 @@ def links(docs: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame
     alike = land(rows.where("size(own) > 0").groupBy("n", "k1", "k2").agg(F.min("row").alias("row")).select("row"))
     kept = rows.join(F.broadcast(alike) if fits(alike, _BROADCAST) else alike, "row", "left_semi")
     one = F.explode("own").alias("o")
-    signed = land(kept.select("row", "n", one).select("row", "n", "o.band", "o.coarse", "o.parts"))
-    places = signed.select("row", "band", F.explode("parts").alias("part"))
-    met = places.groupBy("part").agg(F.count("*").alias("members"), F.min("row").alias("a"), F.max("row").alias("b"), F.min("band").alias("band"))
+    signed = kept.select("row", "n", one).select("row", "n", "o.band", "o.coarse")
+    places = kept.select("row", one).select("row", "o.band", F.explode("o.parts").alias("part"))
+    # Nearly every part is one row's own: they are dealt out as they are, since sums of one row would be wider.
+    met = places.repartition("part").groupBy("part").agg(F.count("*").alias("members"), F.min("row").alias("a"), F.max("row").alias("b"), F.min("band").alias("band"))
     met = land(met.where("a < b"))
     # Every row is held against the first one of its blocks.
     blocks = land(met.where("members > 2").select("part", "members", "a"))
