@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window as W, functions as F, types as T
 
 from labelmill.settle import broadcast_if_small, land
+from labelmill.sources import ranges as by_ranges
 
 CSV_OPTIONS = {"header": True, "multiLine": True, "escape": '"', "encoding": "UTF-8", "mode": "PERMISSIVE"}
 
@@ -72,14 +73,21 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 def read_csv(
     spark: SparkSession, path: str | Sequence[str], schema: str | T.StructType | None = None, row_id: bool = True,
-    per_file: bool = False, missing: Sequence[str] = (), **options,
+    per_file: bool = False, missing: Sequence[str] = (), ranges: bool = False, **options,
 ) -> DataFrame:
     """CSV with a header; bytes that are not UTF-8 become U+FFFD. Without a schema the types are inferred.
 
     With a schema a record with too many fields, or a field that is not of its type, is an error; one with too few ends in
     nulls. ``missing`` lists texts to read as null besides the empty one (``fixed_values.MISSING_WORDS`` holds the usual ones).
-    Quoted fields may hold line breaks; ``multiLine=False`` makes large files splittable where none do.
+    Quoted fields may hold line breaks. Such a file is one task's, unless ``ranges`` is set: then it is read by many tasks, with the same
+    records and positions (``sources.ranges``); this takes a schema. ``multiLine=False`` is cheaper where no field holds a break.
     """
+    if ranges:
+        if schema is None:
+            raise ValueError("a file read in ranges needs a schema; read_records takes names from the header")
+        df = _csv_in_ranges(spark, path, _schema(schema), row_id, per_file, CSV_OPTIONS | options)
+        texts = [name for name, kind in df.dtypes if kind == "string"]
+        return df.withColumns({name: F.when(~F.col(name).isin(*missing), F.col(name)) for name in texts}) if missing else df
     reader = spark.read.options(**(CSV_OPTIONS | options))
     df = reader.option("inferSchema", True).csv(path) if schema is None else _checked(reader, path, _schema(schema))
     texts = [name for name, kind in df.dtypes if kind == "string"]
@@ -89,15 +97,20 @@ def read_csv(
     return df.withColumns({name: F.when(~F.col(name).isin(*missing), F.col(name)) for name in texts})
 
 
-def read_headerless(spark: SparkSession, path: str, names: Sequence[str] = ("sentiment", "text"), row_id: bool = True) -> DataFrame:
+def read_headerless(
+    spark: SparkSession, path: str, names: Sequence[str] = ("sentiment", "text"), row_id: bool = True, ranges: bool = False,
+) -> DataFrame:
     schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
-    return read_csv(spark, path, schema, row_id, header=False)
+    return read_csv(spark, path, schema, row_id, ranges=ranges, header=False)
 
 
-def read_records(spark: SparkSession, path: str, row_id: bool = True) -> DataFrame:
-    """CSV with every field as text; empty fields are empty strings."""
+def read_records(spark: SparkSession, path: str, row_id: bool = True, ranges: bool = False) -> DataFrame:
+    """CSV with every field as text; empty fields are empty strings. ``ranges`` as in ``read_csv``."""
     df = spark.read.options(**CSV_OPTIONS, inferSchema=False).csv(path)
     texts = df.columns
+    if ranges:
+        schema = T.StructType([T.StructField(name, T.StringType()) for name in texts])
+        return _csv_in_ranges(spark, path, schema, row_id, False, CSV_OPTIONS).fillna("", subset=texts)
     df = with_positions(df) if row_id else df
     return df.fillna("", subset=texts)
 
@@ -125,10 +138,36 @@ def read_conversations(spark: SparkSession, path: str, schema: str = CONVERSATIO
     return df.withColumn("conversation", checked).drop("_broken").where(F.col("conversation").isNotNull())
 
 
+def _csv_in_ranges(
+    spark: SparkSession, path: str | Sequence[str], schema: T.StructType, row_id: bool, per_file: bool, options: dict[str, object],
+) -> DataFrame:
+    """Each record is parsed on its own by Spark's reader, once it is known where it starts."""
+    found = by_ranges.csv_records(spark, path, str(options.get("sep", ",")), str(options.get("quote", '"')))
+    header = str(options.get("header", False)).lower() == "true"
+    if row_id:
+        found = by_ranges.numbered(found, int(header), per_file)
+    elif header:
+        found = found.where("position > 0")
+    text = F.make_valid_utf8(F.col("value").cast("string"))
+    # A file with two-sign line breaks has them inside of quotes too; Spark's reader makes them one sign there.
+    text = F.when(F.endswith(text, F.lit("\r")), F.replace(F.regexp_replace(text, "\r$", ""), F.lit("\r\n"), F.lit("\n"))).otherwise(text)
+    kept = {k: str(v) for k, v in options.items() if k not in ("header", "multiLine", "encoding")} | {"lineSep": "\n"}
+    parsed = found.select(*(["row_id"] if row_id else []), F.from_csv(text, _with_spare(schema).toDDL(), kept).alias("_record"))
+    df = parsed.select("_record.*", *(["row_id"] if row_id else []))
+    return _typed(df, schema, ["row_id"] if row_id else [])
+
+
+def _with_spare(schema: T.StructType) -> T.StructType:
+    return T.StructType([T.StructField(field.name, T.StringType()) for field in schema] + [T.StructField("_spare", T.StringType())])
+
+
 def _checked(reader: DataFrameReader, path: str | Sequence[str], schema: T.StructType) -> DataFrame:
     """Records as text with one field to spare, so that nothing that does not fit the schema is dropped unseen."""
-    texts = T.StructType([T.StructField(field.name, T.StringType()) for field in schema] + [T.StructField("_spare", T.StringType())])
-    df = reader.option("enforceSchema", True).schema(texts).csv(path)
+    return _typed(reader.option("enforceSchema", True).schema(_with_spare(schema)).csv(path), schema)
+
+
+def _typed(df: DataFrame, schema: T.StructType, others: Sequence[str] = ()) -> DataFrame:
+    """Text fields as the types of the schema; what does not fit is an error."""
 
     def fail(what: str, seen: Column) -> Column:
         return F.raise_error(F.concat(F.lit(f"{what}: "), F.left(seen, F.lit(80))))
@@ -142,15 +181,25 @@ def _checked(reader: DataFrameReader, path: str | Sequence[str], schema: T.Struc
         return F.when(wrong, fail(f"{field.name} is not {field.dataType.simpleString()}", raw)).otherwise(value).alias(field.name)
 
     whole = df.where(F.when(F.col("_spare").isNotNull(), fail("a record has too many fields", F.col("_spare"))).otherwise(F.lit(True)))
-    return whole.select(*[typed(field) for field in schema])
+    return whole.select(*[typed(field) for field in schema], *others)
 
 
 def _schema(schema: str | T.StructType) -> T.StructType:
     return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
 
-def read_json_array(spark: SparkSession, path: str, schema: str | T.StructType | None = None, row_id: bool = True) -> DataFrame:
-    """A file that holds one JSON array of records."""
+def read_json_array(
+    spark: SparkSession, path: str, schema: str | T.StructType | None = None, row_id: bool = True, ranges: bool = False,
+) -> DataFrame:
+    """A file that holds one JSON array of records. It is one task's, unless ``ranges`` is set: then it is read by many tasks, with
+    the same records and positions; this takes a schema, and a record that does not fit it is an error."""
+    if ranges:
+        if schema is None:
+            raise ValueError("a file read in ranges needs a schema")
+        found = by_ranges.json_records(spark, path)
+        found = by_ranges.numbered(found) if row_id else found
+        record = F.from_json("value", _schema(schema), {"mode": "FAILFAST"}).alias("_record")
+        return found.select(*(["row_id"] if row_id else []), record).select("_record.*", *(["row_id"] if row_id else []))
     reader = spark.read.option("multiLine", True)
     df = (reader if schema is None else reader.schema(schema)).json(path)
     return with_positions(df) if row_id else df
