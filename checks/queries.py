@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from labelmill import fixed_values as fixed
 from labelmill.functions import names, prompts, text
 from labelmill.operators import dialogs, metrics, positions, runs, sampling, scoring, tables
 from labelmill.plans.flatten import sample_segments
 from labelmill.plans.predict import predict_posts
-from labelmill.settle import settle
-from labelmill.sinks import writers
+from labelmill.plans.evaluate import evaluate_tree
+from labelmill.settle import settle, shared_folder
+from labelmill.sinks import versions, writers
+from labelmill.sources import readers
 from labelmill.sources.readers import read_parquet, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -696,3 +699,170 @@ def attach_predictions(spark, folder):
     """Where both tables have a column, the input's stays."""
     said = rated(spark, folder).select("doc_id", "word", F.upper("lang").alias("lang"))
     return scoring.attach(documents(spark, folder).select("doc_id", "lang"), said, "doc_id")
+
+
+# files ----------------------------------------------------------------------------------------------------------------
+
+
+def new_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+def stored_posts(spark: SparkSession, folder: str) -> DataFrame:
+    return documents(spark, folder).select("doc_id", "text", "lang", "n_chars")
+
+
+def held_back(df: DataFrame) -> DataFrame:
+    """Texts as digests, so that the whole rows compare."""
+    return df.withColumn("text", digest(F.col("text")))
+
+
+@query
+def csv_in_ranges(spark, folder):
+    """Texts with line breaks and quotes through a CSV table, read by many tasks, each record with its place."""
+    path = new_folder(spark)
+    writers.write_csv(stored_posts(spark, folder), path, ["doc_id"])
+    return held_back(readers.read_csv(spark, path, "doc_id long, text string, lang string, n_chars long", ranges=True))
+
+
+@query
+def csv_one_task(spark, folder):
+    path = new_folder(spark)
+    writers.write_csv(stored_posts(spark, folder), path, ["doc_id"])
+    return held_back(readers.read_csv(spark, path, "doc_id long, text string, lang string, n_chars long"))
+
+
+@query
+def csv_headerless(spark, folder):
+    path = new_folder(spark)
+    writers.write_csv(stored_posts(spark, folder).select("lang", "text", "doc_id"), path, ["doc_id"], header=False)
+    return held_back(readers.read_headerless(spark, path, ("sentiment", "text", "id"), ranges=True))
+
+
+@query
+def csv_records(spark, folder):
+    """Every field as text, those without a value as empty texts."""
+    path = new_folder(spark)
+    rows = stored_posts(spark, folder).withColumn("lang", F.when(F.col("n_chars") % 3 > 0, F.col("lang")))
+    writers.write_csv(rows, path, ["doc_id"])
+    return held_back(readers.read_records(spark, path, ranges=True))
+
+
+@query
+def csv_indexed(spark, folder):
+    """The row number as a first column without a name."""
+    path = new_folder(spark)
+    writers.write_indexed_csv(stored_posts(spark, folder), path, [F.desc("n_chars"), "doc_id"])
+    return held_back(readers.read_csv(spark, path, "place long, doc_id long, text string, lang string, n_chars long"))
+
+
+@query
+def csv_splits(spark, folder):
+    """A folder for each class, read back as the splits of a dataset."""
+    path = new_folder(spark)
+    posts = stored_posts(spark, folder)
+    writers.write_split_csv(posts.withColumn("part", F.col("lang")), path, "part", ["doc_id"])
+    read = readers.read_splits(spark, path, ("part=de", "part=en"), "doc_id long, text string, lang string, n_chars long", suffix="")
+    return held_back(read)
+
+
+@query
+def jsonl_conversations(spark, folder):
+    """Nested records as JSON lines, unfolded after they are read."""
+    path = new_folder(spark)
+    turns = conversations(spark, folder)
+    records = turns.groupBy(F.col("conv_no").cast("string").alias("filename")).agg(
+        F.array_sort(F.collect_list(F.struct("turn", "speaker", F.col("text").alias("utterance")))).alias("_turns")
+    )
+    nested_ = records.select("filename", F.lit("0").alias("index"), F.transform("_turns", lambda t: F.struct(t["speaker"].alias("speaker"), t["utterance"].alias("utterance"))).alias("conversation"))
+    writers.write_jsonl(nested_, path, ["filename"])
+    read = readers.read_conversations(spark, path)
+    said = read.select("row_id", "filename", F.posexplode("conversation").alias("turn", "said"))
+    return said.select("row_id", "filename", F.col("turn").cast("long").alias("turn"), "said.speaker", digest(F.col("said.utterance")).alias("text"))
+
+
+@query
+def json_array(spark, folder):
+    """One file that holds all documents as an array, put together from parts and read in ranges."""
+    path = f"{new_folder(spark)}.json"
+    writers.write_json_array(stored_posts(spark, folder), path, ["doc_id"])
+    return held_back(readers.read_json_array(spark, path, "doc_id long, text string, lang string, n_chars long", ranges=True))
+
+
+@query
+def text_lines(spark, folder):
+    path = new_folder(spark)
+    documents(spark, folder).orderBy("doc_id").select("text").write.text(path)
+    return readers.read_lines(spark, path).select("row_id", digest(F.col("value")).alias("line"))
+
+
+@query
+def appended_once(spark, folder):
+    """Two overlapping appends to a table of versions, the second one twice."""
+    path = new_folder(spark)
+    posts = stored_posts(spark, folder)
+    versions.append(posts.where("doc_id % 3 <> 0").withColumn("lang", F.lit("first")), path, ["doc_id"])
+    for _ in range(2):
+        versions.append(posts, path, ["doc_id"])
+    return held_back(versions.read_versions(posts, path))
+
+
+@query
+def answer_log(spark, folder):
+    """Answers published range by range; half of the rows are in the log before the others are asked."""
+    asked = documents(spark, folder).select("doc_id", prompts.build_prompt(F.col("text"), "").alias("prompt"))
+    log = new_folder(spark)
+    scoring.score_with_log(asked.where("doc_id % 2 = 0"), log, {"prompt": "raw"}, stand_in(), "doc_id")
+    return scoring.score_with_log(asked, log, {"prompt": "raw"}, stand_in(), "doc_id")
+
+
+@query
+def prediction_tables(spark, folder):
+    """The raw and the label table of predictions, read back side by side."""
+    path = new_folder(spark)
+    posts = texts(spark, folder).select(F.col("doc_id").alias("row_id"), F.col("doc_id").cast("string").alias("id"), "text")
+    writers.write_predictions(predict_posts(posts, stand_in()), f"{path}/raw", f"{path}/labels", ["id"])
+    raw = readers.read_csv(spark, f"{path}/raw", f"id string, {fixed.RAW_COLUMN} string")
+    said = readers.read_csv(spark, f"{path}/labels", f"id string, {fixed.SENTIMENT_COLUMN} string, {fixed.EMOTION_COLUMN} string")
+    return scoring.attach(raw, said)
+
+
+def uneven(spark: SparkSession, folder: str) -> DataFrame:
+    """Predictions of which one run is short, one repeats rows with another answer, and one has rows that no gold row has."""
+    said = predictions(spark, folder)
+    run = F.col("model_id")
+    kept = said.where((run != "whitespace") | (F.col("row_id") % 7 != 0))
+    again = said.where((run == "bare") & (F.col("row_id") % 5 == 0)).withColumn("said", F.lit("de"))
+    surplus = said.where((run == "substring") & (F.col("row_id") % 3 == 0)).withColumn("row_id", -F.col("row_id") - 1)
+    return kept.unionByName(again).unionByName(surplus)
+
+
+@query
+def report_uneven_runs(spark, folder):
+    targets = {"language": ("gold", "said", LANGUAGES)}
+    reports = runs.evaluate_runs(uneven(spark, folder), gold(spark, folder), targets, repeated="least")
+    return rounded(reports, "precision", "recall", "f1")
+
+
+@query
+def run_coverage(spark, folder):
+    return runs.coverage(uneven(spark, folder), gold(spark, folder))
+
+
+@query
+def report_folder_tree(spark, folder):
+    """Runs stored as CSV in folders, found, read, held against gold rows of their dataset and scored."""
+    root = new_folder(spark)
+    place = F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1
+    rows = rated(spark, folder).withColumn("row_id", place.cast("long"))
+    mood = lambda c: F.element_at(F.create_map(*[F.lit(x) for pair in zip(LANGUAGES, fixed.SENTIMENTS + fixed.SENTIMENTS[:1]) for x in pair]), c)
+    sources = sorted(r["source"] for r in rows.select("source").distinct().collect())
+    held = rows.select("source", "row_id", mood(F.col("lang")).alias("gold"), *[mood(F.col(rule)).alias(rule) for rule in ("word", "bare")])
+    held = settle(held)
+    for source in sources:
+        for rule in ("word", "bare"):
+            said = held.where(F.col("source") == source).select("row_id", F.lit("x").alias("text"), F.col(rule).alias(fixed.SENTIMENT_COLUMN), F.lit("other").alias(fixed.EMOTION_COLUMN))
+            writers.write_csv(said.orderBy("row_id").drop("row_id"), f"{root}/{source}/{rule}/all/predictions.csv")
+    gold_ = held.select(F.col("source").alias("dataset"), "row_id", F.col("gold").alias("voted_sentiment"), F.lit("other").alias("voted_emotion"))
+    reports = evaluate_tree(spark, root, gold_).where("target = 'sentiment'")
+    return rounded(reports, "precision", "recall", "f1")

@@ -226,6 +226,57 @@ def role_length(target: str) -> str:
     return f"{fixed_part} + length(text)"
 
 
+def files_sql() -> dict[str, str]:
+    """What is read back from files, and runs whose rows are not those of the gold table."""
+    posts = "md5(nullif(text, '')) AS text"
+    place = "row_number() OVER (ORDER BY doc_id) - 1 AS row_id"
+    found = f"SELECT doc_id, {posts}, lang, n_chars, {place} FROM documents"
+    mood = lambda c: f"CASE {c} {' '.join(f'WHEN {quoted(a)} THEN {quoted(b)}' for a, b in zip(LANGUAGES, fixed.SENTIMENTS + fixed.SENTIMENTS[:1]))} END"
+    said = " UNION ALL ".join(f"SELECT source, doc_id, lang, '{rule}' AS model_id, {rule} AS said FROM rated" for rule in RULES)
+    uneven = f"""{RATED}, told AS ({said}),
+        given AS (SELECT source AS dataset, doc_id AS row_id, model_id, said FROM told WHERE model_id <> 'whitespace' OR doc_id % 7 <> 0
+            UNION ALL SELECT source, doc_id, model_id, 'de' FROM told WHERE model_id = 'bare' AND doc_id % 5 = 0
+            UNION ALL SELECT source, -doc_id - 1, model_id, said FROM told WHERE model_id = 'substring' AND doc_id % 3 = 0),
+        once AS (SELECT dataset, row_id, model_id, count(*) AS n,
+            CASE WHEN count(*) > count(said) THEN NULL ELSE min(said) END AS said FROM given GROUP BY dataset, row_id, model_id),
+        models AS (SELECT DISTINCT dataset, model_id FROM given),
+        whole AS (SELECT m.dataset, m.model_id, d.doc_id AS row_id, d.lang AS gold, o.said
+            FROM models m JOIN documents d ON d.source = m.dataset
+            LEFT JOIN once o ON o.dataset = m.dataset AND o.model_id = m.model_id AND o.row_id = d.doc_id)"""
+    tree = f"""{RATED}, told AS (SELECT source AS dataset, 'word' AS model_id, {mood('lang')} AS gold, {mood('word')} AS said FROM rated
+        UNION ALL SELECT source, 'bare', {mood('lang')}, {mood('bare')} FROM rated)"""
+    both = len(prompts.task_context("emotion_and_sentiment", True)) + 4
+    named = lambda config, target: f"'{config}' AS generation_config, '{target}' AS target, {LINE}"
+    return {
+        "csv_in_ranges": found, "csv_one_task": found, "json_array": found.replace(posts, "md5(text) AS text"),
+        "csv_headerless": f"SELECT lang AS sentiment, {posts}, doc_id::VARCHAR AS id, {place} FROM documents",
+        "csv_records": f"""SELECT doc_id::VARCHAR AS doc_id, md5(coalesce(text, '')) AS text, CASE WHEN n_chars % 3 > 0 THEN lang ELSE '' END AS lang,
+            n_chars::VARCHAR AS n_chars, {place} FROM documents""",
+        "csv_indexed": f"""SELECT row_id AS place, * FROM (SELECT doc_id, {posts}, lang, n_chars,
+            row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS row_id FROM documents)""",
+        "csv_splits": f"""SELECT doc_id, {posts}, lang, n_chars, 'part=' || lang AS split,
+            row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS row_id FROM documents WHERE lang IN ('de', 'en')""",
+        "jsonl_conversations": """SELECT dense_rank() OVER (ORDER BY conv_id::VARCHAR) - 1 AS row_id, conv_id::VARCHAR AS filename,
+            row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, role AS speaker, md5(text) AS text FROM conversations""",
+        "text_lines": """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
+            u AS (SELECT doc_id, unnest(range(len(parts))) AS k, unnest(parts) AS line FROM l)
+            SELECT row_number() OVER (ORDER BY doc_id, k) - 1 AS row_id, md5(line) AS line FROM u""",
+        "appended_once": "SELECT doc_id, md5(text) AS text, CASE WHEN doc_id % 3 <> 0 THEN 'first' ELSE lang END AS lang, n_chars FROM documents",
+        "answer_log": f"SELECT doc_id, {scorer('length(text) + 4')} AS raw FROM documents",
+        "prediction_tables": f"""SELECT id, {place}, raw AS llama3_raw, {answered('raw')}, {answered_sentiment('raw')}
+            FROM (SELECT doc_id, doc_id::VARCHAR AS id, {scorer(f'length(text) + {both}')} AS raw FROM documents)""",
+        "report_uneven_runs": f"""WITH {uneven}, {report('whole', 'gold', 'said', LANGUAGES, 'dataset, model_id')}
+            SELECT dataset, model_id, {named('words=12', 'language')} FROM lines""",
+        "run_coverage": f"""WITH {uneven}, golds AS (SELECT source AS dataset, count(*) AS gold_rows FROM documents GROUP BY source),
+            met AS (SELECT o.*, d.doc_id IS NOT NULL AS has FROM once o LEFT JOIN documents d ON d.source = o.dataset AND d.doc_id = o.row_id)
+            SELECT dataset, model_id, 'words=12' AS generation_config, gold_rows, sum(n)::BIGINT AS own_rows,
+                (gold_rows - count_if(has))::BIGINT AS missing, (sum(n) - count(*))::BIGINT AS repeated, count_if(NOT has)::BIGINT AS surplus
+            FROM met JOIN golds USING (dataset) GROUP BY dataset, model_id, gold_rows""",
+        "report_folder_tree": f"""WITH {tree}, {report('told', 'gold', 'said', fixed.SENTIMENTS, 'dataset, model_id')}
+            SELECT dataset, model_id, {named('all', 'sentiment')} FROM lines""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     sql: dict[str, str] = {}
 
@@ -404,6 +455,7 @@ def oracle_sql() -> dict[str, str]:
     sql["classification_report_seen_labels"] = f"""WITH {RATED}, full_rated AS (SELECT * REPLACE (coalesce(bare, 'en') AS bare) FROM rated),
         {report('full_rated', 'lang', 'bare', LANGUAGES)} SELECT * EXCLUDE (ordinal) FROM (SELECT {LINE} FROM lines)"""
     sql["report_all_runs"] = f"SELECT dataset, model_id, generation_config, target, {LINE} FROM ({reports()})"
+    sql |= files_sql()
     sql["leaderboard"] = f"WITH {BOARD} SELECT * FROM board"
     sql["top_runs"] = f"""WITH {BOARD} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset, target
         ORDER BY score DESC, model_id, generation_config) AS rank FROM board) WHERE rank <= 2"""

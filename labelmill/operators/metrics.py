@@ -87,24 +87,29 @@ def classification_report(
     return target_reports(df, {None: (gold, pred, labels)}, by)
 
 
-def target_reports(df: DataFrame, targets: Mapping[str | None, tuple[str, str, Sequence]], by: Sequence[str] = ()) -> DataFrame:
+def target_reports(
+    df: DataFrame, targets: Mapping[str | None, tuple[str, str, Sequence]], by: Sequence[str] = (), weight: str | None = None,
+) -> DataFrame:
     """Reports of several (gold, predicted, labels) targets from one pass over the rows, with a ``target`` column when
-    the targets have names."""
+    the targets have names. A row may stand for ``weight`` equal ones."""
     sums, lines = [], []
     for number, (name, (gold, pred, labels)) in enumerate(targets.items()):
-        sums += _report_sums(f"_{number}", gold, pred, labels)
+        sums += _report_sums(f"_{number}", gold, pred, labels, weight)
         lines += _report_lines(f"_{number}", name, [str(label) for label in labels])
     return df.groupBy(*by).agg(*sums).select(*by, F.expr(f"inline(array({', '.join(lines)}))"))
 
 
-def _report_sums(mark: str, gold: str, pred: str, labels: Sequence) -> list[Column]:
+def _report_sums(mark: str, gold: str, pred: str, labels: Sequence, weight: str | None = None) -> list[Column]:
+    def times(test: str) -> str:
+        return f"count_if({test})" if weight is None else f"coalesce(sum(if({test}, {name(weight)}, 0L)), 0L)"
+
     true, said, listed = name(gold), name(pred), values(labels)
     known = f"coalesce({true} IN ({listed}), false) AND coalesce({said} IN ({listed}), false)"
-    sums = {"n": "count(*)", "hits": f"count_if({true} = {said})", "outside": f"count_if(NOT ({known}))"}
+    sums = {"n": times("true"), "hits": times(f"{true} = {said}"), "outside": times(f"NOT ({known})")}
     for place, label in enumerate(labels):
-        sums[f"tp{place}"] = f"count_if({true} = {value(label)} AND {said} = {value(label)})"
-        sums[f"pred{place}"] = f"count_if({said} = {value(label)})"
-        sums[f"sup{place}"] = f"count_if({true} = {value(label)})"
+        sums[f"tp{place}"] = times(f"{true} = {value(label)} AND {said} = {value(label)}")
+        sums[f"pred{place}"] = times(f"{said} = {value(label)}")
+        sums[f"sup{place}"] = times(f"{true} = {value(label)}")
     return [F.expr(f"{text} AS {mark}_{key}") for key, text in sums.items()]
 
 

@@ -15,6 +15,8 @@ from labelmill.settle import land, lookup
 CELL_ROWS = 100_000
 #: 64-bit numbers have fewer than 10,000 cells on the third level.
 LEVELS = 3
+#: Totals of all groups together that one window may hold: short rows.
+FEW_CELLS = 100_000
 
 
 def running(
@@ -31,8 +33,9 @@ def running(
     before it).
 
     ``cell`` must not fall along the order; by default it cuts the first, numeric order column into equal ranges. The totals
-    before a cell are running sums over cells, found the same way on ``levels`` levels, so ids that are far apart and give
-    nearly every row a cell of its own do not meet in one task. A given ``cell`` must have few values in each group.
+    before a cell are running sums over cells. These totals are stored and counted: up to ``FEW_CELLS`` meet in one window, more are
+    summed the same way on ``levels`` levels, so ids that are far apart and give nearly every row a cell of its own do not
+    meet in one task. A given ``cell`` must have few values in each group.
     """
     order = [order] if isinstance(order, str) else list(order)
     sums, maxes, by = dict(sums or {}), dict(maxes or {}), list(by)
@@ -48,7 +51,8 @@ def running(
         *[F.sum(f"_add_{name}").alias(f"_add_{name}") for name in sums],
         *[F.max(f"_top_{name}").alias(f"_top_{name}") for name in maxes],
     )
-    if cell is None and levels > 1:
+    totals = land(totals)
+    if cell is None and levels > 1 and totals.count() > FEW_CELLS:
         inner = totals.withColumnsRenamed({"_cell": "_at", **{f"_{kind}": f"_of_{kind}" for kind in held}}).drop("_lead")
         added = {f"_{kind}": F.col(f"_of_{kind}") for kind in held}
         higher = running(

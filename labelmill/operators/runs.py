@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from labelmill import fixed_values as fixed
 from labelmill.operators.metrics import target_reports
-from labelmill.settle import broadcast_if_small, lookup
+from labelmill.settle import broadcast_if_small, lookup, same, settle
 
 RUN_KEYS = ("dataset", "model_id", "generation_config")
 
@@ -36,24 +36,41 @@ def known_only(df: DataFrame, known: DataFrame, key: str = "dataset") -> DataFra
     return lookup(df, known, [key], F.pmod(F.xxhash64(*df.columns), F.lit(4096)), how="inner")
 
 
-def expected_rows(predictions: DataFrame, gold: DataFrame, run_keys: Sequence[str], join_keys: Sequence[str]) -> DataFrame:
-    """The gold rows that every run of ``predictions`` has to answer: those of its dataset, with the run's keys."""
+def _once(predictions: DataFrame, keys: Sequence[str], columns: Sequence[str], join_keys: Sequence[str], repeated: str) -> DataFrame:
+    """The keys and columns of predictions with one row for each key, and ``_rows``, how often it was given. They are dealt out by
+    the gold rows' keys, so that the join with these needs no further exchange."""
+    dealt = predictions.select(*keys, F.struct(F.lit(0), *columns).alias("_said")).repartition(*join_keys)
+    one = dealt.groupBy(*keys).agg(F.count("*").alias("_rows"), F.min("_said").alias("_said"))
+    said = F.col("_said")
+    if repeated == "fail":
+        place = F.concat_ws(" ", *[F.col(key).cast("string") for key in keys])
+        said = F.when(F.col("_rows") > 1, F.raise_error(F.concat(F.lit("repeated prediction: "), place))).otherwise(said)
+    return one.select(*keys, "_rows", *[said[column].alias(column) for column in columns])
+
+
+def _shared(run_keys: Sequence[str], join_keys: Sequence[str]) -> list[str]:
     shared = [key for key in run_keys if key in join_keys]
     if not shared:
         raise ValueError("runs and gold rows need a key in common")
-    return gold.join(broadcast_if_small(predictions.select(*run_keys).distinct()), shared)
+    return shared
 
 
 def coverage(
     predictions: DataFrame, gold: DataFrame, run_keys: Sequence[str] = RUN_KEYS, join_keys: Sequence[str] = ("dataset", "row_id"),
 ) -> DataFrame:
-    """Per run: gold rows, rows of its own, gold rows it has no prediction for, and predictions without a gold row."""
+    """Per run: gold rows, rows of its own, gold rows it has no prediction for, rows it has a prediction for more than once
+    (``repeated`` counts the further ones), and predictions without a gold row. Gold rows are not repeated for the runs."""
+    shared = _shared(run_keys, join_keys)
     keys = list(dict.fromkeys([*run_keys, *join_keys]))
-    wanted = expected_rows(predictions, gold.select(*join_keys), run_keys, join_keys).select(*keys, F.lit(1).alias("_gold"), F.lit(0).alias("_own"))
-    given = predictions.select(*keys, F.lit(0).alias("_gold"), F.lit(1).alias("_own"))
-    rows = wanted.unionByName(given).groupBy(*keys).agg(F.sum("_gold").alias("_gold"), F.sum("_own").alias("_own"))
-    counts = {"gold_rows": F.sum("_gold"), "own_rows": F.sum("_own"), "missing": F.count_if(F.col("_own") == 0), "surplus": F.count_if(F.col("_gold") == 0)}
-    return rows.groupBy(*run_keys).agg(*[value.alias(name) for name, value in counts.items()])
+    one = _once(predictions, keys, [], join_keys, "least")
+    found = one.join(gold.select(*join_keys, F.lit(1).alias("_gold")), list(join_keys), "left")
+    counts = {"own_rows": F.sum("_rows"), "_own": F.count("*"), "_met": F.count("_gold")}
+    per_run = found.groupBy(*run_keys).agg(*[value.alias(name) for name, value in counts.items()])
+    sizes = broadcast_if_small(gold.groupBy(*shared).agg(F.count("*").alias("gold_rows")))
+    return per_run.join(sizes, shared).select(
+        *run_keys, "gold_rows", "own_rows", (F.col("gold_rows") - F.col("_met")).alias("missing"),
+        (F.col("own_rows") - F.col("_own")).alias("repeated"), (F.col("_own") - F.col("_met")).alias("surplus"),
+    )
 
 
 def evaluate_runs(
@@ -62,26 +79,46 @@ def evaluate_runs(
     targets: Mapping[str, tuple[str, str, Sequence[str]]] | None = None,
     run_keys: Sequence[str] = RUN_KEYS,
     join_keys: Sequence[str] = ("dataset", "row_id"),
+    repeated: str = "fail",
+    whole: bool = False,
 ) -> DataFrame:
     """Reports of every run and target in one job: ``targets`` maps a name to gold column, predicted column, labels.
 
-    Every run is scored on all gold rows of its dataset; what it has no prediction for is wrong. ``coverage`` counts what is
-    missing or surplus.
+    Every run is scored on each gold row of its dataset once; what it has no prediction for is wrong. Of these rows only the
+    number by gold labels is needed: that of the dataset less that of the rows the run has answered. A second prediction for a row is
+    an error, or with ``repeated="least"`` the smallest one counts. Predictions without a gold row count nowhere. With ``whole`` a
+    run with missing or surplus predictions is an error; ``coverage`` counts them.
     """
+    if repeated not in ("fail", "least"):
+        raise ValueError("repeated is fail or least")
     if targets is None:
         targets = {
             "emotion": ("voted_emotion", fixed.EMOTION_COLUMN, fixed.EMOTIONS),
             "sentiment": ("voted_sentiment", fixed.SENTIMENT_COLUMN, fixed.SENTIMENTS),
         }
+    shared = _shared(run_keys, join_keys)
     wanted = [column for truth, said, _ in targets.values() for column in (truth, said)]
     predicted = [column for column in dict.fromkeys(wanted) if column in predictions.columns]
     true = [column for column in dict.fromkeys(wanted) if column not in predicted]
-    expected = expected_rows(predictions, gold.select(*join_keys, *true), run_keys, join_keys)
     keys = list(dict.fromkeys([*run_keys, *join_keys]))
-    said = predictions.select(*keys, *predicted)
-    # A gold row without a prediction stays, with a null prediction, which is wrong.
-    matched = expected.join(said, keys, "left")
-    reports = target_reports(matched, targets, by=run_keys)
+    one = _once(predictions, keys, predicted, join_keys, repeated)
+    met = one.join(gold.select(*join_keys, *true, F.lit(1).alias("_gold")), list(join_keys), "left")
+    # From here on there is one row for each combination of labels, not for each prediction.
+    counted = settle(met.groupBy(*run_keys, *true, *predicted, F.col("_gold").isNull().alias("_surplus")).agg(F.count("*").alias("_n")))
+    known = broadcast_if_small(gold.groupBy(*shared, *true).agg(F.count("*").alias("_all")))
+    runs = counted.select(*run_keys).distinct()
+    have = counted.where("not _surplus").groupBy(*run_keys, *true).agg(F.sum("_n").alias("_have")).withColumnsRenamed({c: f"_of_{c}" for c in [*run_keys, *true]})
+    expected = runs.join(known, shared)
+    missing = expected.join(have, same(expected, have, {c: f"_of_{c}" for c in [*run_keys, *true]}), "left")
+    missing = missing.select(*run_keys, *true, (F.col("_all") - F.coalesce("_have", F.lit(0))).alias("_n")).where("_n > 0")
+    if whole:
+        told = F.concat_ws(" ", *[F.col(key).cast("string") for key in run_keys])
+        short = counted.where("_surplus").select(*run_keys).unionByName(missing.select(*run_keys)).select(told.alias("run")).distinct().limit(5)
+        if names := [row["run"] for row in short.collect()]:
+            raise ValueError(f"runs whose predictions are not those of the gold rows: {names}")
+    answered = counted.where("not _surplus").select(*run_keys, *true, *predicted, "_n")
+    rows = answered.unionByName(missing, allowMissingColumns=True)
+    reports = target_reports(rows, targets, by=run_keys, weight="_n")
     return reports.select(*run_keys, "target", "ordinal", "label", "precision", "recall", "f1", "support")
 
 

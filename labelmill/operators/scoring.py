@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from labelmill import fixed_values as fixed
 from labelmill.functions.text import first_label
+from labelmill.operators.runs import pending
+from labelmill.settle import land
+from labelmill.sinks.versions import append, read_versions
 
 Scorer = Callable[[list[str]], Sequence[str]]
 BATCH_ROWS = 32
+#: Rows whose answers are published together; a run that is ended loses no more.
+COMMIT_ROWS = 1_000_000
 
 
 def batch_score(
@@ -51,6 +56,37 @@ def batch_score(
     return df.mapInArrow(score_batches, T.StructType(df.schema.fields + added))
 
 
+def score_with_log(
+    df: DataFrame, log: str, prompts: Mapping[str, str], scorer_factory: Callable[[], Scorer], row_id: str = "row_id",
+    commit_rows: int = COMMIT_ROWS, batch_size: int = BATCH_ROWS,
+) -> DataFrame:
+    """Answers as ``batch_score`` gives them, kept in a log as they come: rows are asked range by range of ``row_id``, and
+    the answers of ``commit_rows`` rows are published as one version of the table at ``log`` before the next ones are asked.
+
+    A run that was ended goes on where it stopped, and asks only for rows without an answer in the log. Batches hold
+    prompts of similar length, so that short ones do not wait for long ones; the result comes with ``row_id``, which has the order. A row id
+    occurs once. Null prompts count as answered, with null. Returns the rows of the log for ``df``: row_id and the answers.
+    """
+    spark = df.sparkSession
+    names = list(prompts.values())
+    kinds = T.StructType([df.schema[row_id], *(T.StructField(name, T.StringType()) for name in names)])
+    like = spark.createDataFrame([], kinds)
+    asked = df.select(row_id, *prompts)
+    part = F.floor(F.col(row_id) / commit_rows)
+    wanted = asked.select(row_id)
+    open_parts = pending(wanted, read_versions(like, log), [row_id]).select(part.alias("part")).distinct()
+    # One short number for each commit that is still to be made.
+    for entry in open_parts.orderBy("part").toLocalIterator():
+        lo = entry["part"] * commit_rows
+        own = asked.where((F.col(row_id) >= lo) & (F.col(row_id) < lo + commit_rows))
+        missing = land(pending(own, read_versions(like, log), [row_id]))
+        size = sum((F.coalesce(F.length(F.col(name)), F.lit(0)) for name in prompts), F.lit(0))
+        # As many rows for each task, of similar length.
+        dealt = missing.repartitionByRange(size, F.col(row_id)).sortWithinPartitions(size, row_id)
+        append(batch_score(dealt, prompts, scorer_factory, batch_size).select(row_id, *names), log, [row_id])
+    return read_versions(like, log).join(wanted, row_id, "left_semi")
+
+
 def extract_labels(df: DataFrame, combined: bool = True, mode: str = "word") -> DataFrame:
     """Emotion and sentiment columns read out of the raw answers."""
     emotion_raw = fixed.RAW_COLUMN if combined else fixed.EMOTION_RAW_COLUMN

@@ -18,13 +18,14 @@ PREDICTIONS = f"text string, {fixed.SENTIMENT_COLUMN} string, {fixed.EMOTION_COL
 
 def evaluate_tree(
     spark: SparkSession, root: str, gold: DataFrame, finished: DataFrame | None = None, file: str = "predictions.csv",
-    schema: str = PREDICTIONS, missing: Sequence[str] = (),
+    schema: str = PREDICTIONS, missing: Sequence[str] = (), whole: bool = True,
 ) -> DataFrame:
     """Reports of all runs under ``root`` in one job. ``gold`` holds dataset, row_id and the voted labels; runs of
     datasets it does not have are left out. ``finished`` holds run keys and targets that have a report already.
 
     Files of finished runs and of other datasets are not read, and of the rest only the predicted labels. The paths of the
-    runs to read pass through the driver, as every listing of files does. ``missing`` lists texts that stand for no answer.
+    runs to read pass through the driver, as every listing of files does. ``missing`` lists texts that stand for no answer. A run
+    with fewer or more predictions than gold rows is an error unless ``whole`` is off; then what is missing is wrong.
     """
     runs = run_files(spark, root, file).join(gold.select("dataset").distinct(), "dataset", "left_semi")
     if finished is not None:
@@ -35,7 +36,7 @@ def evaluate_tree(
     if not paths:
         kinds = ", ".join(f"`{name}` string" for name in (*RUN_KEYS, *columns)) + ", row_id long"
         return evaluate_runs(spark.createDataFrame([], kinds), gold)
-    reports = evaluate_runs(read_runs(spark, paths, file, schema, columns, missing), gold)
+    reports = evaluate_runs(read_runs(spark, paths, file, schema, columns, missing), gold, whole=whole)
     return reports if finished is None else pending(reports, finished, REPORT_KEYS)
 
 

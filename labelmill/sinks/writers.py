@@ -111,5 +111,84 @@ def stored(like: DataFrame, path: str) -> DataFrame:
 
 
 def append_missing(df: DataFrame, path: str, keys: Sequence[str]) -> None:
-    """Append the rows whose keys the table at ``path`` does not hold yet."""
+    """Append the rows whose keys the table at ``path`` does not hold yet. A single writer's way; ``versions.append`` is safe against
+    repeated and competing ones."""
     pending(df, stored(df, path), keys).write.mode("append").parquet(path)
+
+
+def write_json_array(df: DataFrame, path: str, order_by: Sequence[str]) -> None:
+    """One file that holds one JSON array of the rows, in order, each on a line of its own that begins with the comma.
+
+    One sort; tasks write ordered parts. These are put together by their file system: joined without a copy where it can do that
+    (HDFS), else each task copies its part to its place in the file (storage mounted on all machines, ``file:``). No task and
+    not the driver handles the whole. The file appears under its name once it is complete; a failed attempt leaves nothing, or a
+    hidden folder which goes with the next one. Other stores cannot join files: write JSON lines there.
+    """
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(conf)
+    if files.exists(target):
+        raise FileExistsError(path)
+    aside = f"{path.rsplit('/', 1)[0]}/_{path.rsplit('/', 1)[-1]}.parts"
+    hidden = jvm.org.apache.hadoop.fs.Path(aside)
+    files.delete(hidden, True)
+    try:
+        record = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+        rows = df.orderBy(*order_by).select(record.alias("_json"), F.monotonically_increasing_id().alias("_at"))
+        # The first row of a task's part goes without comma; one is put between the parts.
+        first = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) == 0
+        led = F.concat(F.when(first, "").otherwise(","), "_json")
+        rows.select(led.alias("value")).write.option("lineSep", "\n").text(aside)
+        parts = sorted((e for e in files.listStatus(hidden) if e.getPath().getName().startswith("part-")), key=lambda e: e.getPath().getName())
+        parts = [e for e in parts if e.getLen()]
+        pieces: list[tuple[str, int]] = []
+
+        def put(text: str) -> None:
+            small = jvm.org.apache.hadoop.fs.Path(f"{aside}/_text-{len(pieces):09d}")
+            out = files.create(small, True)
+            out.write(bytearray(text.encode()))
+            out.close()
+            pieces.append((small.toUri().getPath(), len(text.encode())))
+
+        put("[")
+        for number, part in enumerate(parts):
+            if number:
+                put(",")
+            pieces.append((part.getPath().toUri().getPath(), part.getLen()))
+        put("]\n")
+        if files.getUri().getScheme() == "file":
+            whole = _copied(spark, pieces, f"{hidden.toUri().getPath()}/_whole")
+        else:
+            whole = pieces[0][0]
+            others = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Path, len(pieces) - 1)
+            for k, (piece, _) in enumerate(pieces[1:]):
+                others[k] = jvm.org.apache.hadoop.fs.Path(piece)
+            files.concat(jvm.org.apache.hadoop.fs.Path(whole), others)
+        if not files.rename(jvm.org.apache.hadoop.fs.Path(whole), target):
+            raise OSError(f"{path} could not be named")
+    finally:
+        files.delete(hidden, True)
+
+
+def _copied(spark: SparkSession, pieces: Sequence[tuple[str, int]], whole: str) -> str:
+    """Put the pieces behind one another: each is copied by its own task to its place. A repeated task writes the same bytes."""
+    import shutil
+
+    places, at = [], 0
+    for piece, size in pieces:
+        places.append((piece, at))
+        at += size
+    with open(whole, "wb") as out:
+        out.truncate(at)
+
+    def copy(rows):  # noqa: ANN001, ANN202
+        for batch in rows:
+            for piece, place in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with open(piece, "rb") as own, open(whole, "r+b") as out:
+                    out.seek(place)
+                    shutil.copyfileobj(own, out, 1 << 20)
+            yield batch
+
+    spark.createDataFrame(places, "piece string, place long").repartition(len(places), "place").mapInArrow(copy, "piece string, place long").count()
+    return whole
