@@ -29,7 +29,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from labelmill.llm.common import utf8
 from labelmill.settle import land, shared_folder
 
-MANIFEST = "_archives.json"
+MANIFEST = "_archives"
 #: Bytes of archive for one partition, and between the places at which an archive can be entered.
 PARTITION, ENTRY = 32 << 20, 4 << 20
 HEAD = 4096
@@ -113,13 +113,16 @@ class _Reader(ds.DataSourceReader):
 
     def partitions(self) -> list[Archive]:
         files, root = _system(self.options["path"])
-        listed = f"{root}/{MANIFEST}"
-        if files.get_file_info(listed).type == fs.FileType.File:
-            with files.open_input_stream(listed) as stream:
-                found = [(f"{root}/{x['file']}", x["size"], x["entries"]) for x in json.loads(stream.read())]
+        info = files.get_file_info(root)
+        every = [info] if info.type == fs.FileType.File else files.get_file_info(fs.FileSelector(root, recursive=True))
+        # Every write has its own manifest, which tells what it has finished.
+        listed = sorted(i.path for i in every if i.base_name.startswith(MANIFEST) and i.type == fs.FileType.File)
+        if listed:
+            found = []
+            for name in listed:
+                with files.open_input_stream(name) as stream:
+                    found += [(f"{root}/{x['file']}", x["size"], x["entries"]) for x in json.loads(stream.read())]
         else:
-            info = files.get_file_info(root)
-            every = [info] if info.type == fs.FileType.File else files.get_file_info(fs.FileSelector(root, recursive=True))
             found = sorted((i.path, i.size, []) for i in every if i.type == fs.FileType.File and re.search(r"\.warc(\.gz)?$", i.path))
         limit = int(self.options.get("partitionbytes", PARTITION))
         out, own, held = [], [], 0
@@ -194,7 +197,8 @@ class _Member:
         stream.seek(at)
         start = stream.read(HEAD)
         self.packed = start[:2] == b"\x1f\x8b"
-        self.data, self.feed = b"", start
+        # Grows in place: a long payload is not copied for each piece of it.
+        self.data, self.feed = bytearray(), start
         if self.packed:
             if len(start) >= 24 and start[3] & 4 and start[12:14] == b"sl":
                 self.size = struct.unpack("<I", start[16:20])[0]
@@ -226,6 +230,16 @@ class _Member:
             self.feed = b""
         return True
 
+    def find(self, start: int, end: int | None = None) -> int:
+        """Where the first blank line from ``start`` on is, within ``end``; -1 if there is none. Each byte is looked at once."""
+        seen = start
+        while True:
+            found = self.data.find(b"\r\n\r\n", seen, len(self.data) if end is None else end)
+            held = len(self.data)
+            if found >= 0 or (end is not None and held >= end) or not self.more():
+                return found
+            seen = max(start, held - 3)
+
     def next(self, total: int) -> int:
         """Where the next record starts, ``total`` being the length of this one."""
         if not self.packed:
@@ -233,7 +247,7 @@ class _Member:
         if self.size:
             return self.at + self.size
         while not self.over:
-            self.data = b""
+            self.data.clear()
             self.more()
         return self.at + self.used
 
@@ -243,13 +257,12 @@ def records(stream, start: int, end: int, wanted: list, keep: bool) -> Iterator[
     at = start
     while at < end or end < 0:
         own = _Member(stream, at)
-        while b"\r\n\r\n" not in own.data and own.more():
-            pass
-        head, mark, _ = own.data.partition(b"\r\n\r\n")
-        if not mark:
+        end_of_head = own.find(0)
+        if end_of_head < 0:
             if own.data.strip():
                 raise ValueError("not a record")
             return
+        head = bytes(own.data[:end_of_head])
         if not head.startswith(b"WARC/"):
             raise ValueError("not a WARC record")
         fields = _fields(head)
@@ -259,11 +272,9 @@ def records(stream, start: int, end: int, wanted: list, keep: bool) -> Iterator[
             http = fields.get("content-type", "").startswith("application/http")
             body = 0
             if http:
-                while b"\r\n\r\n" not in own.data[block : block + length] and len(own.data) < block + length and own.more():
-                    pass
-                inner, mark, _ = own.data[block : block + length].partition(b"\r\n\r\n")
-                body = len(inner) + 4 if mark else 0
-                said = _fields(inner).get("content-length") if mark else None
+                inner = own.find(block, block + length)
+                body = inner - block + 4 if inner >= 0 else 0
+                said = _fields(bytes(own.data[block:inner])).get("content-length") if inner >= 0 else None
                 row["payload_bytes"] = int(said) if said is not None else length - body
             else:
                 row["payload_bytes"] = length
@@ -272,7 +283,7 @@ def records(stream, start: int, end: int, wanted: list, keep: bool) -> Iterator[
                     pass
                 if len(own.data) < block + length:
                     raise ValueError("an archive ends within a record")
-                row["payload"] = own.data[block + body : block + length]
+                row["payload"] = bytes(memoryview(own.data)[block + body : block + length])
             yield row
         at = own.next(block + length + 4)
 
@@ -299,7 +310,7 @@ class _Writer(ds.DataSourceArrowWriter):
         files, root = _system(self.options["path"])
         files.create_dir(root, recursive=True)
         listed = [{"file": m.file, "size": m.size, "entries": m.entries} for m in messages if m and m.size]
-        with files.open_output_stream(f"{root}/{MANIFEST}") as out:
+        with files.open_output_stream(f"{root}/{MANIFEST}-{uuid.uuid4().hex}.json") as out:
             out.write(json.dumps(listed).encode())
 
     def abort(self, messages: list[Written | None]) -> None:

@@ -112,3 +112,29 @@ def test_lost_attempts_do_not_count(spark, path):
     stray = Path(path) / "part-stray.warc.gz"
     stray.write_bytes(warc.member(warc.record({"record_type": "response", "record_id": "z", "payload": b"", "payload_bytes": 0, "payload_digest": "D"})))
     assert warc.read(spark, path).where("record_id = 'z'").count() == 0
+
+
+def test_two_writes_to_one_folder(spark, tmp_path):
+    """Each write has its own manifest: a second one adds its archives, and none is lost."""
+    pages = [(k, f"http://x/{k}", f"page {k} " * k) for k in range(1, 7)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for lo, hi in ((1, 3), (3, 4), (4, 7)):
+        warc.write(warc.to_records(df.where(f"page_id >= {lo} and page_id < {hi}"), "page_id", "url", "html"), str(tmp_path / "w"))
+    found = warc.read(spark, str(tmp_path / "w"), ("record_id", "payload")).collect()
+    assert sorted((r["record_id"], r["payload"]) for r in found) == [(f"urn:row:{k}", t) for k, _, t in pages]
+
+
+def test_long_payload_in_linear_time():
+    """256 MB within one record; pieces are not copied again and again."""
+    import io
+    import time
+
+    body = (b"0123456789abcdef" * 4 + b"\n") * (256_000_000 // 65)
+    plain = b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+    start = time.process_time()
+    [row] = warc.records(io.BytesIO(plain), 0, len(plain), [], True)
+    assert row["payload"] == body and row["payload_bytes"] == len(body)
+    packed = gzip.compress(plain, 1)
+    [row] = warc.records(io.BytesIO(packed), 0, len(packed), [], True)
+    assert row["payload"] == body
+    assert time.process_time() - start < 60
