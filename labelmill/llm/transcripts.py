@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from labelmill.llm.common import map_batches
-from labelmill.settle import land
+from labelmill.operators.positions import CELL_ROWS, row_ids
+from labelmill.settle import land, lookup
 
 ROLES = ("system", "user", "assistant")
 #: Markers at the start of a line, in lower case and without the signs around them, by what they say about the speaker.
@@ -53,12 +54,14 @@ def body(line: Column) -> Column:
     return F.when(kind == _ANY, F.regexp_replace(line, _BULLET, "")).when(kind > 0, F.regexp_replace(line, _MARKER, "")).otherwise(line)
 
 
-def _codes(lines: Column) -> Column:
-    """One code for all features of each line."""
+def _codes(lines: Column, before: Column) -> Column:
+    """One code for all features of each line; ``before`` says whether the line before the first one is blank, null if there is
+    none."""
+    lead = F.when(before.isNull(), 0).when(before, 1).otherwise(2)
 
     def code(line: Column, i: Column) -> Column:
         size = F.length(line)
-        place = F.when(i == 0, 0).when(F.trim(F.get(lines, i - 1)) == "", 1).otherwise(2)
+        place = F.when(i == 0, lead).when(F.trim(F.get(lines, i - 1)) == "", 1).otherwise(2)
         length = F.when(size == 0, 0).when(size < 40, 1).when(size < 120, 2).when(size < 300, 3).otherwise(4)
         out = F.lit(0)
         for part, n in zip((marker(line), place, length, F.rtrim(line).endswith("?").cast("int")), FEATURES, strict=True):
@@ -69,42 +72,60 @@ def _codes(lines: Column) -> Column:
 
 
 def parts(df: DataFrame, key: str, order: str, text: str, *more: str, span: int = 4096) -> DataFrame:
-    """(k, key, part, rows): transcripts in parts, each holding the rows whose ``order`` lies in one range of ``span`` values.
+    """(k, key, part, rows): transcripts in parts of ``span`` rows, counted from 0 in each, whatever numbers order them.
 
     Rows without order come first, rows of one order follow each other by their text; a null text is one empty line. ``k`` names
-    the key, null included. A part is one task's row, so ``span`` bounds what it holds if an order stands for few rows."""
-    at = F.coalesce(F.col(f"`{order}`").cast("long"), F.lit(-1))
+    the key, null included. Rows get their places by one sort over all tasks, so neither a long transcript nor many rows of one
+    order meet in a task, and ``span`` bounds what a part holds."""
+    at = F.coalesce(F.col(f"`{order}`").cast("long"), F.lit(-(2**63)))
     name = F.coalesce(F.concat(F.lit("k"), F.col(f"`{key}`").cast("string")), F.lit("n"))
     rows = df.select(
-        name.alias("k"), F.col(f"`{key}`").alias("key"), F.greatest(F.floor(at / span), F.lit(0)).cast("long").alias("part"),
-        F.struct(at.alias("at"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), *(F.col(f"`{m}`").alias(m) for m in more)).alias("row"),
+        name.alias("k"), F.col(f"`{key}`").alias("key"), at.alias("at"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"),
+        F.struct(F.lit(0).alias("none"), *(F.col(f"`{m}`").alias(m) for m in more)).alias("more"),
     )
-    return rows.groupBy("k", "key", "part").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    # The last key tells equal rows apart, so that they can be sorted by several tasks.
+    placed = row_ids(rows.withColumn("copy", F.monotonically_increasing_id()), ["k", "at", "text", "more", "copy"], "place")
+    first = placed.groupBy("k").agg(F.min("place").alias("first"))
+    placed = lookup(placed, first, ["k"], F.floor(F.col("place") / CELL_ROWS), how="inner")
+    row = F.struct(F.col("place").alias("at"), "text", *(F.col("more")[m].alias(m) for m in more)).alias("row")
+    cut = placed.select("k", "key", F.floor((F.col("place") - F.col("first")) / span).cast("long").alias("part"), row)
+    return cut.groupBy("k", "key", "part").agg(F.array_sort(F.collect_list("row")).alias("rows"))
 
 
-def fit(df: DataFrame, key: str, order: str, text: str, role: str) -> dict:
+def _led(own: DataFrame, *last: Column) -> DataFrame:
+    """Parts with the values ``last`` of the part before, null in the first one."""
+    before = own.select(F.col("k").alias("_k"), (F.col("part") + 1).alias("_part"), *last)
+    return own.join(before, (F.col("k") == F.col("_k")) & (F.col("part") == F.col("_part")), "left").drop("_k", "_part")
+
+
+def fit(df: DataFrame, key: str, order: str, text: str, role: str, span: int = 4096) -> dict:
     """Log tables {"move", "emit"} counted on transcripts with known roles, one row for each turn with its marker in place. All
-    rows count; rows with another role than ``ROLES`` are passed over. The counts are a table of fixed size. An empty input
-    gives even tables."""
+    rows count, each after the one before it, in whatever parts they come; rows with another role than ``ROLES`` are passed
+    over. The counts are a table of fixed size. An empty input gives even tables."""
     known = df.where(F.col(f"`{role}`").isin(*ROLES)).withColumn("role_", F.array_position(F.array(*map(F.lit, ROLES)), F.col(f"`{role}`")).cast("int") - 1)
-    own = parts(known, key, order, text, "role_")
+    own = parts(known, key, order, text, "role_", span=span)
     split = F.flatten(F.transform("rows", lambda r: F.split(r["text"], "\n", -1)))
     states = F.flatten(F.transform("rows", lambda r: F.transform(F.split(r["text"], "\n", -1), lambda _, i: r["role_"] * 2 + F.when(i > 0, 1).otherwise(0))))
-    seen = own.select("part", split.alias("lines"), states.alias("s")).select("part", "s", _codes(F.col("lines")).alias("c"))
-    # The line before the first one is the start; what precedes a later part is not counted.
-    start = F.when(F.col("part") == 0, F.lit(STATES))
+    own = land(own.select("k", "part", split.alias("lines"), states.alias("s")))
+    own = _led(own, _blank_end(), F.element_at("s", -1).alias("_s"))
+    seen = own.select("_s", "s", _codes(F.col("lines"), F.col("_blank")).alias("c"))
+    # The line before the first one is the start.
+    start = F.coalesce(F.col("_s"), F.lit(STATES))
     at = F.explode(F.transform("s", lambda s, i: F.struct(F.when(i == 0, start).otherwise(F.get("s", i - 1)).alias("a"), s.alias("b"), F.get("c", i).alias("c"))))
     counts = seen.select(at.alias("x")).select("x.*").groupBy("a", "b", "c").count().collect()
     move = np.full((STATES + 1, STATES + 1), 0.1)
     emit = np.full((STATES + 1, int(np.prod(FEATURES))), 0.01)
     for a, b, c, n in counts:
         emit[b, c] += n
-        if a is not None:
-            move[a, b] += n
+        move[a, b] += n
     move, emit = np.log(move[:, :STATES] / move[:, :STATES].sum(axis=1, keepdims=True)), np.log(emit / emit.sum(axis=1, keepdims=True))
     return {"move": np.concatenate([move, np.full((STATES + 1, 1), -np.inf)], axis=1), "emit": emit}
 
 
+def _blank_end() -> Column:
+    return (F.trim(F.element_at("lines", -1)) == "").alias("_blank")
+
+
 def _step(model: dict, code: int) -> np.ndarray:
     """Scores of going from any state to any other one that emits ``code``."""
     return model["move"] + model["emit"][:, code][None, :]
@@ -141,13 +162,14 @@ def parse(df: DataFrame, model: dict, key: str, order: str, text: str, span: int
     """(key, part, lines): every line of the transcripts as a struct (role, opens, line), in order.
 
     ``opens`` marks the first line of a turn, whose marker is cut off. A transcript may be spread over rows, which ``order``
-    puts in order, see ``parts``. Any number of parts is decoded exactly: parts become matrices, FAN at a time, and the best
-    states at their borders are handed back down.
+    puts in order, see ``parts``. Any number of parts is decoded exactly: a part knows how the one before it ends, parts become
+    matrices, FAN at a time, and the best states at their borders are handed back down.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
     split = F.flatten(F.transform("rows", lambda r: F.split(r["text"], "\n", -1)))
     cut = parts(df, key, order, text, span=span).select("k", "key", "part", split.alias("lines"))
-    cut = land(cut.select("k", "key", "part", "lines", _codes(F.col("lines")).alias("codes")))
+    cut = _led(land(cut), _blank_end())
+    cut = land(cut.select("k", "key", "part", "lines", _codes(F.col("lines"), F.col("_blank")).alias("codes")))
     last = cut.agg(F.max("part")).first()[0] or 0
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

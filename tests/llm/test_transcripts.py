@@ -57,13 +57,12 @@ def test_parts_change_nothing(spark, model, monkeypatch, span, fan):
     df = spark.createDataFrame(rows, "conv_id int, turn int, text string")
     monkeypatch.setattr(transcripts, "FAN", fan)
     out = transcripts.parse(df, model, "conv_id", "turn", "text", span=span).orderBy("key", "part").collect()
-    # The first line of a part counts as a first line, which the plain way has to know as well.
     kind = lambda t: {"U": 2, "A": 3, "-": 4}.get(t[:1], 0)
     for k in (1, 2):
         own = [t for c, _, t in rows if c == k]
         codes = []
         for i, t in enumerate(own):
-            place = 0 if i % span == 0 else 1 if own[i - 1].strip() == "" else 2
+            place = 0 if i == 0 else 1 if own[i - 1].strip() == "" else 2
             size = 0 if not t else 1 if len(t) < 40 else 2 if len(t) < 120 else 3 if len(t) < 300 else 4
             codes.append(((kind(t) * 3 + place) * 5 + size) * 2 + t.rstrip().endswith("?"))
         states = transcripts._walk([transcripts._step(model, c) for c in codes], 6, None)
@@ -90,3 +89,26 @@ def test_edges(spark):
     empty = transcripts.fit(df.where("conv_id = 9"), "conv_id", "turn", "text", "role")
     assert np.isfinite(empty["move"][:, :6]).all()
     assert transcripts.render(transcripts.parse(df.where("conv_id = 9"), empty, "conv_id", "turn", "text")).collect() == []
+
+
+def test_numbering_changes_nothing(spark):
+    """Turns numbered 0, 1, 2 and 0, 1,000,000, 2,000,000, and any span, give the same tables and the same lines."""
+    draw = random.Random(11)
+    rows = [(k, i, draw.choice(["User: hi?", "AI: fine\n", "- so\n\nmore", "plain", ""]), draw.choice(["user", "assistant"])) for k in range(12) for i in range(draw.randint(1, 23))]
+    seen = []
+    for step, span in ((1, 4096), (1_000_000, 4096), (7, 3), (10**15, 4)):
+        df = spark.createDataFrame([(k, step * i, t, r) for k, i, t, r in rows], "conv_id int, turn long, text string, role string").repartition(5)
+        model = transcripts.fit(df, "conv_id", "turn", "text", "role", span=span)
+        found = transcripts.parse(df, model, "conv_id", "turn", "text", span=span).orderBy("key", "part").collect()
+        lines = {}
+        for r in found:
+            assert len(r["lines"]) <= span * 3
+            lines.setdefault(r["key"], []).extend(tuple(x) for x in r["lines"])
+        seen.append((np.round(model["move"][:, :6], 12).tolist(), np.round(model["emit"], 12).tolist(), lines))
+    assert all(s == seen[0] for s in seen[1:])
+
+
+def test_many_rows_of_one_order(spark):
+    df = spark.createDataFrame([(1, None, "same")] * 50 + [(1, 3, f"t{i}") for i in range(50)], "conv_id int, turn long, text string")
+    cut = transcripts.parts(df, "conv_id", "turn", "text", span=8).collect()
+    assert sorted(len(r["rows"]) for r in cut) == [4] + [8] * 12
