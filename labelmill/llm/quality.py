@@ -10,14 +10,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from labelmill.llm import wordhash
 from labelmill.llm.common import map_batches, pieces, utf8, widened
+from labelmill.settle import settle
 
 BUCKETS = 1 << 18
 #: The model is fitted on at most about this many rated rows.
 SAMPLE = 8_000
+#: Bytes of the sampled texts; one counts as the bytes of its features at most.
+SAMPLE_BYTES = 64_000_000
 STEPS = 60
 RIDGE = 3e-4
 _SHAPES = 6**3
@@ -75,17 +78,21 @@ def probabilities(eta: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
     return _sigmoid(eta[:, None] - thresholds[None, :])
 
 
-def loss_and_gradient(eta: np.ndarray, thresholds: np.ndarray, grade: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Negative log-likelihood with its derivatives by eta and by the thresholds."""
+def loss_and_gradient(
+    eta: np.ndarray, thresholds: np.ndarray, grade: np.ndarray, weight: np.ndarray | None = None,
+) -> tuple[float, np.ndarray, np.ndarray]:
+    """Negative log-likelihood with its derivatives by eta and by the thresholds; a row counts ``weight`` times."""
     k = len(thresholds)
+    times = np.ones(len(eta)) if weight is None else weight
     tail = np.concatenate([np.ones((len(eta), 1)), probabilities(eta, thresholds), np.zeros((len(eta), 1))], axis=1)
     rows = np.arange(len(eta))
     up, down = tail[rows, grade], tail[rows, grade + 1]
     own = np.maximum(up - down, 1e-12)
     slope_up, slope_down = up * (1 - up), down * (1 - down)
-    by_eta = -(slope_up - slope_down) / own
-    by_threshold = np.array([(slope_up[grade == j + 1] / own[grade == j + 1]).sum() - (slope_down[grade == j] / own[grade == j]).sum() for j in range(k)])
-    return float(-np.log(own).sum()), by_eta, by_threshold
+    by_eta = -times * (slope_up - slope_down) / own
+    up_share, down_share = times * slope_up / own, times * slope_down / own
+    by_threshold = np.array([up_share[grade == j + 1].sum() - down_share[grade == j].sum() for j in range(k)])
+    return float(-(times * np.log(own)).sum()), by_eta, by_threshold
 
 
 def minimise(function, x: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:  # noqa: ANN001
@@ -124,11 +131,15 @@ def minimise(function, x: np.ndarray, steps: int, memory: int = 8) -> np.ndarray
     return x
 
 
-def fit_arrays(text: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int) -> dict:
+def fit_arrays(
+    text: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int, weight: np.ndarray | None = None,
+) -> dict:
     """Weights and ordered thresholds of the least mean loss plus ``RIDGE`` / 2 |w|^2; the lowest threshold and the logarithms
-    of the gaps are free."""
+    of the gaps are free. A text stands for ``weight`` equal ones."""
     n = max(1, len(grade))
-    share = np.array([(np.sum(grade >= k) + 1) / (n + grades) for k in range(1, grades)])
+    times = np.ones(len(grade)) if weight is None else weight
+    total = max(1.0, float(times.sum()))
+    share = np.array([(times[grade >= k].sum() + 1) / (total + grades) for k in range(1, grades)])
     start = -np.log(share / (1 - share))
     free = np.concatenate([start[:1], np.log(np.maximum(np.diff(start), 0.1))])
     thresholds = lambda f: np.cumsum(np.concatenate([f[:1], np.exp(f[1:])]))
@@ -136,28 +147,36 @@ def fit_arrays(text: np.ndarray, feature: np.ndarray, value: np.ndarray, grade:
     def function(x: np.ndarray) -> tuple[float, np.ndarray]:
         weights, own = x[:WIDTH], x[WIDTH:]
         eta = np.bincount(text, weights[feature] * value, n)[:n]
-        loss, by_eta, by_threshold = loss_and_gradient(eta[: len(grade)], thresholds(own), grade)
-        slope = np.bincount(feature, np.append(by_eta, 0)[text] * value, WIDTH) / n + RIDGE * weights
-        tails = np.cumsum(by_threshold[::-1])[::-1] / n
+        loss, by_eta, by_threshold = loss_and_gradient(eta[: len(grade)], thresholds(own), grade, times)
+        slope = np.bincount(feature, np.append(by_eta, 0)[text] * value, WIDTH) / total + RIDGE * weights
+        tails = np.cumsum(by_threshold[::-1])[::-1] / total
         tails[1:] *= np.exp(own[1:])
-        return loss / n + RIDGE / 2 * float(weights @ weights), np.concatenate([slope, tails])
+        return loss / total + RIDGE / 2 * float(weights @ weights), np.concatenate([slope, tails])
 
     x = minimise(function, np.concatenate([np.zeros(WIDTH), free]), STEPS)
     return {"weights": x[:WIDTH], "thresholds": thresholds(x[WIDTH:])}
 
 
-def fit(rated: DataFrame, grades: int, grade: str = "grade", text: str = "text", sample: int = SAMPLE) -> dict:
+def fit(rated: DataFrame, grades: int, grade: str = "grade", text: str = "text", sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> dict:
     """A model from rows with a grade from 0 to ``grades`` - 1.
 
-    About ``sample`` rows at most are used, chosen by the hash of their text; that bounds what the driver holds. Rows with a
-    null text, and with a null grade or one out of range, are left out. Without rows the model rates every text alike.
+    Rows of one text and grade are one row that counts as often. Of these at most ``sample`` are used, with ``most_bytes`` of
+    text in sum: those with the smallest hashes of text and grade. That bounds what the driver holds, however many copies there are
+    and however long texts are. Rows with a null text, and with a null grade or one out of range, are left out. Without rows
+    the model rates every text alike.
     """
     if grades < 2:
         raise ValueError("at least two grades are needed")
     rows = rated.select(F.col(f"`{grade}`").cast("int").alias("grade"), utf8(f"`{text}`").alias("text"))
     rows = rows.where((F.col("grade") >= 0) & (F.col("grade") < grades) & F.col("text").isNotNull())
-    share = min(1.0, sample / max(1, rows.count()))
-    rows = rows.where(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000))
+    rows = rows.withColumns({"code": F.xxhash64("text", "grade", F.lit(5)), "other": F.xxhash64("grade", "text", F.lit(7))})
+    # Texts are shuffled for the rows that are drawn only; before, they are known by their hashes.
+    short = rows.select("code", "other", F.least(F.octet_length("text"), F.lit(8 * WIDTH)).alias("size")).groupBy("code", "other").agg(F.max("size").alias("size"), F.count("*").alias("times"))
+    drawn = settle(short.orderBy("code", "other").limit(sample))
+    before = F.sum("size").over(Window.orderBy("code", "other"))  # over ``sample`` short rows at most
+    drawn = drawn.withColumn("upto", before).where(F.col("upto") <= most_bytes).select("code", "other", "times")
+    found = rows.join(F.broadcast(drawn), ["code", "other"]).groupBy("code", "other", "times").agg(F.first("grade").alias("grade"), F.first("text").alias("text"))
+    rows = found.select("grade", "text", F.col("times").cast("double").alias("times"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -166,13 +185,13 @@ def fit(rated: DataFrame, grades: int, grade: str = "grade", text: str = "text",
                 order = np.argsort(own, kind="stable")
                 ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(own, minlength=batch.num_rows))]).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (feature[order].astype(np.int32), value[order].astype(np.float32))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["grade", "feature", "value"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lists], ["grade", "times", "feature", "value"])
 
-    got = map_batches(rows, run, "grade int, feature array<int>, value array<float>").toArrow().combine_chunks()
+    got = map_batches(rows, run, "grade int, times double, feature array<int>, value array<float>").toArrow().combine_chunks()
     sizes = np.asarray(got["feature"].combine_chunks().value_lengths()) if got.num_rows else np.zeros(0, int)
     flat = lambda name: np.concatenate([np.asarray(c.flatten()) for c in got[name].chunks] or [np.zeros(0)])
     text_of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-    return fit_arrays(text_of, flat("feature").astype(np.int32), flat("value").astype(np.float32), np.asarray(got["grade"]).astype(int), grades)
+    return fit_arrays(text_of, flat("feature").astype(np.int32), flat("value").astype(np.float32), np.asarray(got["grade"]).astype(int), grades, np.asarray(got["times"]).astype(float))
 
 
 def rate(df: DataFrame, model: dict, text: str = "text", grade: int | None = None) -> DataFrame:

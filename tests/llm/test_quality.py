@@ -68,3 +68,52 @@ def test_edges(spark, clash):
     assert quality.rate(clash([]), blind).collect() == []
     with pytest.raises(ValueError):
         quality.fit(rated, 1)
+
+
+def test_copies_cannot_break_the_bound(spark, monkeypatch):
+    """Half of all rows are one text: it is one row of the sample with its number as weight; the fit is that of all rows."""
+    rows = [(f"good word{i % 37} text", 1) for i in range(400)] + [("the same bad text", 0)] * 600 + [(f"bad item{i % 41}", 0) for i in range(200)]
+    df = spark.createDataFrame(rows, "text string, grade int").repartition(4)
+    held = []
+    plain = quality.fit_arrays
+    monkeypatch.setattr(quality, "fit_arrays", lambda t, f, v, g, k, w: held.append((len(g), w.sum())) or plain(t, f, v, g, k, w))
+    model = quality.fit(df, 2)
+    assert held[-1] == (37 + 41 + 1, 1200)
+    quality.fit(df, 2, sample=20)
+    assert held[-1][0] == 20
+    quality.fit(df, 2, most_bytes=100)
+    assert 0 < held[-1][0] <= 10
+    # Row by row, without weights.
+    text, feature, value = quality.features([t.encode() for t, _ in rows])
+    own = plain(text, feature, value, np.array([g for _, g in rows]), 2)
+    assert np.allclose(model["thresholds"], own["thresholds"], atol=2e-2) and np.allclose(model["weights"], own["weights"], atol=2e-2)
+
+
+def test_fit_is_the_minimum():
+    """Against plain gradient descent on a dense table, loss and slope written out row by row."""
+    draw = np.random.default_rng(8)
+    x = draw.integers(0, 2, (60, 5)).astype(float)
+    grade = np.clip((x @ [2, -1, 1, 0, 0] + draw.normal(size=60)).round().astype(int), 0, 2)
+    text, feature = np.nonzero(x)
+    model = quality.fit_arrays(text, feature, np.ones(len(text)), grade, 3)
+
+    def loss(w, t):
+        total = 0.0
+        for row, g in zip(x, grade, strict=True):
+            tail = [1.0, *(1 / (1 + np.exp(-(row @ w - own))) for own in t), 0.0]
+            total -= np.log(tail[g] - tail[g + 1])
+        return total / len(grade) + quality.RIDGE / 2 * w @ w
+
+    w, t = model["weights"][:5], model["thresholds"]
+    best = loss(w, t)
+    for i in range(5):
+        for step in (-0.05, 0.05):
+            other = w.copy()
+            other[i] += step
+            assert loss(other, t) >= best - 1e-7
+    for i in range(2):
+        for step in (-0.05, 0.05):
+            other = t.copy()
+            other[i] += step
+            assert loss(w, other) >= best - 1e-7
+    assert best < loss(np.zeros(5), t)
