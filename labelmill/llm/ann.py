@@ -21,7 +21,7 @@ from labelmill.settle import land
 #: Vectors of a list, most centroids, and bytes of the sample that they are fitted on: bounds of what the driver holds.
 LIST, MOST_LISTS, SAMPLE_BYTES = 256, 1 << 16, 64 << 20
 #: A vector is copied to lists up to (1 + REPLICATE) times its nearest centroid's distance, COPIES at most; a query visits those
-#: up to (1 + VISIT) times, BEAM at most.
+#: up to (1 + VISIT) times, as far as the beam reaches.
 REPLICATE, COPIES, VISIT, BEAM = 0.15, 4, 0.25, 256
 DEGREE = 16
 _BLOCK, _QUERIES = 4096, 4096
@@ -59,6 +59,11 @@ def centroids(sample: np.ndarray, most: int, seed: int = 7) -> np.ndarray:
     return np.stack(out) if out else np.zeros((0, 0))
 
 
+def reach(lists: int) -> int:
+    """How many centroids a query's beam holds: it grows with the root of their number beyond 1,024, or all of few."""
+    return max(BEAM, int(np.ceil(BEAM * np.sqrt(lists / 1024))))
+
+
 class Graph:
     """Centroids, each linked to its nearest ones and to a few at random, and a beam search along the links."""
 
@@ -102,7 +107,7 @@ def _lists(graph: Graph, vectors: np.ndarray, copies: bool, sizes: np.ndarray |
     """(row, list) pairs: where vectors are kept, or which lists queries visit. Those reach on until they hold ``least``."""
     rows, lists = [], []
     for lo in range(0, len(vectors), 128):
-        ids, far = graph.search(vectors[lo : lo + 128], 4 * COPIES if copies else BEAM)
+        ids, far = graph.search(vectors[lo : lo + 128], 4 * COPIES if copies else reach(len(graph.centre)))
         if copies:
             ids, far = ids[:, :COPIES], far[:, :COPIES]
             keep = far <= far[:, :1] * (1 + REPLICATE) + 1e-9
