@@ -161,7 +161,7 @@ def fit(rated: DataFrame, grades: int, grade: str = "grade", text: str = "text",
     """A model from rows with a grade from 0 to ``grades`` - 1.
 
     Rows of one text and grade are one row that counts as often. Of these at most ``sample`` are used, with ``most_bytes`` of
-    text in sum: those with the smallest hashes of text and grade. That bounds what the driver holds, however many copies there are
+    text in sum, chosen by the hashes of text and grade. That bounds what the driver holds, however many copies there are
     and however long texts are. Rows with a null text, and with a null grade or one out of range, are left out. Without rows
     the model rates every text alike.
     """
@@ -169,7 +169,10 @@ def fit(rated: DataFrame, grades: int, grade: str = "grade", text: str = "text",
         raise ValueError("at least two grades are needed")
     rows = rated.select(F.col(f"`{grade}`").cast("int").alias("grade"), utf8(f"`{text}`").alias("text"))
     rows = rows.where((F.col("grade") >= 0) & (F.col("grade") < grades) & F.col("text").isNotNull())
-    rows = rows.withColumns({"code": F.xxhash64("text", "grade", F.lit(5)), "other": F.xxhash64("grade", "text", F.lit(7))})
+    # Chosen by the text alone, so that a join that has brought the grades needs to move the chosen texts only.
+    share = min(1.0, sample / max(1, rows.count()))
+    rows = rows.where(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1_000_000)) < max(1, int(share * 1_000_000)))
+    rows = rows.withColumns({"code": F.xxhash64("text", "grade", F.lit(3)), "other": F.xxhash64("grade", "text", F.lit(7))})
     # Texts are shuffled for the rows that are drawn only; before, they are known by their hashes.
     short = rows.select("code", "other", F.least(F.octet_length("text"), F.lit(8 * WIDTH)).alias("size")).groupBy("code", "other").agg(F.max("size").alias("size"), F.count("*").alias("times"))
     drawn = settle(short.orderBy("code", "other").limit(sample))

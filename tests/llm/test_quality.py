@@ -77,11 +77,13 @@ def test_copies_cannot_break_the_bound(spark, monkeypatch):
     held = []
     plain = quality.fit_arrays
     monkeypatch.setattr(quality, "fit_arrays", lambda t, f, v, g, k, w: held.append((len(g), w.sum())) or plain(t, f, v, g, k, w))
-    model = quality.fit(df, 2)
+    model = quality.fit(df, 2, sample=1200)
     assert held[-1] == (37 + 41 + 1, 1200)
-    quality.fit(df, 2, sample=20)
-    assert held[-1][0] == 20
-    quality.fit(df, 2, most_bytes=100)
+    quality.fit(df, 2, sample=400)
+    assert held[-1][0] <= 400 and held[-1][1] <= 1200
+    quality.fit(df.limit(60), 2, sample=20)
+    assert held[-1][0] <= 20
+    quality.fit(df, 2, most_bytes=100, sample=1200)
     assert 0 < held[-1][0] <= 10
     # Row by row, without weights.
     text, feature, value = quality.features([t.encode() for t, _ in rows])
