@@ -17,6 +17,8 @@ from labelmill.settle import broadcast_if_small, land, lookup, same, settle
 
 # 4,096 cells per class: at 100 billion rows each one holds about 25 million ids.
 KEY_DIGITS = 3
+#: Ids that a quota walk reads first.
+FIRST_IDS = 1_000_000
 
 
 def shuffle_key(row_id: str | Column, seed: int) -> Column:
@@ -188,15 +190,16 @@ def quota_sample(
     """Walk the rows in order and keep a row while its stratum is below its quota; stop once the kept sizes reach
     ``cap`` or every quota is full. ``carried`` counts and sizes of an earlier sample are taken over.
 
-    Kept rows come back with ``kept_before`` (rows of their stratum) and ``size_before`` (all strata). The walk reads its
-    input several times and lands it first, so hand in ids, strata and sizes rather than texts.
+    Kept rows come back with ``kept_before`` (rows of their stratum) and ``size_before`` (all strata). The input is read in
+    ranges of ids, each twice as wide as the one before, and no further than the range in which the walk is over; what is
+    read is landed, so hand in ids, strata and sizes rather than texts.
     """
-    df = land(df)
     carried = dict(carried or {})
     names = list(quotas)
     # A row is accepted while carried + earlier < quota, so ceil(quota - carried) rows of a stratum are.
     room = {name: _room(quotas[name], carried.get(name, 0)) for name in names}
     mine = {name: F.coalesce(F.col(stratum) == name, F.lit(False)) for name in names}
+    df = _read_far_enough(df, mine, room, size, cap - carried_size, row_id)
     seen = {name: f"_seen_{number}" for number, name in enumerate(names)}
     counted = running(df, row_id, sums={seen[name]: mine[name].cast("long") for name in names})
     before = {name: F.col(seen[name]) - mine[name].cast("long") for name in names}
@@ -217,6 +220,32 @@ def quota_sample(
     return out.drop("_accepted", "_full", "_size", *seen.values())
 
 
+def _read_far_enough(
+    df: DataFrame, mine: Mapping[str, Column], room: Mapping[str, int], size: str, cap: float, row_id: str,
+) -> DataFrame:
+    """The landed rows up to an id at which the walk is over for sure: every stratum has had as many rows as there is room for, or
+    the sizes of strata that still have room make up the cap."""
+    ends = df.agg(F.min(row_id).alias("lo"), F.max(row_id).alias("hi")).first()
+    read, seen, sure, width = [], dict.fromkeys(mine, 0), 0, FIRST_IDS
+    lo = ends["lo"]
+    while lo is not None and lo <= ends["hi"]:
+        part = land(df.where((F.col(row_id) >= lo) & (F.col(row_id) < lo + width)))
+        read.append(part)
+        sums = [value.alias(f"{kind}{k}") for k, name in enumerate(mine) for kind, value in (
+            ("n", F.count_if(mine[name])), ("size", F.coalesce(F.sum(F.when(mine[name], F.col(size))), F.lit(0))))]
+        found = part.agg(F.lit(0).alias("none"), *sums).first()
+        for k, name in enumerate(mine):
+            seen[name] += found[f"n{k}"]
+            sure += found[f"size{k}"] if seen[name] <= room[name] else 0
+        if all(seen[name] >= room[name] for name in mine) or sure >= cap:
+            break
+        lo, width = lo + width, 2 * width
+    out = read[0] if read else land(df.limit(0))
+    for part in read[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def _room(quota: float, taken: int) -> int:
     return 1 << 62 if math.isinf(quota) else max(math.ceil(Fraction(quota) - taken), 0)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -12,12 +13,16 @@ BROADCAST_BYTES = 128 * 1024 * 1024
 
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of the session: the one the cluster names in ``spark.checkpoint.dir``, or a new one beside the
-    tables of its warehouse, which executors share as well, where none is named."""
+    tables of its warehouse where none is named. On a cluster a warehouse on a machine's own disk is no such place: that is
+    an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints-{uuid.uuid4().hex}"
+            warehouse = spark.conf.get("spark.sql.warehouse.dir")
+            if not re.match(r"local(\[|$)", context.master) and warehouse.startswith(("file:", "/")):
+                raise ValueError("name a folder that all machines share in spark.checkpoint.dir")
+            folder = f"{warehouse}/checkpoints-{uuid.uuid4().hex}"
         context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 

@@ -160,3 +160,17 @@ def test_refused_draws_and_splits(frame):
         with pytest.raises(ValueError):
             sa.stratified_split(rows, "label", share)
     assert sa.stratified_split(rows, "label", 0.99, min_class=0).count() == 20
+
+
+def test_walk_reads_no_further_than_it_goes(spark, monkeypatch):
+    """Rows behind the end of the walk are not looked at: there each one is an error."""
+    monkeypatch.setattr(sa, "FIRST_IDS", 8)
+    fatal = F.when(F.col("id") >= 56, F.raise_error(F.lit("read too far"))).otherwise(F.lit(2)).cast("long")
+    df = spark.range(10_000).select(F.col("id").alias("row_id"), F.when(F.col("id") % 2 == 0, "C").otherwise("D").alias("stratum"), fatal.alias("size"))
+    by_quota = sa.quota_sample(df, "stratum", "size", {"C": 10, "D": 12}, 10**9)
+    assert sorted(r["row_id"] for r in by_quota.collect()) == sorted([*range(0, 20, 2), *range(1, 24, 2)])
+    by_cap = sa.quota_sample(df, "stratum", "size", {"C": float("inf"), "D": 3}, 50)
+    kept = [r["row_id"] for r in by_cap.orderBy("row_id").collect()]
+    assert kept == sorted([*range(1, 6, 2), *range(0, 44, 2)])
+    with pytest.raises(Exception, match="read too far"):
+        sa.quota_sample(df, "stratum", "size", {"C": 60, "D": 60}, 10**9).collect()
