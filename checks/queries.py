@@ -495,6 +495,22 @@ def annotated_conversation(spark, folder):
     return joined.select("conv_no", "part", "first_matches", F.size(votes).cast("long").alias("votes"))
 
 
+@query
+def annotated_turns(spark, folder):
+    """The same records turn by turn, with all that they hold."""
+    numbered = dialogs.number_dialogues(marker_table(spark, folder), dialogs.is_marker(F.col("speaker")))
+    turns = numbered.where(F.col("turn") > 0).withColumn("turn", F.col("turn") - 1)
+    raters = names.annotations([F.col("speaker")] * 3, [F.lower("speaker")])
+    rebuilt = dialogs.rebuild_conversations(
+        turns, {"utterance": F.col("text"), "speaker": F.col("speaker"), "annotations": raters}, part_rows=10_000
+    )
+    said = rebuilt.select("conv_no", "part", F.posexplode("conversation").alias("turn", "item"))
+    return said.select(
+        "conv_no", "part", F.col("turn").cast("long").alias("turn"), "item.speaker", digest(F.col("item.utterance")).alias("text"),
+        F.array_join("item.annotations.emotion", ",").alias("emotion"), F.array_join("item.annotations.sentiment", ",").alias("sentiment"),
+    )
+
+
 @query
 def split_annotated_rows(spark, folder):
     rows = conversations(spark, folder).withColumn("remarks", F.col("speaker"))
@@ -615,6 +631,13 @@ def report_document(spark, folder):
     )
 
 
+@query
+def report_document_lines(spark, folder):
+    """Whole report documents, read back line by line."""
+    lines = readers.report_lines(writers.report_documents(all_reports(spark, folder)))
+    return rounded(lines, "precision", "recall", "f1")
+
+
 @query
 def pending_runs(spark, folder):
     """Runs of a settings grid over all sources that no English document has finished."""

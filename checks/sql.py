@@ -462,6 +462,11 @@ def oracle_sql() -> dict[str, str]:
     sql["report_document"] = f"""SELECT dataset, model_id, generation_config, target, string_agg(label, ',' ORDER BY ordinal) AS labels,
         string_agg(CASE WHEN label <> 'accuracy' THEN support::BIGINT::VARCHAR END, ',' ORDER BY ordinal) AS supports
         FROM ({reports()}) GROUP BY ALL"""
+    sql["report_document_lines"] = f"""SELECT dataset, model_id, generation_config, target, ordinal::BIGINT AS ordinal, label,
+        round(precision, 10) AS precision, round(recall, 10) AS recall, round(f1, 10) AS f1,
+        CASE WHEN label <> 'accuracy' THEN support::DOUBLE END AS support FROM ({reports()})"""
+    sql["annotated_turns"] = """SELECT conv_id AS conv_no, 0::BIGINT AS part, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn,
+        role AS speaker, md5(text) AS text, role || ',' || role || ',' || role AS emotion, lower(role) AS sentiment FROM conversations"""
     sql["pending_runs"] = """WITH pairs AS (SELECT DISTINCT source, lang FROM documents),
         grid AS (SELECT * FROM (VALUES (true), (false)) c(combined), (VALUES ('0.01'), ('0.1')) t(temperature))
         SELECT source, lang, combined, temperature FROM pairs, grid WHERE NOT (lang = 'en' AND combined)"""

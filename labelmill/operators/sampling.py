@@ -17,6 +17,8 @@ from labelmill.settle import broadcast_if_small, land, lookup, same, settle
 
 # 4,096 cells per class: at 100 billion rows each one holds about 25 million ids.
 KEY_DIGITS = 3
+#: Rows of a cell that are ranked; a larger one is counted by further digits.
+LEAF_ROWS = 100_000
 #: Ids that a quota walk reads first.
 FIRST_IDS = 1_000_000
 
@@ -61,15 +63,44 @@ class _Classes:
 
     def cut(self, quotas: DataFrame, name: str) -> DataFrame:
         """One row per class of ``quotas(_class, _quota)``: the key and id of the ``_quota``-th row in shuffled order."""
-        quotas = quotas.withColumnsRenamed({"_class": "_wanted"})
-        hit = self.cells.join(quotas, same(self.cells, quotas, {"_class": "_wanted"}))
-        hit = hit.where((F.col("_upto") - F.col("_n") < F.col("_quota")) & (F.col("_quota") <= F.col("_upto")))
-        hit = hit.select("_wanted", F.col("_cell").alias("_edge"), (F.col("_quota") - F.col("_upto") + F.col("_n")).alias("_nth"))
-        hit = broadcast_if_small(hit)
-        rows = self.keyed.join(hit, same(self.keyed, hit, {"_class": "_wanted", "_cell": "_edge"}))
+        return self.find(quotas).select("_class", F.struct("_key", "_id").alias(name))
+
+    def find(self, places: DataFrame) -> DataFrame:
+        """The row of each ``places(_class, _quota, ...)``: its class, key and id, and the other columns of ``places``.
+
+        The cells are the top of a counting tree over the digits of the keys. Where a cell that is asked for holds more than
+        ``LEAF_ROWS`` rows, the rows of these cells alone are counted by further digits; only rows of asked leaves are ranked.
+        """
+        others = [column for column in places.columns if column not in ("_class", "_quota")]
+        places = places.withColumnsRenamed({"_class": "_wanted"})
+
+        def reached(counts: DataFrame, test: Column, at: str) -> DataFrame:
+            hit = counts.join(places if at == "_quota" else hits, test)
+            hit = hit.where((F.col("_upto") - F.col("_n") < F.col(at)) & (F.col(at) <= F.col("_upto")))
+            nth = (F.col(at) - F.col("_upto") + F.col("_n")).alias("_rank")
+            return settle(hit.select("_wanted", *others, F.col("_cell").alias("_edge"), nth, F.col("_n").alias("_rows")))
+
+        hits = reached(self.cells, same(self.cells, places, {"_class": "_wanted"}), "_quota")
+        digits = KEY_DIGITS
+        while (hits.agg(F.max("_rows")).first()[0] or 0) > LEAF_ROWS and digits < 32:
+            rows = self._of(hits, digits)
+            digits = min(32, digits + 2)
+            counts = rows.groupBy("_class", "_cell", F.substring("_key", 1, digits).alias("_inner")).agg(F.count("*").alias("_n"))
+            upto = W.partitionBy("_class", "_cell").orderBy("_inner").rowsBetween(W.unboundedPreceding, 0)
+            counts = counts.withColumn("_upto", F.sum("_n").over(upto)).withColumnsRenamed({"_cell": "_outer", "_inner": "_cell"})
+            hits = reached(counts, same(counts, hits, {"_class": "_wanted", "_outer": "_edge"}), "_rank")
+        rows = self._of(hits, digits)
         place = F.row_number().over(W.partitionBy("_class", "_cell").orderBy("_key", "_id"))
-        found = rows.withColumn("_place", place).where(F.col("_place") == F.col("_nth"))
-        return found.select("_class", F.struct("_key", "_id").alias(name))
+        ranked = rows.withColumn("_place", place)
+        asked = broadcast_if_small(hits.drop("_rows"))
+        found = ranked.join(asked, same(ranked, asked, {"_class": "_wanted", "_cell": "_edge", "_place": "_rank"}))
+        return found.select("_class", "_key", "_id", *others)
+
+    def _of(self, hits: DataFrame, digits: int) -> DataFrame:
+        """The rows (_class, _id, _key, _cell) of the cells in ``hits``, which are that many digits long."""
+        edges = broadcast_if_small(hits.select(F.col("_wanted").alias("_mine"), "_edge").distinct())
+        keyed = self.keyed.withColumn("_cell", F.substring("_key", 1, digits))
+        return keyed.join(edges, same(keyed, edges, {"_class": "_mine", "_cell": "_edge"})).drop("_mine", "_edge")
 
 
 def _mark(df: DataFrame, classes: _Classes, cuts: DataFrame, seed: int, row_id: str) -> DataFrame:
@@ -158,21 +189,18 @@ def random_split(df: DataFrame, test: float = 0.15, seed: int = 42, row_id: str
 def bootstrap(df: DataFrame, label: str, n: int = 50, seed: int = 10, row_id: str = "row_id") -> DataFrame:
     """``n`` draws with replacement from every class: column ``draw`` and the drawn row.
 
-    Only ids and labels are ranked; the drawn rows are fetched by id afterwards. Without draws there are no rows.
+    Ids are counted by class and key; only those of cells that are drawn from are ranked, and the drawn rows are fetched by id
+    afterwards. Without draws there are no rows.
     """
     if n < 0:
         raise ValueError("the number of draws must not be negative")
     if n == 0:
         return df.withColumn("draw", F.lit(0).cast("long")).where(F.lit(False))
-    ids = df.select(F.col(label).alias("_class"), F.col(row_id).alias("_id"))
-    slots = shuffled_positions(ids, seed, "_id", ("_class",), "_slot")
-    sizes = ids.groupBy("_class").agg(F.count("*").alias("_size"))
-    draws = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    classes = _Classes(df, label, seed, row_id)
+    draws = classes.sizes.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
     name = F.concat(F.coalesce(F.col("_class").cast("string"), F.lit("")), F.lit("-"), F.col("draw").cast("string"))
     number = F.conv(F.substring(F.md5(F.concat(name, F.lit(f"-{seed}"))), 1, 8), 16, 10).cast("long")
-    draws = draws.select(F.col("_class").alias("_from"), "draw", F.pmod(number, F.col("_size")).alias("_pick"))
-    draws = broadcast_if_small(draws)
-    picked = slots.join(draws, same(slots, draws, {"_class": "_from", "_slot": "_pick"})).select("_id", "draw")
+    picked = classes.find(draws.select("_class", "draw", (F.pmod(number, F.col("_size")) + 1).alias("_quota"))).select("_id", "draw")
     picked = broadcast_if_small(picked)
     return df.join(picked, df[row_id] == picked["_id"]).drop("_id")
 

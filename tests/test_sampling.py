@@ -174,3 +174,13 @@ def test_walk_reads_no_further_than_it_goes(spark, monkeypatch):
     assert kept == sorted([*range(1, 6, 2), *range(0, 44, 2)])
     with pytest.raises(Exception, match="read too far"):
         sa.quota_sample(df, "stratum", "size", {"C": 60, "D": 60}, 10**9).collect()
+
+
+def test_large_cells_are_counted_by_further_digits(frame, monkeypatch):
+    rows = frame([(i, "ab"[i % 3 == 0]) for i in range(300)], "row_id long, label string")
+    want = {name: sorted(map(tuple, df.collect())) for name, df in (("b", sa.bootstrap(rows, "label", 40)), ("s", sa.stratified_split(rows, "label", 0.4)))}
+    for digits, leaf in ((1, 2), (2, 1)):
+        monkeypatch.setattr(sa, "KEY_DIGITS", digits)
+        monkeypatch.setattr(sa, "LEAF_ROWS", leaf)
+        assert sorted(map(tuple, sa.bootstrap(rows, "label", 40).collect())) == want["b"]
+        assert sorted(map(tuple, sa.stratified_split(rows, "label", 0.4).collect())) == want["s"]
