@@ -35,9 +35,7 @@ def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode whole texts, decode them again and keep the ids of documents: all of them, marked by whether they came back."""
-    model = segment.load(queries.PIECES)
-    out = segment.decode(segment.encode(docs, model, n=2), model)
-    return out.withColumn("round_trip", F.col("decoded").eqNullSafe(F.col("text"))).drop("text", "decoded", "n_chars")
+    return segment.encode_checked(docs, segment.load(queries.PIECES), n=2).drop("n_chars")
 
 
 STAGES = [

@@ -11,11 +11,12 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from labelmill.llm import wordhash
@@ -321,18 +322,8 @@ def _with_input(df: DataFrame, rest: DataFrame, column: str) -> tuple[DataFrame,
     return df.select(*(F.col(f"`{c}`") for c in rest.columns), F.col(f"`{column}`").alias("_input")), width, width
 
 
-def encode(df: DataFrame, model: str | list[tuple[str, float, str]], text: str = "text", n: int = 1) -> DataFrame:
-    """``df`` with ``ids`` (array<int>: the best segmentation of the whole text), ``score`` (double) and ``alternatives``
-    (array<struct<score, ids>>: the second to ``n``-th best, best first, fewer if there are no more).
-
-    ``model`` is a model file's path or the table that ``load`` gives. Of equal scores any may lead, always the same one. A null
-    text has null ids and score, an empty one no ids and score 0; both have no alternatives. Columns named like the new ones are
-    replaced. Texts are handled one batch of bytes at a time, a very long one alone.
-    """
-    held = df.sparkSession.sparkContext.broadcast(vars(Vocabulary(load(model) if isinstance(model, str) else model)))
-    rest = df.drop("ids", "score", "alternatives")
-    schema = widened(rest, ids="array<int>", score="double", alternatives="array<struct<score:double,ids:array<int>>>")
-    given, place, width = _with_input(df, rest, text)
+def _encoder(held: Broadcast, place: int, width: int, n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches with ids, score and alternatives of the texts in column ``place`` behind the first ``width`` columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = Vocabulary.of(held.value)
@@ -359,7 +350,32 @@ def encode(df: DataFrame, model: str | list[tuple[str, float, str]], text: str =
                 columns = [ids, pa.array(scores, pa.float64(), mask=np.array(missing)), _listed(others)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:width], *columns], [*batch.schema.names[:width], "ids", "score", "alternatives"])
 
-    return map_batches(given, run, schema)
+    return run
+
+
+def encode(df: DataFrame, model: str | list[tuple[str, float, str]], text: str = "text", n: int = 1) -> DataFrame:
+    """``df`` with ``ids`` (array<int>: the best segmentation of the whole text), ``score`` (double) and ``alternatives``
+    (array<struct<score, ids>>: the second to ``n``-th best, best first, fewer if there are no more).
+
+    ``model`` is a model file's path or the table that ``load`` gives. Of equal scores any may lead, always the same one. A null
+    text has null ids and score, an empty one no ids and score 0; both have no alternatives. Columns named like the new ones are
+    replaced. Texts are handled one batch of bytes at a time, a very long one alone.
+    """
+    held = df.sparkSession.sparkContext.broadcast(vars(Vocabulary(load(model) if isinstance(model, str) else model)))
+    rest = df.drop("ids", "score", "alternatives")
+    schema = widened(rest, ids="array<int>", score="double", alternatives="array<struct<score:double,ids:array<int>>>")
+    given, place, width = _with_input(df, rest, text)
+
+    return map_batches(given, _encoder(held, place, width, n), schema)
+
+
+def _spell(words: list[bytes], ids: pa.ListScalar) -> str | None:
+    if not ids.is_valid:
+        return None
+    numbers = np.asarray(ids.values)
+    if len(numbers) and numbers.min() < 0:
+        raise ValueError("negative id")
+    return b"".join(map(words.__getitem__, numbers.tolist())).decode("utf-8", "replace").removeprefix(" ")
 
 
 def decode(df: DataFrame, model: str | list[tuple[str, float, str]], ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -375,15 +391,29 @@ def decode(df: DataFrame, model: str | list[tuple[str, float, str]], ids: str =
         words = held.value
         for whole in batches:
             for batch in pieces(whole, place, _BYTES // 4):
-                texts = []
-                for own in batch.column(place):
-                    if not own.is_valid:
-                        texts.append(None)
-                        continue
-                    numbers = np.asarray(own.values)
-                    if len(numbers) and numbers.min() < 0:
-                        raise ValueError("negative id")
-                    texts.append(b"".join(map(words.__getitem__, numbers.tolist())).decode("utf-8", "replace").removeprefix(" "))
+                texts = [_spell(words, own) for own in batch.column(place)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(texts, pa.string())], schema.names)
 
     return map_batches(given, run, schema)
+
+
+def encode_checked(df: DataFrame, model: str | list[tuple[str, float, str]], text: str = "text", n: int = 1) -> DataFrame:
+    """``encode``, with ``round_trip`` (boolean: whether the ids spell the text again; a null text does) in place of the text, in
+    one pass of one worker a task. Columns named like the new ones are replaced; other cases are those of ``encode``."""
+    pairs = load(model) if isinstance(model, str) else model
+    context = df.sparkSession.sparkContext
+    held, spelling = context.broadcast(vars(Vocabulary(pairs))), context.broadcast(spelled(pairs))
+    rest = df.drop(text, "ids", "score", "alternatives", "round_trip")
+    schema = widened(rest, ids="array<int>", score="double", alternatives="array<struct<score:double,ids:array<int>>>", round_trip="boolean")
+    given, place, width = _with_input(df, rest, text)
+    # The text goes along behind the other columns until its ids are decoded.
+    encoded = _encoder(held, place, width + 1, n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = spelling.value
+        for batch in encoded(batches):
+            same = [_spell(words, ids) == own.as_py() for ids, own in zip(batch.column(width + 1), batch.column(width), strict=True)]
+            columns = [*batch.columns[:width], *batch.columns[width + 1 :], pa.array(same, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return map_batches(given, run, schema)

@@ -59,4 +59,4 @@ def test_edges(spark, folder):
 
 def test_names():
     assert 4 <= len(corpus_pipeline.STAGES) <= 5 and len({n for n, _ in corpus_pipeline.STAGES}) == len(corpus_pipeline.STAGES)
-    assert [n.split("_")[0] for n in sorted(queries.queries(), key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in sorted(queries.queries(), key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 14)]

@@ -3,6 +3,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from labelmill.llm import queries, segment
 
 TABLE = [("<unk>", 0.0, "unknown"), ("<s>", 0.0, "control"), *((f"<0x{b:02X}>", 0.0, "byte") for b in range(256)),
@@ -94,3 +96,18 @@ def test_whole_table(spark, folder):
     for r in ids[:10]:  # the library's own merges are one of the paths, so none is better than the best
         own = sum(mine.scores[i] if mine.kinds[i] == "normal" else mine.unknown_score for i in model.encode(r["text"]))
         assert own <= r["score"] + 1e-6
+
+
+def test_encode_checked(spark, clash):
+    """The same ids as ``encode``, a broken round trip is told, also where the text comes last or is the only column."""
+    rows = [(1, None), (2, ""), (3, "ab"), (3, "ab"), (None, " "), (4, "  a "), (5, "a Ω b")]
+    df = clash(rows).withColumn("ids", F.lit("x"))
+    out = segment.encode_checked(df, TABLE, n=3)
+    assert out.columns == [*(c for c in df.columns if c not in ("text", "score", "ids")), "ids", "score", "alternatives", "round_trip"]
+    want = segment.decode(segment.encode(df, TABLE, n=3), TABLE)
+    key = lambda r: (r["doc_id"], r["ids"], r["score"], r["alternatives"])
+    told = sorted(((*key(r), r["round_trip"]) for r in out.collect()), key=str)
+    assert told == sorted(((*key(r), r["decoded"] == r["text"]) for r in want.collect()), key=str)
+    assert {r[-1] for r in told if r[0] != 5} == {True}
+    assert sorted(r["round_trip"] for r in segment.encode_checked(df.select("text"), TABLE).collect()).count(True) >= len(rows) - 1
+    assert segment.encode_checked(clash([]), TABLE).collect() == []
