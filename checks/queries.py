@@ -17,6 +17,7 @@ from labelmill.settle import settle, shared_folder
 from labelmill.sinks import versions, writers
 from labelmill.sources import readers
 from labelmill.sources.readers import read_parquet, spread
+from labelmill.streaming import runs as arriving
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -872,20 +873,41 @@ def run_coverage(spark, folder):
     return runs.coverage(uneven(spark, folder), gold(spark, folder))
 
 
-@query
-def report_folder_tree(spark, folder):
-    """Runs stored as CSV in folders, found, read, held against gold rows of their dataset and scored."""
-    root = new_folder(spark)
+def told(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents by source with a gold mood and that of two rules."""
     place = F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1
     rows = rated(spark, folder).withColumn("row_id", place.cast("long"))
     mood = lambda c: F.element_at(F.create_map(*[F.lit(x) for pair in zip(LANGUAGES, fixed.SENTIMENTS + fixed.SENTIMENTS[:1]) for x in pair]), c)
-    sources = sorted(r["source"] for r in rows.select("source").distinct().collect())
     held = rows.select("source", "row_id", mood(F.col("lang")).alias("gold"), *[mood(F.col(rule)).alias(rule) for rule in ("word", "bare")])
-    held = settle(held)
-    for source in sources:
+    return settle(held)
+
+
+def write_run(held: DataFrame, root: str, source: str, rule: str) -> None:
+    said = held.where(F.col("source") == source).select("row_id", F.lit("x").alias("text"), F.col(rule).alias(fixed.SENTIMENT_COLUMN), F.lit("other").alias(fixed.EMOTION_COLUMN))
+    writers.write_csv(said.orderBy("row_id").drop("row_id"), f"{root}/{source}/{rule}/all/predictions.csv")
+
+
+def gold_moods(held: DataFrame) -> DataFrame:
+    return held.select(F.col("source").alias("dataset"), "row_id", F.col("gold").alias("voted_sentiment"), F.lit("other").alias("voted_emotion"))
+
+
+@query
+def report_folder_tree(spark, folder):
+    """Runs stored as CSV in folders, found, read, held against gold rows of their dataset and scored."""
+    root, held = new_folder(spark), told(spark, folder)
+    for source in sorted(r["source"] for r in held.select("source").distinct().collect()):
         for rule in ("word", "bare"):
-            said = held.where(F.col("source") == source).select("row_id", F.lit("x").alias("text"), F.col(rule).alias(fixed.SENTIMENT_COLUMN), F.lit("other").alias(fixed.EMOTION_COLUMN))
-            writers.write_csv(said.orderBy("row_id").drop("row_id"), f"{root}/{source}/{rule}/all/predictions.csv")
-    gold_ = held.select(F.col("source").alias("dataset"), "row_id", F.col("gold").alias("voted_sentiment"), F.lit("other").alias("voted_emotion"))
-    reports = evaluate_tree(spark, root, gold_).where("target = 'sentiment'")
-    return rounded(reports, "precision", "recall", "f1")
+            write_run(held, root, source, rule)
+    return rounded(evaluate_tree(spark, root, gold_moods(held)).where("target = 'sentiment'"), "precision", "recall", "f1")
+
+
+@query
+def report_arriving_runs(spark, folder):
+    """The same runs scored by a file stream as they arrive: one rule's runs before the other's, the last call finds nothing new."""
+    root, out, held = new_folder(spark), new_folder(spark), told(spark, folder)
+    sources = sorted(r["source"] for r in held.select("source").distinct().collect())
+    for rule in ("word", "bare", None):
+        for source in sources if rule else ():
+            write_run(held, root, source, rule)
+        arriving.score_available(spark, root, gold_moods(held), f"{out}/reports", f"{out}/stream")
+    return rounded(arriving.latest_reports(spark, f"{out}/reports").where("target = 'sentiment'"), "precision", "recall", "f1")

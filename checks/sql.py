@@ -274,6 +274,8 @@ def files_sql() -> dict[str, str]:
             FROM met JOIN golds USING (dataset) GROUP BY dataset, model_id, gold_rows""",
         "report_folder_tree": f"""WITH {tree}, {report('told', 'gold', 'said', fixed.SENTIMENTS, 'dataset, model_id')}
             SELECT dataset, model_id, {named('all', 'sentiment')} FROM lines""",
+        "report_arriving_runs": f"""WITH {tree}, {report('told', 'gold', 'said', fixed.SENTIMENTS, 'dataset, model_id')}
+            SELECT dataset, model_id, {named('all', 'sentiment')} FROM lines""",
     }
 
 
