@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, GroupedData, functions as F
+from pyspark.sql import Column, DataFrame, GroupedData, functions as F, types as T
 
 from labelmill.functions.sql_text import name, value, values
 from labelmill.operators.positions import running
@@ -246,16 +246,25 @@ def describe(df: DataFrame, column: str) -> DataFrame:
     """count, mean, std, min, exact quartiles (linear between neighbours) and max of a numeric column.
 
     A sketch brackets each quartile by two values. One pass counts the values below the brackets; only the few values
-    inside are ranked, cut into ranges, so no task has to hold or sort the column.
+    inside are ranked, cut into ranges, so no task has to hold or sort the column. Mean and std of whole numbers come from
+    exact sums, so that they depend on the values only, not on the order in which parts of the table are added up.
     """
-    given = df.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    whole = isinstance(df.schema[column].dataType, T.IntegralType)
+    exact = [F.col(column).cast("decimal(19,0)").alias("x")] if whole else []
+    given = df.select(F.col(column).cast("double").alias("v"), *exact).where("v IS NOT NULL AND NOT isnan(v)")
     places = range(len(QUARTILES))
     shares = [f"{share + side * 5 / SKETCH_SIZE}D" for share in QUARTILES for side in (-1, 1)]
     edges = given.agg(F.expr(f"percentile_approx(v, array({', '.join(shares)}), {SKETCH_SIZE})")).scalar()
     marked = given.withColumn("_edges", edges)
     low, high = ([f"_edges[{2 * place + side}]" for place in places] for side in (0, 1))
 
-    sums = ["count(*) AS count", "avg(v) AS mean", "stddev(v) AS std", "min(v) AS min", "max(v) AS max"]
+    mean, std = "avg(v)", "stddev(v)"
+    if whole:
+        # Sums beyond 38 digits are null; the floating ones stand in.
+        spread = "try_subtract(try_multiply(cast(count(*) AS decimal(20,0)), try_sum(x * x)), try_multiply(try_sum(x), try_sum(x)))"
+        mean = f"coalesce(try_divide(double(try_sum(x)), double(count(*))), {mean})"
+        std = f"coalesce(sqrt(try_divide(double({spread}), double(count(*)) * (count(*) - 1))), {std})"
+    sums = ["count(*) AS count", f"{mean} AS mean", f"{std} AS std", "min(v) AS min", "max(v) AS max"]
     for i in places:
         sums += [f"count_if(v < {low[i]}) AS below{i}", f"count_if(v BETWEEN {low[i]} AND {high[i]}) AS inside{i}",
                  f"max(if(v < {low[i]}, v, NULL)) AS before{i}", f"min(if(v > {high[i]}, v, NULL)) AS after{i}"]

@@ -1,3 +1,4 @@
+import math
 import random
 import statistics
 
@@ -151,6 +152,25 @@ def test_describe(frame, values):
     assert out["std"] == (pytest.approx(statistics.stdev(given)) if len(given) > 1 else None)
 
 
+def test_describe_whole_numbers_exactly(spark):
+    values = [(i * i * 7919) % 100_000_007 for i in range(5003)]
+    df = spark.createDataFrame([(v,) for v in values], "v long")
+    n, total = len(values), sum(values)
+    # The nearest doubles, by whole numbers.
+    std = math.sqrt((n * sum(v * v for v in values) - total * total) / (n * (n - 1)))
+    for parts in (1, 3, 8, 29):
+        out = me.describe(df.repartition(parts), "v").first()
+        assert (out["mean"], out["std"]) == (total / n, std)
+
+
+def test_describe_beyond_exact_sums(frame):
+    values = [2**62, -(2**62), 2**62 - 1, 5]
+    out = me.describe(frame([(v,) for v in values], "v long"), "v").first()
+    assert out["std"] == pytest.approx(statistics.stdev(map(float, values))) and out["mean"] == pytest.approx(statistics.fmean(values))
+    single = me.describe(frame([(7,)], "v int"), "v").first()
+    assert (single["mean"], single["std"]) == (7.0, None)
+
+
 def test_describe_nothing(frame):
     out = me.describe(frame([], "v double"), "v").first()
     assert out["count"] == 0 and out["p50"] is None and out["mean"] is None
