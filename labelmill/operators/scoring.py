@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from labelmill import fixed_values as fixed
+from labelmill.batches import small_batches
 from labelmill.functions.text import first_label
 from labelmill.operators.runs import pending
 from labelmill.settle import land
@@ -53,6 +54,7 @@ def batch_score(
             yield pa.RecordBatch.from_arrays(columns, names)
 
     added = [T.StructField(name, T.StringType()) for _, name in pairs]
+    small_batches(df.sparkSession)
     return df.mapInArrow(score_batches, T.StructType(df.schema.fields + added))
 
 

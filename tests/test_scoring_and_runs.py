@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelmill import fixed_values as fixed
+from labelmill.batches import BATCH_BYTES, small_batches
 from labelmill.operators import runs, scoring
 from labelmill.plans.predict import predict_posts
 
@@ -25,6 +26,27 @@ def test_batches(spark):
     assert [row["raw"] for row in out] == [f"{i // 32 + 1}:{32 if i < 64 else 6}:p{i}" for i in range(70)]
 
 
+def test_batches_are_bounded_in_bytes(spark):
+    def factory():
+        return lambda asked: [str(sum(map(len, asked)))] * len(asked)
+
+    df = spark.range(3000).select("id", F.repeat(F.lit("x"), 10_000).alias("prompt")).coalesce(1)
+    out = scoring.batch_score(df, {"prompt": "raw"}, factory, 10_000).select("id", F.col("raw").cast("long").alias("sent"))
+    seen = out.agg(F.max("sent"), F.count("*")).first()
+    assert seen[0] <= 1.1 * BATCH_BYTES and seen[1] == 3000
+
+
+def test_a_smaller_limit_stays(spark):
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        for given, then in (("1m", "1m"), ("64m", str(BATCH_BYTES)), ("2000000", "2000000")):
+            spark.conf.set(limit, given)
+            small_batches(spark)
+            assert spark.conf.get(limit) in (then, f"{then}b")
+    finally:
+        spark.conf.unset(limit)
+
+
 def test_null_prompts_and_other_columns(frame):
     df = frame([(0, None, [1]), (1, "a", None)], "id long, prompt string, keep array<int>", 1)
     out = scoring.batch_score(df, {"prompt": "raw"}, make_counting_scorer()).orderBy("id").collect()
