@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from labelmill.batches import BATCH_BYTES
 from labelmill.sources import ranges, readers
 
 FIELDS = ['plain', 'a "quoted" word', 'two\nlines', '\n\n"\n', '', 'comma, and "', '""', '"', ' spaced ', 'é ü 漢', 'x' * 40, '\n,"\n', "None"]
@@ -43,6 +44,21 @@ def rows_of(df):
     return sorted(map(tuple, df.select("row_id", *[c for c in df.columns if c != "row_id"]).collect()), key=lambda r: r[0])
 
 
+def test_few_cells_in_a_batch(spark, tmp_path):
+    path = tmp_path / "posts.csv"
+    path.write_text(csv_text([("x" * 10_000, str(i)) for i in range(2000)]), encoding="utf-8", newline="")
+    kept = ranges._cells(spark, str(path), b"\n", lambda data: (0,), "_n int").coalesce(1)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([batch.num_rows])], ["size", "n"])
+
+    seen = kept.mapInArrow(sizes, "size long, n long").agg(F.max("size"), F.sum("n")).first()
+    assert seen[0] <= BATCH_BYTES + 2 * ranges.CELL_BYTES and seen[1] >= 19
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_csv_at_every_cut(spark, cut, tmp_path, seed):
     draw = random.Random(seed)
