@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import compare
 import pytest
@@ -80,3 +81,28 @@ def test_native(spark, folder):
 
 def test_words(one):
     assert one(decontaminate.words(F.col("x")), x="Ab-c_d ÄÖ 1x y") == ["ab", "c", "d", "ÄÖ", "1x y"]
+
+
+def test_separators(spark):
+    """Each character by itself, in counted and in folded texts."""
+    texts = [(c, f"a{chr(c)}b") for c in [*range(0x300), 0x2028, 0x3000, 0xFFFD, 0x1F600]]
+    df = spark.createDataFrame(texts, "c long, text string")
+    want = [(c, [w.lower() if w.isascii() else w for w in re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t)]) for c, t in texts]
+    got = df.select("c", decontaminate.words(F.col("text")).alias("w"), *decontaminate._numbered(F.col("text"))).orderBy("c").collect()
+    assert [(r["c"], r["w"], r["n_words"]) for r in got] == [(c, w, len(w)) for c, w in want]
+
+
+def test_words_cost_less_than_by_ranges(spark):
+    """The class of a word is looked up, not tried range by range."""
+    text = "The state, as of 2024: Straße & Bücher (see note 7) were \u201cmoved\u201d there; nobody-knows why. " * 50
+    df = spark.range(0, 1200, 1, 2).select(F.concat(F.lit(text), F.col("id").cast("string")).alias("text")).localCheckpoint()
+
+    def seconds(pattern):
+        least = float("inf")
+        for _ in range(3):
+            start = time.perf_counter()
+            df.agg(F.sum(F.regexp_count("text", F.lit(pattern)))).collect()
+            least = min(least, time.perf_counter() - start)
+        return least
+
+    assert 2 * seconds(decontaminate._WORD) < seconds(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
